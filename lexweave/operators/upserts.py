@@ -39,9 +39,12 @@ def insert_ignore(
     rest = [c for c in new.columns if c not in keys]
     batch = new.select(*held, *rest)
     inserted = first_per_key(batch, keys, order).join(target.select(*held), keys, "left_anti")
-    counts = batch.agg(F.count("*").alias("received")).join(
-        inserted.agg(F.count("*").alias("inserted")), how="inner", on=F.lit(True)
-    ).select("inserted", (F.col("received") - F.col("inserted")).alias("duplicates"))
+    zero = F.lit(0).cast("long")
+    counts = (
+        batch.agg(zero.alias("i"), F.count("*").alias("r"))
+        .unionByName(inserted.agg(F.count("*").alias("i"), zero.alias("r")))
+        .agg(F.sum("i").alias("inserted"), (F.sum("r") - F.sum("i")).alias("duplicates"))
+    )
     return inserted, counts
 
 

@@ -16,6 +16,12 @@ TABLES = (
 ).split()
 
 
+def view_sql(name: str, engine: int) -> str:
+    """Text of a view; a pair holds the Spark form and the DuckDB form."""
+    text = VIEWS[name]
+    return text if isinstance(text, str) else text[engine]
+
+
 class Inputs:
     """Attribute access to the driver's tables and to the derived views."""
 
@@ -34,7 +40,7 @@ class Inputs:
         if name in TABLES:
             return self.table(name)
         if name in VIEWS:
-            return self.sql(VIEWS[name])
+            return self.sql(view_sql(name, 0))
         raise AttributeError(name)
 
 
@@ -64,7 +70,7 @@ def query(name: str, covers: str, sql: str | None = None):
 def _needed(text: str, found: dict[str, None]) -> None:
     for name in re.findall(r"\bv_\w+", text):
         if name in VIEWS and name not in found:
-            _needed(VIEWS[name], found)
+            _needed(view_sql(name, 1), found)
             found[name] = None
 
 
@@ -75,7 +81,7 @@ def with_views(sql: str) -> str:
     if not found:
         return sql
     ctes = ",\n".join(
-        f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[n])})" for n in found
+        f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', view_sql(n, 1))})" for n in found
     )
     body = sql.strip()
     recursive = ""

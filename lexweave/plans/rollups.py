@@ -470,8 +470,8 @@ def seen_entries(t: Inputs):
       WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1) f ON s.source = f.source""")
 def dedup_external(t: Inputs):
     rows = t.lineitem.select(F.col("l_returnflag").alias("source"), F.concat(F.lit("uri:"), "l_partkey").alias("external_uri"))
-    flags = t.lineitem.select(F.col("l_returnflag").alias("source")).distinct()
-    known = t.supplier.join(F.broadcast(flags)).select("source", F.concat(F.lit("uri:"), "s_suppkey").alias("external_uri"))
+    flags = F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))).alias("source")
+    known = t.supplier.select(flags, F.concat(F.lit("uri:"), "s_suppkey").alias("external_uri"))
     return up.dedup_external(rows, known)[1]
 
 

@@ -4,7 +4,7 @@ Each view is one SELECT that Spark and DuckDB read alike; ``{name}`` is a table
 or another view. They only rename and rescale columns of whole tables.
 """
 
-VIEWS: dict[str, str] = {
+VIEWS: dict[str, str | tuple[str, str]] = {
     # terms: one per part
     "v_atoms": """
         SELECT 'a' || p_partkey AS id, p_name AS text, lower(trim(p_name)) AS text_lower,
