@@ -50,7 +50,7 @@ def profile_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def clamp(c: str | Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(_col(c), F.lit(low)), F.lit(high))
+    return F.when(_col(c).isNotNull(), F.least(F.greatest(_col(c), F.lit(low)), F.lit(high)))
 
 
 def sigmoid(c: str | Column) -> Column:

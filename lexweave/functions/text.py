@@ -12,9 +12,14 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for expressions that use it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_key(c: str | Column) -> Column:
     """Lower-case trimmed text, the identity of a term."""
-    return F.trim(F.lower(col(c)))
+    return strip(F.lower(col(c)))
 
 
 def like(c: str | Column, pattern: str, escape: bool = False) -> Column:
@@ -75,3 +80,12 @@ def is_blank(c: str | Column) -> Column:
 def words(c: str | Column) -> Column:
     """Whitespace-separated words; none for blank text."""
     return F.filter(F.split(F.trim(col(c)), r"\s+"), lambda w: w != "")
+
+
+# Characters that a trim removes at both ends.
+BLANKS = " \t\n\r\f\u000b\u00a0\ufeff\u2028\u2029"
+
+
+def strip(c: str | Column) -> Column:
+    """Without blanks and line breaks at either end."""
+    return F.btrim(col(c), F.lit(BLANKS))

@@ -542,4 +542,5 @@ def curate(hits: DataFrame, visual: Column | None = None, *, content_n: int = 15
     rows = hits.withColumn("kind", F.when(test, "visual").otherwise("content"))
     order = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "neighbour_id")
     cap = F.when(F.col("kind") == "visual", visual_n).otherwise(content_n)
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= cap)
+    placed = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(content_n, visual_n))
+    return placed.filter(F.col("place") <= cap)

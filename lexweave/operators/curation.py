@@ -27,10 +27,10 @@ def running_index(df: DataFrame, group: list[str], order: str, name: str) -> Dat
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     return (
-        spread.withColumn("_at", F.row_number().over(inside) - 1)
+        spread.withColumn("_place", F.row_number().over(inside) - 1)
         .join(before, ["_part", *group])
-        .withColumn(name, F.col("_at") + F.col("_before"))
-        .drop("_part", "_at", "_before")
+        .withColumn(name, F.col("_place") + F.col("_before"))
+        .drop("_part", "_place", "_before")
     )
 
 

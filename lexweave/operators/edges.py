@@ -25,7 +25,9 @@ def capped_neighbours(
         F.desc("score"), F.asc("neighbour_id")
     )
     cap = F.when(F.col("same_category"), intra_cap).otherwise(cross_cap)
-    return pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= cap)
+    # the literal limit lets Spark cut each group before the shuffle
+    placed = pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= max(cross_cap, intra_cap))
+    return placed.filter(F.col("place") <= cap)
 
 
 def ordered_pair(left: str, right: str) -> list[Column]:

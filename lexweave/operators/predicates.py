@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import glob_pattern, like
+from lexweave.functions.text import glob_pattern, like, strip, text_key
 
 # Fixed values of term validation.
 MIN_LENGTH = 3
@@ -39,7 +39,7 @@ GENERIC_TERMS = (
 
 def validation_reason(text: str | Column) -> Column:
     """The first failing rule of a term, or ``valid``."""
-    t = F.trim(F.col(text) if isinstance(text, str) else text)
+    t = strip(text)
     return (
         F.when(F.length(t) < MIN_LENGTH, "too_short")
         .when(F.length(t) > MAX_LENGTH, "too_long")
@@ -60,7 +60,7 @@ def validate_atoms(df: DataFrame, text: str = "text") -> DataFrame:
 def route_content(df: DataFrame, text: str = "text", category: str = "category") -> DataFrame:
     """Destination of a text: atom, document_chunk (with its document) or reject."""
     out = validate_atoms(df, text)
-    reason, cat, body = F.col("reason"), F.coalesce(F.col(category), F.lit("")), F.trim(F.col(text))
+    reason, cat, body = F.col("reason"), F.coalesce(F.col(category), F.lit("")), strip(text)
     title = F.lit(None).cast("string")
     for kind, mark, document in DOCUMENT_RULES:
         test = {
@@ -89,7 +89,7 @@ def route_content(df: DataFrame, text: str = "text", category: str = "category")
 
 def is_generic(text: str | Column) -> Column:
     """A single word from the list of bare adjectives."""
-    return F.lower(F.trim(F.col(text) if isinstance(text, str) else text)).isin(GENERIC_TERMS)
+    return text_key(text).isin(GENERIC_TERMS)
 
 
 @dataclass(frozen=True)
@@ -297,7 +297,7 @@ def candidates_by_source(rows: DataFrame) -> DataFrame:
 
 def missing_terms(terms: DataFrame, atoms: DataFrame) -> DataFrame:
     """Listed terms that are no term yet (by lower-case text)."""
-    return terms.withColumn("text_lower", F.lower(F.trim("text"))).join(
+    return terms.withColumn("text_lower", text_key("text")).join(
         atoms.select("text_lower").distinct(), "text_lower", "left_anti"
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import col
+from lexweave.functions.text import col, strip
 
 # Fixed values of film screening.
 GENRE_KEYWORDS = ["noir", "sci-fi", "science fiction", "horror", "fantasy", "animation", "mystery", "thriller"]
@@ -134,22 +134,22 @@ def valid_page_titles(pages: DataFrame, title: str = "title") -> DataFrame:
 
 
 def lines_of(text: str | Column) -> Column:
-    return F.filter(F.split(col(text), "\n"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(col(text), "\n"), lambda s: strip(s) != "")
 
 
 def is_infobox(text: str | Column) -> Column:
     """Mostly white space in many short lines."""
     t, lines = col(text), lines_of(text)
     blank = F.regexp_count(t, F.lit(r"\s")) / F.length(t)
-    short = F.forall(lines, lambda s: F.length(F.trim(s)) < 80)
+    short = F.forall(lines, lambda s: F.length(strip(s)) < 80)
     return (F.size(lines) > 5) & (blank > 0.6) & short
 
 
 def is_prose(text: str | Column) -> Column:
     """Enough lines with sentence marks or length, and lines not too short."""
     lines = lines_of(text)
-    sentence = F.filter(lines, lambda s: F.rlike(s, F.lit(r"[.?!]")) | (F.length(F.trim(s)) > 80))
-    chars = F.aggregate(lines, F.lit(0), lambda n, s: n + F.length(F.trim(s)))
+    sentence = F.filter(lines, lambda s: F.rlike(s, F.lit(r"[.?!]")) | (F.length(strip(s)) > 80))
+    chars = F.aggregate(lines, F.lit(0), lambda n, s: n + F.length(strip(s)))
     n = F.size(lines)
     return (n > 0) & (F.size(sentence) / n >= 0.3) & ~((chars / n < 50) & (n > 5))
 

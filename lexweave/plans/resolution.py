@@ -31,7 +31,7 @@ VIEWS.update(
         "v_concepts": """
             SELECT 'p' || p_partkey AS term_id, p_name || 's' AS term FROM {part}
             UNION ALL SELECT 'q' || p_partkey AS term_id, p_name AS term FROM {part}
-            UNION ALL SELECT DISTINCT 't' || p_type AS term_id, split_part(p_name, ' ', 2) AS term FROM {part} WHERE p_size = 7
+            UNION ALL SELECT DISTINCT 't' || split_part(p_name, ' ', 2) AS term_id, split_part(p_name, ' ', 2) AS term FROM {part}
             UNION ALL SELECT 'n' || n_nationkey AS term_id, n_name AS term FROM {nation}""",
     }
 )

@@ -51,14 +51,14 @@ REASON = r"""
          ELSE 'valid' END"""
 
 
-@query("validate_atoms", "F5", f"SELECT text_id, {REASON} AS reason FROM (SELECT text_id, trim(text) AS t FROM v_texts)")
+@query("validate_atoms", "F5", f"SELECT text_id, {REASON} AS reason FROM (SELECT text_id, trim(text, concat(' ', chr(9), chr(10), chr(13))) AS t FROM v_texts)")
 def validate_atoms(t: Inputs):
     return pr.validate_atoms(t.v_texts).select("text_id", "reason")
 
 
 @query("route_content", "F6", f"""
     WITH r AS (SELECT text_id, t, coalesce(category, '') AS c, {REASON} AS reason
-               FROM (SELECT text_id, trim(text) AS t, category FROM v_texts)),
+               FROM (SELECT text_id, trim(text, concat(' ', chr(9), chr(10), chr(13))) AS t, category FROM v_texts)),
     d AS (SELECT *, CASE WHEN reason = 'valid' THEN 'atom'
                          WHEN reason IN ('emoticon','non_text','stock_caption','comment','too_short') THEN 'reject'
                          ELSE 'document_chunk' END AS destination FROM r)
