@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.text import let
+
 MAX_FILE_TERMS = 100
 CO_STRENGTH = 0.5
 MOVEMENT_STRENGTH = 0.7
@@ -61,40 +63,53 @@ FILE_RULES = [
 ]
 
 
+RULE = "array<struct<pattern:string,kind:string,tags:array<string>,axis:string,pole:string>>"
+
+
+def rule_table(rules: list[tuple], movements: list[str]) -> Column:
+    """The rules as one constant array; named movements come first."""
+    lit = lambda v: F.lit(v).cast("string")
+    first = [("^(" + "|".join(movements) + ")$", "movement", [], None, None)] if movements else []
+    rows = [
+        F.struct(
+            lit("(?i)" + pattern).alias("pattern"),
+            lit(kind).alias("kind"),
+            F.array(*[F.lit(t) for t in tags]).cast("array<string>").alias("tags"),
+            lit(axis).alias("axis"),
+            lit(pole).alias("pole"),
+        )
+        for pattern, kind, tags, axis, pole in first + rules
+    ]
+    return F.array(*rows).cast(RULE)
+
+
 def classify_files(files: DataFrame, rules: list[tuple] = FILE_RULES, movements: list[str] = NON_ISM_MOVEMENTS) -> DataFrame:
     """Kind, tags, axis, pole and movement of each file name (file)."""
-    base = F.regexp_replace("file", r"\.txt$", "")
-    lower = F.lower(base)
-    kind = F.when(lower.isin(movements), "movement") if movements else F.lit(None).cast("string")
-    place = F.when(lower.isin(movements), -1) if movements else F.lit(None).cast("int")
-    for i, rule in enumerate(rules):
-        place = F.coalesce(place, F.when(F.rlike(base, F.lit("(?i)" + rule[0])), F.lit(i)))
-    rows = files.withColumn("_base", lower).withColumn("_rule", place)
-
-    def pick(index: int, default: Column) -> Column:
-        out = default
-        for i, rule in enumerate(rules):
-            value = rule[index]
-            if value:
-                lit = F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
-                out = F.when(F.col("_rule") == i, lit).otherwise(out)
-        return out
-
-    none = F.lit(None).cast("string")
-    raw_kind = F.when(F.col("_rule") == -1, "movement").otherwise(pick(1, none))
-    slug = F.concat(F.lit("movement:"), F.replace("_base", F.lit("_"), F.lit("-")))
-    material = F.concat(F.lit("material-class:"), F.regexp_extract("_base", "^material_(.+)$", 1))
-    tags = pick(2, F.array().cast("array<string>"))
-    return rows.withColumn("_kind", raw_kind).select(
-        "file",
-        F.when(F.col("_kind").isin("tag", "material", "skip"), "content").otherwise(F.coalesce("_kind", F.lit("unmatched"))).alias("kind"),
-        F.when(F.col("_kind") == "movement", F.array(slug)).when(F.col("_kind") == "material", F.array(material)).otherwise(tags).alias("tags"),
-        pick(3, none).alias("axis"),
-        pick(4, none).alias("pole"),
-        F.when(F.col("_kind") == "movement", slug).alias("movement_slug"),
-        F.when(F.col("_kind") == "movement", F.trim(F.translate("_base", "_-", "  "))).alias("movement_name"),
-        F.coalesce(F.col("_kind") == "skip", F.lit(False)).alias("skip_co_membership"),
-    )
+    base = F.lower(F.regexp_replace("file", r"\.txt$", ""))
+    first = lambda b: F.try_element_at(F.filter(rule_table(rules, movements), lambda r: F.rlike(b, r["pattern"])), F.lit(1))
+
+    def described(b: Column) -> Column:
+        return let(first(b), lambda r: labelled(b, r))
+
+    def labelled(b: Column, r: Column) -> Column:
+        kind = r["kind"]
+        slug = F.concat(F.lit("movement:"), F.replace(b, F.lit("_"), F.lit("-")))
+        material = F.concat(F.lit("material-class:"), F.regexp_extract(b, "^material_(.+)$", 1))
+        movement = kind == "movement"
+        return F.struct(
+            F.when(kind.isin("tag", "material", "skip"), "content").otherwise(F.coalesce(kind, F.lit("unmatched"))).alias("kind"),
+            F.when(movement, F.array(slug))
+            .when(kind == "material", F.array(material))
+            .otherwise(F.coalesce(r["tags"], F.array().cast("array<string>")))
+            .alias("tags"),
+            r["axis"].alias("axis"),
+            r["pole"].alias("pole"),
+            F.when(movement, slug).alias("movement_slug"),
+            F.when(movement, F.trim(F.translate(b, "_-", "  "))).alias("movement_name"),
+            F.coalesce(kind == "skip", F.lit(False)).alias("skip_co_membership"),
+        )
+
+    return files.select("file", let(base, described).alias("d")).select("file", "d.*")
 
 
 def edge_id(source: str) -> Column:

@@ -124,7 +124,7 @@ def grade(pairs: DataFrame, include_artists: bool = False) -> DataFrame:
     """The three axes and the combined score of each pair."""
     both = vocabulary_overlap(pairs, include_artists).join(form_scores(pairs), "image_id")
     total = combined(F.col("vocabulary_overlap"), F.col("length_ratio"), F.col("structure_score"))
-    tidy = lambda c, d: F.round(F.round(c, 9), d)
+    tidy = lambda c, d: F.floor(c * 10**d + 0.5) / 10**d
     return both.select(
         "image_id",
         "total",

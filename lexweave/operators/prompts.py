@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import strip, text_key, words
+from lexweave.functions.text import let, strip, text_key, words
 from lexweave.operators.resolve import text_search
 from lexweave.operators.vectors import is_chunk_id, knn
 
@@ -55,49 +55,55 @@ def _some(text: Column, parts: list[str]) -> Column:
     return out
 
 
-def typed_term(segment: Column) -> Column:
-    """(term, term_type) of one segment; null when it is no known type."""
-    s = text_key(segment)
-    suffix = lambda end: F.regexp_extract(s, rf"\b\w+{end}\b", 0)
+def _kind(s: Column) -> Column:
     colored = lambda side: F.exists(words(side), lambda w: w.isin(COLOR_WORDS + COLOR_MODIFIERS))
     pair = r"^(.+?)\s+and\s+(.+)$"
-    colors = F.rlike(s, F.lit(pair)) & colored(F.regexp_extract(s, pair, 1)) & colored(F.regexp_extract(s, pair, 2))
-    kind = (
+    colors = F.contains(s, F.lit(" and ")) & colored(F.regexp_extract(s, pair, 1)) & colored(F.regexp_extract(s, pair, 2))
+    ends = lambda end: F.contains(s, F.lit(end)) & F.rlike(s, F.lit(rf"\b\w+{end}\b"))
+    return (
         F.when(F.length(s) < 2, None)
-        .when(suffix("core") != "", "core")
-        .when(suffix("punk") != "", "punk")
-        .when(suffix("wave") != "", "wave")
+        .when(ends("core"), "core")
+        .when(ends("punk"), "punk")
+        .when(ends("wave"), "wave")
         .when(_some(s, RENDERING_ENGINES), "rendering_engine")
         .when(F.rlike(s, F.lit("|".join(QUALITY_PATTERNS))), "quality_booster")
         .when(_some(s, FILM_STOCKS), "film_stock")
         .when(_some(s, CAMERA_BODIES), "camera_body")
         .when(colors, "color_pair")
     )
-    term = F.when(kind == "core", suffix("core")).when(kind == "punk", suffix("punk")).when(kind == "wave", suffix("wave")).otherwise(s)
-    return F.struct(term.alias("term"), kind.alias("term_type"))
+
+
+def typed_term(segment: Column) -> Column:
+    """(term, term_type) of one segment; the type is null when it has none."""
+
+    def named(s: Column) -> Column:
+        part = lambda end: F.regexp_extract(s, rf"\b\w+{end}\b", 0)
+        word = lambda k: F.when(k == "core", part("core")).when(k == "punk", part("punk")).when(k == "wave", part("wave"))
+        return let(_kind(s), lambda k: F.struct(F.coalesce(word(k), s).alias("term"), k.alias("term_type")))
+
+    return let(text_key(segment), named)
 
 
 def extract_terms(prompts: DataFrame) -> DataFrame:
     """(prompt_id, image_id, term, term_type) of prompts (prompt_id, image_id, prompt).
 
     Artists come from "in the style of X"; one that is of another type counts as
-    that. Other comma segments count when they have a type.
+    that. Other comma segments count when they have a type. Segments are typed
+    inside the row, so only typed ones become rows.
     """
-    artists = F.transform(
-        F.regexp_extract_all("prompt", F.lit(ARTIST), F.lit(1)),
-        lambda a: F.struct(text_key(a).alias("segment"), F.lit(True).alias("artist")),
-    )
+
+    def artist(t: Column) -> Column:
+        return F.struct(t["term"].alias("term"), F.coalesce(t["term_type"], F.lit("artist")).alias("term_type"))
+
+    styles = F.regexp_extract_all("prompt", F.lit(ARTIST), F.lit(1))
+    artists = F.transform(F.transform(styles, typed_term), artist)
     parts = F.filter(F.split("prompt", ","), lambda s: ~F.rlike(strip(s), F.lit(r"(?i)^in the style of")))
-    segments = F.transform(parts, lambda s: F.struct(strip(s).alias("segment"), F.lit(False).alias("artist")))
-    rows = prompts.select("prompt_id", "image_id", F.explode(F.concat(artists, segments)).alias("s"))
-    rows = rows.withColumn("t", typed_term(F.col("s.segment")))
-    named = F.col("s.artist") & F.col("t.term_type").isNull() & (F.length("s.segment") > 1)
-    return rows.select(
-        "prompt_id",
-        "image_id",
-        F.when(named, F.col("s.segment")).otherwise(F.col("t.term")).alias("term"),
-        F.when(named, "artist").otherwise(F.col("t.term_type")).alias("term_type"),
-    ).filter(F.col("term_type").isNotNull() & (F.length("term") >= 2))
+    typed = F.filter(
+        F.concat(artists, F.transform(parts, typed_term)), lambda t: t["term_type"].isNotNull() & (F.length(t["term"]) >= 2)
+    )
+    return prompts.select("prompt_id", "image_id", F.explode(typed).alias("t")).select(
+        "prompt_id", "image_id", "t.term", "t.term_type"
+    )
 
 
 def audit_terms(

@@ -217,8 +217,11 @@ def fill_slots(
     shares = best.select("template", "slot_name", "atom_id", (F.col("frequency") / F.col("_max")).alias("exemplar_score"))
     # one row per (template, slot, term)
     shares = shares.groupBy("template", "slot_name", "atom_id").agg(F.max("exemplar_score").alias("exemplar_score"))
-    pools = candidate_pools(atoms)
-    affinity, resonance, opposed = pair_affinity(relations), pair_resonance(edges), opposed_contexts(relations)
+    # every round reads these, so each is worked out once
+    shares, pools, intents, profiles = (cut_lineage(df) for df in (shares, candidate_pools(atoms), intents, profiles))
+    affinity, resonance, opposed = (
+        cut_lineage(df) for df in (pair_affinity(relations), pair_resonance(edges), opposed_contexts(relations))
+    )
     none = F.lit(None).cast("array<struct<atom_id:string,score:double>>")
     filled = None
     schema = "request_id string, slot_name string, atom_id string, guidance string, score double, alternatives array<struct<atom_id:string,score:double>>"
@@ -235,7 +238,8 @@ def fill_slots(
         )
         asked = now.filter(F.col("seed_id").isNull() & F.col("guidance").isNull())
         picked = chosen.filter(F.col("atom_id").isNotNull())
-        cands = score_slot(asked, picked, pools, shares, intents, profiles, affinity, resonance, opposed)
+        # at most PICK_FROM rows per request, read three times below
+        cands = cut_lineage(score_slot(asked, picked, pools, shares, intents, profiles, affinity, resonance, opposed))
         winners = weighted_pick(cands, ["request_id", "slot_name"], "score", seed)
         others = (
             cands.join(winners.select("request_id", F.col("atom_id").alias("_w")), "request_id")

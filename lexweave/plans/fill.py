@@ -91,6 +91,8 @@ STEM_SQL = "CASE WHEN length({w}) < 5 THEN {w} " + " ".join(
     f"WHEN ends_with({{w}}, '{s}') AND length({{w}}) - {len(s)} >= 3 THEN left({{w}}, length({{w}}) - {len(s)})" for s in ev.STEM_SUFFIXES
 ) + " ELSE {w} END"
 WS = "concat(' ', chr(9), chr(10), chr(13))"
+# the check engine measures distance in bytes, so accented letters become one-byte marks
+ACC = "'àâäáãçèéêëìíîïñòóôöõùúûüßœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ1'"
 PAIRS = f"""
     cand AS (SELECT CAST(conv_id AS VARCHAR) AS image_id, arg_max(text, turn) AS candidate FROM conversations WHERE role = 'assistant' GROUP BY 1),
     refs AS (SELECT CAST(conv_id AS VARCHAR) AS image_id, turn, text || ', in the style of Someone, 8K uhd' AS ref FROM conversations WHERE role = 'user' AND CAST(conv_id AS VARCHAR) IN (SELECT image_id FROM cand)),
@@ -102,7 +104,7 @@ PAIRS = f"""
     graded AS (SELECT image_id, token,
         EXISTS (SELECT 1 FROM seg g WHERE g.image_id = t.image_id AND contains(g.s, t.token)) AS exact_hit,
         EXISTS (SELECT 1 FROM stemmed g WHERE g.image_id = t.image_id AND contains(g.s, {STEM_SQL.format(w='t.token')})) AS stem_hit,
-        EXISTS (SELECT 1 FROM words g WHERE g.image_id = t.image_id AND abs(length(g.w) - length(t.token)) <= 3 AND levenshtein(g.w, t.token) <= CASE WHEN length(t.token) < 10 THEN 2 ELSE 3 END) AS near_hit
+        EXISTS (SELECT 1 FROM words g WHERE g.image_id = t.image_id AND abs(length(g.w) - length(t.token)) <= 3 AND levenshtein(translate(g.w, {ACC}), translate(t.token, {ACC})) <= CASE WHEN length(t.token) < 10 THEN 2 ELSE 3 END) AS near_hit
       FROM tok t)"""
 
 
@@ -125,8 +127,8 @@ FORM = r"""
     WITH {PAIRS}, {FORM},
     v AS (SELECT p.image_id, count(token) AS total, count(*) FILTER (exact_hit OR stem_hit OR near_hit) AS matched FROM pair p LEFT JOIN graded g USING (image_id) GROUP BY 1),
     s AS (SELECT *, CASE WHEN total = 0 THEN 1.0 ELSE matched / total END AS voc FROM v JOIN form USING (image_id))
-    SELECT image_id, total, matched, round(round(voc, 9), 3) AS vocabulary_overlap, round(round(length_ratio, 9), 2) AS length_ratio, round(round(structure_score, 9), 3) AS structure_score,
-      round(round(voc * 0.5 + (1 - least(abs(length_ratio - 1), 1)) * 0.25 + structure_score * 0.25, 9), 3) AS combined FROM s""")
+    SELECT image_id, total, matched, floor(voc * 1000 + 0.5) / 1000 AS vocabulary_overlap, floor(length_ratio * 100 + 0.5) / 100 AS length_ratio, floor(structure_score * 1000 + 0.5) / 1000 AS structure_score,
+      floor((voc * 0.5 + (1 - least(abs(length_ratio - 1), 1)) * 0.25 + structure_score * 0.25) * 1000 + 0.5) / 1000 AS combined FROM s""")
 def grade(t: Inputs):
     return ev.grade(_pairs(t))
 
