@@ -38,6 +38,14 @@ def profile_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.sqrt(total)
 
 
+def squared_gap(a: dict[str, Column], b: Column, dims: list[str]) -> Column:
+    """Sum of squared gaps of values that are known on both sides."""
+    total = F.lit(0.0)
+    for dim in dims:
+        total = total + (a[dim] - b[dim]) * (a[dim] - b[dim])
+    return total
+
+
 def profile_similarity(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """1 minus the mean absolute gap over the six dimensions."""
     dims = [*DIMENSIONS, "register"]

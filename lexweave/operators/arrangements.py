@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.maths import DIMENSIONS, profile_distance
+from lexweave.functions.maths import DIMENSIONS, NEUTRAL, squared_gap
 from lexweave.functions.sizing import attach_packed
 
 # Fixed values of the tagger.
@@ -40,25 +40,24 @@ def score_profiles(
     A profile whose words contain the text, or are contained in it, counts as
     distance 0. Profiles are scored inside the row, so no pair leaves the task.
     """
-    profiles = arrangements.filter(F.col("hardness").isNotNull()).select(
-        "slug", slug_words("slug").alias("words"), *DIMENSIONS, "register"
-    )
-    packed, single = attach_packed(
-        atoms.select("id", "text_lower", *DIMENSIONS, "register"), profiles, "profiles"
-    )
-    own = {d: F.col(d) for d in [*DIMENSIONS, "register"]}
+    dims = [*DIMENSIONS, "register"]
+    known = [F.coalesce(d, F.lit(NEUTRAL)).alias(d) for d in dims]
+    profiles = arrangements.filter(F.col("hardness").isNotNull()).select("slug", slug_words("slug").alias("words"), *known)
+    packed, single = attach_packed(atoms.select("id", "text_lower", *known), profiles, "profiles")
+    long_enough = F.length("text_lower") >= MIN_TEXT
 
     def scored(p: Column) -> Column:
         near = F.contains("text_lower", p["words"]) | F.contains(p["words"], F.col("text_lower"))
-        far = profile_distance(own, {d: p[d] for d in [*DIMENSIONS, "register"]})
-        dist = F.when((F.length("text_lower") >= MIN_TEXT) & near, F.lit(0.0)).when(
-            far <= max_distance, F.round(far, 3)
+        return F.struct(
+            F.when(long_enough & near, F.lit(0.0)).otherwise(squared_gap({d: F.col(d) for d in dims}, p, dims)).alias("sq"),
+            p["slug"].alias("slug"),
         )
-        return F.struct(dist.alias("dist"), p["slug"].alias("slug"))
 
-    best = F.array_sort(
-        F.filter(F.transform("profiles", scored), lambda s: s["dist"].isNotNull())
-    )
+    def measured(s: Column) -> Column:
+        return F.struct(F.round(F.sqrt(s["sq"]), 3).alias("dist"), s["slug"].alias("slug"))
+
+    inside = F.filter(F.transform("profiles", scored), lambda s: F.sqrt(s["sq"]) <= max_distance)
+    best = F.array_sort(F.transform(inside, measured))
     tags = packed.select("id", F.slice(best, 1, top_n).alias("tags"))
     if not single:
         tags = tags.groupBy("id").agg(

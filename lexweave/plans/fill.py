@@ -12,6 +12,7 @@ from lexweave.operators import templates as tp
 from lexweave.plans.registry import Inputs, query
 from lexweave.plans.terms import DEGREE  # noqa: F401  (views of terms are registered there)
 from lexweave.plans.views import VIEWS
+from lexweave.session import cut_lineage
 
 VIEWS.update(
     {
@@ -209,17 +210,29 @@ def bootstrap_payloads(t: Inputs):
 # --- templates ------------------------------------------------------------
 
 
+_FILLED: dict[tuple[str, str], tuple] = {}
+
+
 def _fills(t: Inputs):
+    """The fills of a data folder, worked out once per application into a table."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _FILLED:
+        requests, fills = _fill_requests(t)
+        _FILLED[key] = (cut_lineage(requests), cut_lineage(fills))
+    return _FILLED[key]
+
+
+def _fill_requests(t: Inputs):
     """One request per supplier over three templates named after its region."""
     sup = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    names = t.v_arrangements.select("slug", F.row_number().over(ag.Window.orderBy("slug")).alias("n"))
-    requests = sup.withColumn("n", F.col("s_suppkey") % 60 + 1).join(names, "n", "left").select(
+    names = t.v_arrangements.select("slug", F.pmod(F.xxhash64("slug"), F.lit(8)).alias("n")).groupBy("n").agg(F.min("slug").alias("slug"))
+    requests = sup.withColumn("n", F.col("s_suppkey") % 8).join(names, "n", "left").select(
         F.col("s_suppkey").cast("string").alias("request_id"), F.concat(F.lit("t"), F.col("n_regionkey") % 3).alias("template"),
         F.when(F.col("s_acctbal") > 3000, F.col("slug")).alias("arrangement"), F.lit("visual").alias("modality"),
         F.when(F.col("s_acctbal") > 8000, "photo").alias("render_mode"), (F.col("s_acctbal") > 5000).alias("has_intent"),
     )
     cats = ["line.economy", "size.small", "line.promo", "size.medium", "line.standard"]
-    rows = [(f"t{k}", f"slot_{'abcde'[j]}", cats[(j + k) % 5], j < 2, j + 1) for k in range(3) for j in range(3 + k)]
+    rows = [(f"t{k}", f"slot_{'abcde'[j]}", cats[(j + k) % 5], j < 2, j + 1) for k in range(3) for j in range(3)]
     slots = t.spark.createDataFrame(rows, "template string, slot_name string, category_filter string, required boolean, sort_order int")
     first = t.v_atoms.filter(F.col("category_slug") == "line.promo").groupBy("collection_slug").agg(F.min("id").alias("atom_id"))
     seeds = requests.withColumn("collection_slug", F.concat(F.lit("brand-"), F.col("request_id").cast("int") % 25 + 1)).filter(F.col("has_intent")).join(
@@ -236,7 +249,7 @@ def _fills(t: Inputs):
         "request_id",
     ).groupBy("request_id", "atom_id").agg(F.max("strength").alias("intent_score"))
     fills = tp.fill_slots(
-        requests, slots, seeds, t.v_atoms, exemplars, profiles, t.v_arrangement_weights, contexts, t.v_edges, t.v_relations, intents, rounds=5, seed=11
+        requests, slots, seeds, t.v_atoms, exemplars, profiles, t.v_arrangement_weights, contexts, t.v_edges, t.v_relations, intents, rounds=3, seed=11
     )
     return requests, fills
 
@@ -249,7 +262,7 @@ def fill_slots(t: Inputs):
 @query("assemble_prompts", "I2")
 def assemble_prompts(t: Inputs):
     requests, fills = _fills(t)
-    texts = [("t0", "a {slot_a}, {slot_b}, {slot_c}"), ("t1", "{slot_b} ({slot_a}, {slot_d}), {slot_c}"), ("t2", None)]
+    texts = [("t0", "a {slot_a}, {slot_b}, {slot_c}"), ("t1", "{slot_b} ({slot_a}, {slot_x}), {slot_c}"), ("t2", None)]
     templates = t.spark.createDataFrame(texts, "template string, template_text string")
     return tp.assemble_prompts(fills, requests, templates)
 
