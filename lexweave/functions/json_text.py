@@ -34,4 +34,4 @@ def _object_part(fenced: Column) -> Column:
 
 def clamp2(c: Column) -> Column:
     """Into 0..1, two digits."""
-    return F.when(c.isNotNull(), F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)), 2))
+    return F.when(c.isNotNull(), F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * 100 + 0.5) / 100)

@@ -105,7 +105,7 @@ def harvest_samples(t: Inputs):
     return out.select("collection_slug", "id", "text", "place")
 
 
-@query("daily_review", "A5", """
+@query("daily_review", "A5 X6", """
     WITH a AS (SELECT *, CASE WHEN p > 0.5 THEN updated_at + INTERVAL 6 HOUR END AS done FROM (SELECT *, temperature AS p FROM v_atoms)),
     cut AS (SELECT TIMESTAMP '2024-01-29 12:00:00' AS c)
     SELECT 'totals' AS section, unnest(['new_atoms', 'updated_atoms', 'latency_avg_hours', 'latency_min_hours', 'latency_max_hours', 'latency_count']) AS key,
@@ -190,7 +190,7 @@ TREND_LIST = """
       QUALIFY row_number() OVER (PARTITION BY topic ORDER BY max(scan_date) DESC, {col}) <= {cap}) GROUP BY 1)"""
 
 
-@query("trend_rollup", "A13 W5", f"""
+@query("trend_rollup", "A13 W5 X8", f"""
     WITH cur AS (SELECT * FROM v_signals WHERE scan_date >= DATE '2024-01-30' - 7),
     prior AS (SELECT topic, count(*) AS prior_mentions FROM v_signals WHERE scan_date >= DATE '2024-01-30' - 14 AND scan_date < DATE '2024-01-30' - 7 GROUP BY 1),
     sent AS (SELECT topic, string_agg(sentiment || '=' || n, ',' ORDER BY sentiment) AS sentiments FROM (SELECT topic, sentiment, count(*) AS n FROM cur GROUP BY 1, 2) GROUP BY 1),

@@ -153,7 +153,7 @@ def with_degree(t: Inputs):
     return t.v_atoms.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-@query("phase_candidates", "F8", f"""
+@query("phase_candidates", "F8 X6", f"""
     WITH {DEGREE},
     a AS (SELECT v.*, coalesce(degree, 0) AS degree FROM v_atoms v LEFT JOIN deg ON v.id = deg.id
           WHERE last_enqueued_at IS NULL OR last_enqueued_at < TIMESTAMP '2024-03-01 00:00:00' - INTERVAL 30 MINUTE)
