@@ -95,12 +95,12 @@ def keyword_hits(items: DataFrame, keywords: DataFrame) -> DataFrame:
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({WORD}+)"), F.lit(1)))
     own_salt = F.concat(F.lit(" "), F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("string"))
     texts = items.select("item_id", F.lower("text").alias("text"))
-    return (
-        texts.withColumn("anchor", F.explode(F.array_append(tokens, own_salt)))
-        .join(rows, "anchor")
-        .filter((F.col("anchor") == F.col("keyword")) | F.rlike("text", F.col("pattern")))
-        .select("item_id", "keyword")
+    # words travel without their text; only items with a candidate meet it again
+    found = texts.select("item_id", F.explode(F.array_append(tokens, own_salt)).alias("anchor")).join(rows, "anchor")
+    hit = (F.col("anchor") == F.col("keyword")) | (
+        F.contains("text", F.col("keyword")) & F.rlike("text", F.col("pattern"))
     )
+    return found.join(texts, "item_id").filter(hit).select("item_id", "keyword")
 
 
 def score_feed_items(items: DataFrame, keywords: DataFrame, sources: DataFrame) -> DataFrame:
