@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.neardup import near_duplicates
+from lexweave.llm.packing import pack
 from lexweave.llm.quality import fit_quality, held_out, quality_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,18 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of the packed documents under the 50k byte-level vocabulary, with their checksums."""
+    import public_tokenizers
+
+    vocabulary = {k: public_tokenizers.path(f"byte_bpe_50k.{v}") for k, v in (("path", "json"), ("ranks", "tiktoken"))}
+    return pack(docs, **vocabulary).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
