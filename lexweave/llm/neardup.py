@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm import words as W
-from lexweave.llm.tables import components, text_of
+from lexweave.llm.tables import components, small_enough, text_of
 from lexweave.session import cut_lineage
 
 SHINGLE = 5
@@ -28,6 +28,8 @@ BANDS = 40
 ROWS = 8
 #: Texts of one group that a task compares with each other at a time.
 BLOCK = 512
+#: Up to so many candidate texts (two longs each) are broadcast to the scan of the texts; more are joined by a shuffle.
+SMALL_ROWS = 1_000_000
 
 
 def dart_signatures(
@@ -210,7 +212,7 @@ def near_duplicates(
     candidates = keys.join(shared, "band").where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
     groups = cut_lineage(components(candidates))
     members = (
-        base.select("node", "text").join(groups, "node").groupBy("node", "root").agg(F.first("text").alias("text"))
+        base.select("node", "text").join(small_enough(groups, SMALL_ROWS), "node").groupBy("node", "root").agg(F.first("text").alias("text"))
     )
     edges = verified_edges(cut_lineage(members), size=size, threshold=threshold, block=block)
     classes = components(edges)
