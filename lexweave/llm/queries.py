@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.decontam import find_contaminated
 from lexweave.llm.neardup import near_duplicates
 from lexweave.llm.packing import pack
 from lexweave.llm.quality import fit_quality, held_out, quality_scores
@@ -54,3 +55,8 @@ def packed(docs: DataFrame) -> DataFrame:
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
