@@ -249,11 +249,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Of rows repeated in id and text one stays; rows without a word all stay.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where("is_kept").groupBy(id_col, "node").agg(F.count("*").alias("_n"), F.max("class_size").alias("_size"))
-    kept = kept.select(F.col(id_col).alias("_id"), F.col("node").alias("_node"), "_n", "_size")
-    named = docs.withColumn("_node", F.xxhash64(text_of(docs, text_col))).alias("d")
-    joined = named.join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) & (F.col("d._node") == F.col("k._node")))
-    marked = joined.select("d.*", "k._n", "k._size")
-    single = marked.where("_n = 1 OR _size = 1")
-    repeated = marked.where("_n > 1 AND _size > 1").dropDuplicates(["_node"])
+    kept = found.where("is_kept").groupBy(id_col, "node").agg(F.count("*").alias("__lw_n"), F.max("class_size").alias("__lw_size"))
+    kept = kept.select(F.col(id_col).alias("__lw_id"), F.col("node").alias("__lw_node"), "__lw_n", "__lw_size")
+    named = docs.withColumn("__lw_node", F.xxhash64(text_of(docs, text_col))).alias("d")
+    joined = named.join(kept.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.__lw_id")) & (F.col("d.__lw_node") == F.col("k.__lw_node")))
+    marked = joined.select("d.*", "k.__lw_n", "k.__lw_size")
+    single = marked.where("__lw_n = 1 OR __lw_size = 1")
+    repeated = marked.where("__lw_n > 1 AND __lw_size > 1").dropDuplicates(["__lw_node"])
     return single.union(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

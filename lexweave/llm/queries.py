@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lexweave.llm.decontam import find_contaminated
 from lexweave.llm.neardup import near_duplicates
 from lexweave.llm.packing import pack
+from lexweave.llm.pii import replace_pii
 from lexweave.llm.quality import fit_quality, held_out, quality_scores
+from lexweave.llm.rules import judged, log_ratios
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +62,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return judged(docs, log_ratios(docs, trusted))
+
+
+@query
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, key="corpus")
