@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.decontam import find_contaminated
+from lexweave.llm.licenses import license_spans
 from lexweave.llm.neardup import near_duplicates
 from lexweave.llm.packing import pack
 from lexweave.llm.pii import replace_pii
@@ -75,3 +76,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_pii(docs, key="corpus")
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["is_phrase"])
+
+    def labels(spans):
+        return F.array_join(F.sort_array(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda s: s["first"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels("spans").alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"),
+    )
