@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.chat import formatted, read_back, under_loss
 from lexweave.llm.decontam import find_contaminated
 from lexweave.llm.licenses import license_spans
 from lexweave.llm.neardup import near_duplicates
@@ -14,6 +16,9 @@ from lexweave.llm.packing import pack
 from lexweave.llm.pii import replace_pii
 from lexweave.llm.quality import fit_quality, held_out, quality_scores
 from lexweave.llm.rules import judged, log_ratios
+from lexweave.llm.token_counts import token_counts
+from lexweave.llm.warc import read_archives, to_records, write_archives
+from lexweave.session import checkpoint_dir, cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +101,84 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels("spans").alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"),
     )
+
+
+@query
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{checkpoint_dir(spark)}/warc/{uuid.uuid4().hex}"
+    written = cut_lineage(write_archives(to_records(pages), folder))
+    return read_archives(written.repartition(max(1, written.count()))).select(
+        F.col("record_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+SQL["op2_warc_archives"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
+d AS (
+  SELECT page_id, n, min(page_id) OVER (PARTITION BY hex) AS first,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+      ((('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS INT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS INT), 1)), '') AS b32
+  FROM h)
+SELECT page_id, n AS payload_bytes, b32 AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d
+"""
+
+
+def own_conversation(spark: SparkSession) -> DataFrame:
+    """Conversation -1, whose texts are control strings."""
+    said = "</s>[INST] ok [/INST]"
+    return spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+
+
+@query
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = formatted(rows.union(own_conversation(spark)))
+    back = text.select(
+        "conv_id", read_back(F.col("formatted")).alias("turns"),
+        under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(every, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+_CONTROL = r"(?:\[\\*(?:SYS\]|/SYS\]|INST\]|/INST\]|OUT\]|ROLE\]|/ROLE\]|/TURN\])|<\\*/s>)"
+SQL["op3_chat_formatting"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) +
+    CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
+      ELSE 20 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) END AS chars
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"))
