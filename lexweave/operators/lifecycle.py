@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,10 +132,11 @@ def stale_vectors(atoms: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(atoms.filter(F.col("status") == "rejected").select("id"), "id", "left_semi")
 
 
-def collection_tree(collections: DataFrame, max_depth: int = 32) -> DataFrame:
+def collection_tree(collections: DataFrame) -> DataFrame:
     """(slug, path, depth) from the roots down; an unknown parent makes a root.
 
-    One join per level, until a level is empty.
+    One join per level, until a level is empty. A slug is not taken below itself, so a
+    repeated slug cannot go round; ``collection_cycles`` names what no root reaches.
     """
     known = collections.select(F.col("slug").alias("parent_slug")).distinct()
     rooted = collections.join(known.withColumn("_known", F.lit(True)), "parent_slug", "left")
@@ -141,10 +144,10 @@ def collection_tree(collections: DataFrame, max_depth: int = 32) -> DataFrame:
         "slug", F.col("slug").alias("path"), F.lit(0).alias("depth")
     )
     tree = level
-    for depth in range(1, max_depth):
+    for depth in itertools.count(1):
         above = level.select(F.col("slug").alias("parent_slug"), F.col("path").alias("above"))
         level = cut_lineage(
-            collections.join(above, "parent_slug").select(
+            collections.join(above, "parent_slug").filter(~F.array_contains(F.split("above", "/"), F.col("slug"))).select(
                 "slug", F.concat_ws("/", "above", "slug").alias("path"), F.lit(depth).alias("depth")
             )
         )
@@ -154,6 +157,11 @@ def collection_tree(collections: DataFrame, max_depth: int = 32) -> DataFrame:
     return tree
 
 
+def collection_cycles(collections: DataFrame, tree: DataFrame) -> DataFrame:
+    """Collections that no root reaches: those on a cycle of parents, and those below one."""
+    return collections.join(tree.select("slug").distinct(), "slug", "left_anti")
+
+
 def creators(films: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct (name, role) with a hashed id, and the links to their films."""
     from lexweave.functions.text import sha_key

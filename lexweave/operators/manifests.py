@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.maths import DIMENSIONS
-from lexweave.functions.sizing import attach_packed
+from lexweave.functions.sizing import attach_packed, broadcast_if_small
 from lexweave.operators.edges import both_directions
 
 # Provenances a manifest carries unless its spec names others.
@@ -110,7 +110,7 @@ def manifest_relations(specs: DataFrame, atoms: DataFrame, snapshot: dict[str, D
     rows = (
         snapshot["relations"]
         .join(member, "id")
-        .join(rules, "slug")
+        .join(broadcast_if_small(rules), "slug")
         .filter(F.array_contains("provenances", F.col("provenance")))
         .join(member.select("slug", F.col("id").alias("neighbour_id"), F.lit(True).alias("_in")), ["slug", "neighbour_id"], "left")
     )

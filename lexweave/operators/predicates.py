@@ -156,7 +156,8 @@ def list_atoms(
 ) -> tuple[DataFrame, DataFrame]:
     """One page of terms, and a one-row frame with the totals of the same filters.
 
-    ``total`` counts all matches; ``total_after`` counts those past the cursor.
+    ``total`` counts all matches; ``total_after`` counts those past the cursor. Far
+    pages are cheap by the cursor ``after``; ``offset`` reads all it passes over.
     """
     for name, value in [
         ("collection_slug", collection),
@@ -170,11 +171,10 @@ def list_atoms(
         atoms = atoms.filter(F.contains("text_lower", F.lit(q.lower().strip())))
     past = F.col("id") > after if after else F.lit(True)
     totals = atoms.agg(F.count("*").alias("total"), F.count_if(past).alias("total_after"))
-    size = min(limit, 500)
     if after:
-        page = atoms.filter(past).orderBy("id").limit(size)
+        page = atoms.filter(past).orderBy("id").limit(limit)
     else:
-        page = atoms.orderBy(F.desc("created_at"), "id").offset(offset).limit(size)
+        page = atoms.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
     return page, totals
 
 
@@ -184,7 +184,7 @@ def review_queue(atoms: DataFrame, limit: int = 50, offset: int = 0) -> DataFram
         atoms.filter(F.col("status") == "provisional")
         .orderBy(F.desc("encounter_count"), "created_at", "id")
         .offset(offset)
-        .limit(min(limit, 500))
+        .limit(limit)
     )
 
 

@@ -17,7 +17,6 @@ from lexweave.session import cut_lineage
 TIER_WEIGHT = {1: 1.0, 2: 0.6, 3: 0.2}
 WEIGHTS_WITH_PROFILE = {"exemplar": 0.30, "resonance": 0.25, "harmonic": 0.25, "tier": 0.15, "semantic": 0.05}
 WEIGHTS_PLAIN = {"exemplar": 0.40, "resonance": 0.30, "harmonic": 0.00, "tier": 0.20, "semantic": 0.10}
-POOL_SIZE = 200
 PICK_FROM = 5
 ALTERNATIVES = 3
 RANDOM_FLOOR = 0.05
@@ -98,15 +97,12 @@ def opposed_contexts(relations: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array("source_atom_id", "target_atom_id")).alias("atom_id"), "context").distinct()
 
 
-def candidate_pools(atoms: DataFrame, size: int = POOL_SIZE) -> DataFrame:
-    """The first ``size`` live terms per (category, modality) by tier. A term of both
-    modalities is in either pool."""
+def candidate_pools(atoms: DataFrame) -> DataFrame:
+    """All live terms per (category, modality). A term of both modalities is in either pool."""
     modality = F.when(F.col("modality") == "both", F.array(F.lit("visual"), F.lit("narrative"))).otherwise(F.array("modality"))
-    live = atoms.filter((F.col("status") != "rejected") & F.col("category_slug").isNotNull()).select(
+    return atoms.filter((F.col("status") != "rejected") & F.col("category_slug").isNotNull()).select(
         F.col("id").alias("atom_id"), "category_slug", F.explode(modality).alias("pool"), "tier", *PROFILE
     )
-    order = Window.partitionBy("category_slug", "pool").orderBy("tier", "atom_id")
-    return live.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size).drop("_n")
 
 
 def score_slot(
@@ -124,13 +120,13 @@ def score_slot(
     cands = asked.join(
         pools.withColumnRenamed("category_slug", "category_filter"), ["category_filter", "pool"]
     ).join(chosen.select("request_id", "atom_id"), ["request_id", "atom_id"], "left_anti")
-    # candidate and chosen terms of the same request meet on their own pair keys
-    pairs = cands.select("request_id", "atom_id", "arrangement").join(
+    # from the few chosen terms to their partners, so the pool is never paired with them
+    picks = asked.select("request_id", "arrangement").distinct().join(
         chosen.select("request_id", F.col("atom_id").alias("chosen_id")), "request_id"
     )
-    res = pairs.join(resonance, ["atom_id", "chosen_id"]).groupBy("request_id", "atom_id").agg(F.sum("resonance").alias("resonance"))
+    res = picks.join(resonance, "chosen_id").groupBy("request_id", "atom_id").agg(F.sum("resonance").alias("resonance"))
     fits = (F.col("context") == "") | (F.col("context") == F.col("arrangement"))
-    boost = pairs.join(affinity, ["atom_id", "chosen_id"]).filter(fits).groupBy("request_id", "atom_id").agg(
+    boost = picks.join(affinity, "chosen_id").filter(fits).groupBy("request_id", "atom_id").agg(
         (F.max("affinity") * BOOST_CAP).alias("boost")
     )
     arr = profiles.select(F.col("slug").alias("arrangement"), *[F.col(d).alias(f"arr_{d}") for d in PROFILE], F.lit(True).alias("_profiled"))
@@ -186,13 +182,12 @@ def fill_slots(
     relations: DataFrame,
     intents: DataFrame,
     *,
-    rounds: int,
     seed: int = 0,
 ) -> DataFrame:
     """Fills (request_id, slot_name, atom_id, text, score, alternatives).
 
     ``requests``: request_id, template, arrangement, modality, render_mode,
-    has_intent. ``rounds`` is the largest number of slots of a template.
+    has_intent. There are as many rounds as the longest plan has slots.
     ``intents``: request_id, atom_id, intent_score (a reranker score where there is
     one, else the vector score). A replace-mode context fills its slot with the
     guidance text; a required slot without candidates is filled with nothing.
@@ -226,6 +221,7 @@ def fill_slots(
     filled = None
     schema = "request_id string, slot_name string, atom_id string, guidance string, score double, alternatives array<struct<atom_id:string,score:double>>"
     chosen = requests.sparkSession.createDataFrame([], schema)
+    rounds = plan.agg(F.max("rank").alias("n")).first().n or 0
     for rank in range(1, rounds + 1):
         now = plan.filter(F.col("rank") == rank)
         seeded = now.filter(F.col("seed_id").isNotNull()).select(
@@ -261,6 +257,7 @@ def fill_slots(
         )
         filled = cut_lineage(chosen.unionByName(seeded).unionByName(replaced).unionByName(scored).unionByName(empty))
         chosen = filled
+    filled = chosen if filled is None else filled
     text = atoms.select(F.col("id").alias("atom_id"), F.col("text").alias("_text"))
     order = plan.select(F.col("request_id").cast("string").alias("request_id"), "slot_name", "sort_order")
     return filled.join(text, "atom_id", "left").join(order, ["request_id", "slot_name"]).select(

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 20_000
+LEAST_ROWS = 1_000
 SCORE_DIGITS = 6
-_TILE = 1_024
+#: Bytes of scores that a task works out at a time.
+TILE_BYTES = 16 << 20
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -43,12 +45,13 @@ def _block_topk(k: int, min_sim: float | None, same_part: bool):
         b_part = right.column("part").to_numpy()[order] if same_part else None
         take = min(k, len(b_ids))
         rows_q, rows_b, rows_s = [], [], []
-        for start in range(0, len(q_ids), _TILE):
-            tile = query[start : start + _TILE]
+        step = max(1, TILE_BYTES // (8 * len(b_ids)))
+        for start in range(0, len(q_ids), step):
+            tile = query[start : start + step]
             score = np.round(tile @ base.T, SCORE_DIGITS)
             if same_part:
                 score = np.where(
-                    q_part[start : start + _TILE, None] == b_part[None, :], score, -np.inf
+                    q_part[start : start + step, None] == b_part[None, :], score, -np.inf
                 )
             # base ids are ascending, so a stable sort breaks ties by id
             if take < len(b_ids):
@@ -76,6 +79,13 @@ def _block_topk(k: int, min_sim: float | None, same_part: bool):
     return run
 
 
+def blocks_of(rows: DataFrame, block_rows: int) -> int:
+    """Even blocks of at most about ``block_rows`` rows, and of ``LEAST_ROWS`` at least where that busies more tasks."""
+    n = rows.count()
+    tasks = math.ceil(math.sqrt(rows.sparkSession.sparkContext.defaultParallelism))
+    return max(1, math.ceil(n / block_rows), min(tasks, math.ceil(n / LEAST_ROWS)))
+
+
 def knn(
     queries: DataFrame,
     base: DataFrame,
@@ -92,26 +102,26 @@ def knn(
     multiplies one query block with one base block and keeps only k rows per
     query, so the n x m pairs never exist as rows. Hash blocks stay even however
     the vectors cluster. ``part_col`` limits neighbours to the same value
-    (a namespace or category). Scores are rounded to 6 digits and ties go to the
+    (a namespace or category); a null part has no neighbours. Scores are rounded to 6 digits and ties go to the
     lower id. Result: query_id, neighbour_id, score, rank.
     """
     if base_filter is not None:
         base = base.filter(base_filter)
     part = F.col(part_col).cast("string") if part_col else F.lit("")
+    if part_col:
+        base = base.filter(F.col(part_col).isNotNull())
+        queries = queries.filter(F.col(part_col).isNotNull())
 
     def side(df: DataFrame, own: str, blocks: int, other: str, other_blocks: int) -> DataFrame:
         cols = df.select(
             F.col("id").cast("string").alias("id"),
             F.col("vec").cast("array<double>").alias("vec"),
-            F.coalesce(part, F.lit("")).alias("part"),
+            part.alias("part"),
         )
         cols = cols.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         return cols.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
 
-    q_rows = queries.count()
-    b_rows = q_rows if base is queries else base.count()
-    q_blocks = max(1, math.ceil(q_rows / block_rows))
-    b_blocks = max(1, math.ceil(b_rows / block_rows))
+    q_blocks, b_blocks = blocks_of(queries, block_rows), blocks_of(base, block_rows)
     left = side(queries, "_qb", q_blocks, "_bb", b_blocks)
     right = side(base, "_bb", b_blocks, "_qb", q_blocks)
     hits = (

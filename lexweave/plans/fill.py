@@ -210,16 +210,10 @@ def bootstrap_payloads(t: Inputs):
 # --- templates ------------------------------------------------------------
 
 
-_FILLED: dict[tuple[str, str], tuple] = {}
-
-
 def _fills(t: Inputs):
-    """The fills of a data folder, worked out once per application into a table."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _FILLED:
-        requests, fills = _fill_requests(t)
-        _FILLED[key] = (cut_lineage(requests), cut_lineage(fills))
-    return _FILLED[key]
+    """The requests and their fills, as tables since both are read more than once."""
+    requests, fills = _fill_requests(t)
+    return cut_lineage(requests), cut_lineage(fills)
 
 
 def _fill_requests(t: Inputs):
@@ -249,7 +243,7 @@ def _fill_requests(t: Inputs):
         "request_id",
     ).groupBy("request_id", "atom_id").agg(F.max("strength").alias("intent_score"))
     fills = tp.fill_slots(
-        requests, slots, seeds, t.v_atoms, exemplars, profiles, t.v_arrangement_weights, contexts, t.v_edges, t.v_relations, intents, rounds=3, seed=11
+        requests, slots, seeds, t.v_atoms, exemplars, profiles, t.v_arrangement_weights, contexts, t.v_edges, t.v_relations, intents, seed=11
     )
     return requests, fills
 

@@ -513,7 +513,7 @@ def _bulk(t: Inputs):
 
 BULK = r"""
     x AS (SELECT *, trim(text, concat(' ', chr(9), chr(10), chr(13))) AS t, length(text) % 10 / 10 AS spec FROM v_texts),
-    y AS (SELECT *, CASE WHEN length(t) < 3 THEN 'too_short' WHEN length(t) > 80 THEN 'long' WHEN starts_with(t, '#') THEN 'comment' WHEN len(regexp_split_to_array(t, '\s+')) > 6 THEN 'long' WHEN regexp_matches(t, '^[^A-Za-z_]+$') THEN 'non_text' ELSE 'valid' END AS r FROM x),
+    y AS (SELECT *, CASE WHEN length(t) < 3 THEN 'too_short' WHEN length(t) > 80 THEN 'long' WHEN starts_with(t, '#') OR starts_with(t, '//') OR starts_with(t, '--') THEN 'comment' WHEN contains(t, chr(10)) THEN 'long' WHEN len(regexp_split_to_array(t, '\s+')) > 6 THEN 'long' WHEN regexp_matches(t, '^[^A-Za-z_]+$') THEN 'non_text' ELSE 'valid' END AS r FROM x),
     ok AS (SELECT lower(t) AS text_lower, coalesce(category, 'none') AS collection_slug, min(text_id) AS input_id, count(*) AS n FROM y WHERE r = 'valid' AND spec >= 0.3 GROUP BY 1, 2),
     ins AS (SELECT * FROM ok WHERE (text_lower, collection_slug) NOT IN (SELECT (text_lower, coalesce(category_slug, '')) FROM v_atoms)),
     ch AS (SELECT text_id, CASE WHEN ends_with(category, '.aesthetic') THEN 'Aesthetic Definitions' WHEN contains(t, '__') AND contains(t, '/') THEN 'Art and Reference Taxonomy' WHEN starts_with(category, 'reference.') THEN 'Character Briefs Collection'

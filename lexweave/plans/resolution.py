@@ -108,7 +108,7 @@ def text_search(t: Inputs):
     tally AS (SELECT term_id, any_value(key) AS key, count(*) AS n, min(atom_id) AS only_id, arg_min(hit_text, atom_id) AS only_text FROM hits
               WHERE term_id NOT IN (SELECT term_id FROM exact) GROUP BY 1),
     few AS (SELECT term_id, string_agg(atom_id, '|' ORDER BY atom_id) AS candidates FROM (
-      SELECT term_id, atom_id FROM hits QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY atom_id) <= 5) GROUP BY 1)
+      SELECT term_id, atom_id FROM hits QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY abs(length(hit_text) - length(term)), atom_id) <= 5) GROUP BY 1)
     SELECT c.term_id, CASE WHEN e.atom_id IS NOT NULL THEN 'exact' WHEN t.n IS NULL THEN 'new'
         WHEN n = 1 AND least(length(key), length(only_text)) / greatest(length(key), length(only_text)) > 0.6 AND (contains(key, only_text) OR contains(only_text, key)) THEN 'single'
         ELSE 'ambiguous' END AS outcome,

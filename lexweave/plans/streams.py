@@ -19,31 +19,31 @@ def stream_of(t: Inputs, table: str) -> DataFrame:
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
 
 
-def finished(t: Inputs, df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over everything there is into parquet, and read that back."""
+def finished(t: Inputs, df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over everything there is into parquet, and read that back.
+
+    With ``keys`` in update mode, upserted by them; else in append mode.
+    """
     base = f"{checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
-    if mode == "append":
+    if keys is None:
         sink = df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
     else:
-        def keep(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{base}/out")
-
-        sink = df.writeStream.outputMode("complete").foreachBatch(keep)
-    run = sink.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.read.parquet(f"{base}/out")
+        sink = df.writeStream.outputMode("update").foreachBatch(st.write_batches(f"{base}/out"))
+    sink.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.parquet(f"{base}/out")
+    return rows if keys is None else st.latest(rows, keys)
 
 
 @query("encounter_stream", "Z1 L1", """
     SELECT 'a' || user_id AS atom_id, count(*) AS encounter_count FROM events GROUP BY 1 HAVING count(*) >= 60""")
 def encounter_stream(t: Inputs):
     seen = stream_of(t, "events").select(F.concat(F.lit("a"), "user_id").alias("atom_id"), F.lit(1).alias("seen"), F.lit(0).alias("base"))
-    return finished(t, st.encounter_stream(seen, confirm_at=60), "append")
+    return finished(t, st.encounter_stream(seen, confirm_at=60), ["atom_id"])
 
 
 @query("encounter_counts_stream", "Z1", "SELECT 'a' || user_id AS atom_id, count(*) AS seen FROM events GROUP BY 1")
 def encounter_counts_stream(t: Inputs):
-    return finished(t, st.encounter_counts(stream_of(t, "events").select(F.concat(F.lit("a"), "user_id").alias("atom_id"))), "complete")
+    return finished(t, st.encounter_counts(stream_of(t, "events").select(F.concat(F.lit("a"), "user_id").alias("atom_id"))), ["atom_id"])
 
 
 @query("topic_stream", "Z2", """
@@ -52,7 +52,7 @@ def encounter_counts_stream(t: Inputs):
     WHERE ts >= d AND ts < d + INTERVAL 7 DAY GROUP BY 1, 2""")
 def topic_stream(t: Inputs):
     rows = stream_of(t, "events").select("ts", F.col("event_type").alias("topic"), (F.col("value") / 500).alias("intensity"))
-    out = finished(t, st.topic_stream(rows), "complete")
+    out = finished(t, st.topic_stream(rows), ["start", "end", "topic"])
     # windows of seven days start on epoch-aligned days, as the check does
     return out.select(F.to_date("start").cast("string").alias("start"), "topic", "mentions")
 
@@ -63,7 +63,7 @@ def feed_stream(t: Inputs):
     items = stream_of(t, "events").select(
         F.concat(F.lit("u"), "user_id").alias("source_id"), F.col("event_type").alias("url"), F.col("event_type").alias("title"), F.col("ts").alias("published_at")
     )
-    out = finished(t, st.fresh_items(items, late="60 days"), "append")
+    out = finished(t, st.fresh_items(items, late="60 days"))
     return out.select("source_id", "url", "content_hash")
 
 
@@ -72,11 +72,9 @@ def feed_stream(t: Inputs):
 def connectivity_stream(t: Inputs):
     base = f"{checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
     ids = stream_of(t, "events").select(F.concat(F.lit("a"), "user_id").alias("id"))
-    write = lambda df, batch_id: df.write.mode("append").parquet(f"{base}/out")
-    failed = lambda df, batch_id: df.write.mode("append").parquet(f"{base}/failed")
-    run = st.connectivity_stream(ids, lambda batch: batch, write, failed)
+    run = st.connectivity_stream(ids, lambda batch: batch, st.write_batches(f"{base}/out"), st.write_batches(f"{base}/failed"))
     run.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{base}/out")
+    return t.spark.read.parquet(f"{base}/out").select("id").distinct()
 
 
 @query("sweep", "Z5", "SELECT id FROM v_atoms WHERE id > 'a5' ORDER BY id LIMIT 50")
@@ -90,7 +88,7 @@ def dead_letter_alerts(t: Inputs):
     rows = stream_of(t, "events").filter(F.col("event_type") == "error").select(
         F.concat(F.lit("queue-"), F.col("user_id") % 5).alias("queue"), F.col("ts").alias("failed_at")
     )
-    out = finished(t, st.dead_letter_alerts(rows, more_than=3), "complete")
+    out = finished(t, st.dead_letter_alerts(rows, more_than=3), ["start", "queue"])
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "queue", "failures")
 
 
@@ -98,5 +96,5 @@ def dead_letter_alerts(t: Inputs):
     SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, event_type AS source_app, count(*) AS inserts FROM events GROUP BY 1, 2 HAVING count(*) > 6""")
 def import_rate_stream(t: Inputs):
     rows = stream_of(t, "events").select(F.col("event_type").alias("source_app"), F.col("ts").alias("created_at"))
-    out = finished(t, st.import_rate_stream(rows, more_than=6), "complete")
+    out = finished(t, st.import_rate_stream(rows, more_than=6), ["start", "source_app"])
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "source_app", "inserts")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.html import decode_entities, strip_tags
-from lexweave.functions.text import col, strip, words
+from lexweave.functions.text import col, let, strip, words
 from lexweave.operators.upserts import first_per_key
 
 # Fixed values of feed parsing.
@@ -84,7 +84,7 @@ def post_body(html: str | Column) -> Column:
 def parse_post_feed(raw: DataFrame) -> DataFrame:
     """(subreddit, id, title, selftext, permalink, created) of payloads (subreddit, xml)."""
     decode = lambda c: decode_entities(c, [("&#32;", " "), ("&apos;", "'")])
-    entries = raw.select("subreddit", F.explode(F.slice(F.split("xml", "<entry>"), 2, 1_000_000)).alias("x"))
+    entries = raw.select("subreddit", F.explode(let(F.split("xml", "<entry>"), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))).alias("x"))
     rows = entries.select(
         "subreddit",
         F.regexp_replace(F.coalesce(tag_text("x", "id"), F.lit("")), "^t3_", "").alias("id"),

@@ -7,12 +7,10 @@ caller's and must be shared.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexweave.functions.text import sha_key
 from lexweave.operators.feeds import score_feed_items
@@ -26,35 +24,37 @@ def timed(df: DataFrame, column: str) -> DataFrame:
 
 
 def encounter_stream(events: DataFrame, confirm_at: int = CONFIRM_AT) -> DataFrame:
-    """One row per term when its running sightings reach ``confirm_at``.
+    """Running sightings of the terms that have reached ``confirm_at``, for update mode.
 
-    ``events``: atom_id, seen (sightings the row stands for), base (count held
-    before the stream). Each micro-batch is summed per term before it meets the
-    state, which is two numbers per term; a frequent term is summed in all tasks.
+    ``events``: atom_id, seen (sightings the row stands for), base (count held before the
+    stream, the same on all rows of a term). Sightings are summed per term in every task
+    before the shuffle, so a frequent term is one row per task; the state is two numbers
+    per term. A term appears again whenever its count grows, to be upserted by its id.
     """
-    def confirm(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, done = state.get if state.exists else (None, False)
-        for frame in frames:
-            if total is None and len(frame):
-                total = int(frame["base"].max())
-            total = (total or 0) + int(frame["seen"].sum())
-        reached = total is not None and total >= confirm_at
-        if reached and not done:
-            yield pd.DataFrame({"atom_id": [key[0]], "encounter_count": [total]})
-        state.update((total or 0, bool(done or reached)))
-
-    return events.groupBy("atom_id").applyInPandasWithState(
-        confirm,
-        "atom_id string, encounter_count long",
-        "total long, done boolean",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    totals = events.groupBy("atom_id").agg(F.sum("seen").alias("seen"), F.max("base").alias("base"))
+    total = (F.col("seen") + F.coalesce("base", F.lit(0))).cast("long")
+    return totals.select("atom_id", total.alias("encounter_count")).filter(F.col("encounter_count") >= confirm_at)
+
+
+def write_batches(folder: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer with a folder for each batch, so that a batch run again replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return write
+
+
+def latest(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """Upsert of written batches: the row of each key from the last batch that holds it."""
+    rest = [c for c in batches.columns if c not in (*keys, "batch")]
+    last = batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return last.select(*keys, "_row.*")
 
 
 def encounter_counts(events: DataFrame) -> DataFrame:
-    """Running sightings per term (update or complete mode); the counts are
-    combined in each task before the shuffle."""
+    """Running sightings per term, for update mode; the counts are combined in each task
+    before the shuffle."""
     return events.groupBy("atom_id").agg(F.count("*").alias("seen"))
 
 
