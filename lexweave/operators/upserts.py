@@ -120,12 +120,17 @@ def gap_dedup(gaps: DataFrame, requests: DataFrame) -> DataFrame:
     return gaps.join(busy, "slug", "left_anti")
 
 
+def drawn(key: str, seed: int) -> Column:
+    """The lot of a row: a hash of its key and the seed."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def sample_terms(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
     """A repeatable random sample of ``n`` rows."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(drawn(key, seed), key).limit(n)
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, seed: int = 0, key: str = "id") -> DataFrame:
     """A repeatable random sample of ``n`` rows of each group."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(group).orderBy(drawn(key, seed), key)
     return df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).drop("place")

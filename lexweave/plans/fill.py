@@ -232,7 +232,7 @@ def _fill_requests(t: Inputs):
     seeds = requests.withColumn("collection_slug", F.concat(F.lit("brand-"), F.col("request_id").cast("int") % 25 + 1)).filter(F.col("has_intent")).join(
         first, "collection_slug"
     ).select("request_id", F.lit("slot_a").alias("slot_name"), "atom_id")
-    shown = t.lineitem.filter(F.col("l_linenumber") <= 3).groupBy(F.concat(F.lit("t"), F.col("l_linenumber") - 1).alias("template"), F.concat(F.lit("a"), "l_partkey").alias("atom_id")).agg(
+    shown = t.lineitem.groupBy(F.concat(F.lit("t"), F.col("l_linenumber") % 3).alias("template"), F.concat(F.lit("a"), "l_partkey").alias("atom_id")).agg(
         F.count("*").cast("int").alias("frequency")
     )
     exemplars = shown.select("template", F.lit("slot_b").alias("slot_name"), "atom_id", "frequency")

@@ -134,16 +134,17 @@ def parse_feed_payloads(t: Inputs):
 @query("parse_post_feed", "S7", """
     SELECT 'sub-' || conv_id AS subreddit, conv_id || '-' || turn AS id, role || ' & co' AS title,
       CASE WHEN length(b) > 1000 THEN left(b, 1000) || '...' ELSE b END AS selftext, 'https://posts.example/' || turn AS permalink
-    FROM (SELECT *, trim(regexp_replace(regexp_replace(text, 'https?://[^\\s)]+', '', 'g'), '\\s+', ' ', 'g')) AS b FROM conversations)
-    WHERE NOT regexp_matches(text, '[<>&\\[\\]]')""")
+    FROM (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g'), 'https?://[^\\s)]+|submitted by\\s+/u/\\S+|\\[link\\]|\\[comments\\]', '', 'g'), '\\s+', ' ', 'g')) AS b FROM conversations)""")
 def parse_post_feed(t: Inputs):
-    plain = t.conversations.filter(~F.rlike("text", F.lit(r"[<>&\[\]]")))
+    text = F.col("text")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
     entry = F.concat(
         F.lit("<feed><entry><id>t3_"), "conv_id", F.lit("-"), "turn", F.lit("</id><title>"), "role",
         F.lit(' &amp; co</title><link href="https://posts.example/'), "turn", F.lit('"/><published>2024-01-01T00:00:00Z</published><content type="html">&lt;table&gt;&lt;div class=&quot;md&quot;&gt;&lt;p&gt;'),
-        "text", F.lit("&lt;/p&gt;&lt;/div&gt; submitted by /u/someone [link] [comments]&lt;/table&gt;</content></entry></feed>"),
+        text, F.lit("&lt;/p&gt;&lt;/div&gt; submitted by /u/someone [link] [comments]&lt;/table&gt;</content></entry></feed>"),
     )
-    raw = plain.select(F.concat(F.lit("sub-"), "conv_id").alias("subreddit"), entry.alias("xml"))
+    raw = t.conversations.select(F.concat(F.lit("sub-"), "conv_id").alias("subreddit"), entry.alias("xml"))
     return pl.parse_post_feed(raw).select("subreddit", "id", "title", "selftext", "permalink")
 
 
@@ -385,14 +386,14 @@ def title_keywords(t: Inputs):
 
 
 @query("publish_candidates", "Q24 J22", """
-    WITH e AS (SELECT doc_id AS entry_id, source AS document_id, round(1 - doc_id / 5000, 4) AS relevance_score, split_part(text, ' ', 1) AS title FROM documents
+    WITH e AS (SELECT doc_id AS entry_id, source AS document_id, round(1 - doc_id / 5000, 4) AS relevance_score, text AS title FROM documents
                WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang <> 'fr' ORDER BY relevance_score DESC, doc_id LIMIT 10)
     SELECT entry_id, document_id, relevance_score, CASE WHEN document_id < 'src15' THEN 'series-a' WHEN regexp_matches(lower(title), 'ai|ml|model|neural|llm|gpt|diffusion|transformer|api|sdk|framework|algorithm|training|inference|pipeline|automation|tool|platform|software|engineering|flux|stable|gpu|nvidia|scaling|accelerat') THEN 'technical'
       WHEN regexp_matches(lower(title), 'art|design|aesthetic|visual|culture|style|fashion|architecture|typography|color|photography|illustration|craft|museum|gallery|exhibition|creative|painting|history') THEN 'cultural-thread' ELSE 'business' END AS category FROM e""")
 def publish_candidates(t: Inputs):
     entries = t.documents.select(
         F.col("doc_id").alias("entry_id"), F.col("source").alias("document_id"), F.round(1 - F.col("doc_id") / 5000, 4).alias("relevance_score"),
-        F.split_part("text", F.lit(" "), F.lit(1)).alias("title"), (F.col("lang") != "fr").alias("ingested"),
+        F.col("text").alias("title"), (F.col("lang") != "fr").alias("ingested"),
     )
     docs = t.documents.select(F.col("source").alias("document_id")).distinct().select(
         "document_id", F.array(F.when(F.col("document_id") < "src15", "noir").otherwise("none")).alias("arrangements"), F.lit(1.0).alias("score")
@@ -689,10 +690,10 @@ def knowledge_packages(t: Inputs):
 
 
 @query("knowledge_query", "V10 A27 J16", """
-    WITH sims AS (SELECT a.id AS query_id, 'doc_chunk_' || substr(b.id, 2) AS neighbour_id, round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS score FROM v_vectors a, v_vectors b WHERE b.label < 3)
+    WITH sims AS (SELECT a.id AS query_id, 'doc_chunk_' || substr(b.id, 2) AS neighbour_id, round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS score FROM v_vectors a, v_vectors b)
     SELECT query_id, neighbour_id, score, c.document_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS rank FROM sims) s JOIN v_chunks c ON c.chunk_id = neighbour_id WHERE rank <= 5""")
 def knowledge_query(t: Inputs):
-    own = t.v_vectors.filter(F.col("label") < 3).withColumn("id", F.regexp_replace("id", "^a", "doc_chunk_"))
+    own = t.v_vectors.withColumn("id", F.regexp_replace("id", "^a", "doc_chunk_"))
     both = t.v_vectors.unionByName(own)
     atoms = t.v_atoms.select("id", "category_slug", "status")
     out = kn.knowledge_query(t.v_vectors, both, atoms, t.v_chunks, t.v_category_contexts, t.v_categories, context="F")

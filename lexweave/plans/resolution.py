@@ -190,13 +190,13 @@ def process_discoveries(t: Inputs):
 
 
 @query("link_concepts", "R8", """
-    WITH v AS (SELECT DISTINCT source AS document_id, text_lower AS term_lower FROM documents, v_benchmark_words WHERE length(text_lower) >= 9),
+    WITH v AS (SELECT DISTINCT source AS document_id, text_lower AS term_lower FROM documents, v_benchmark_words),
     h AS (SELECT v.document_id, term_lower, min(chunk_index) AS hit FROM v JOIN v_chunks c ON c.document_id = v.document_id AND contains(lower(content), term_lower) GROUP BY 1, 2),
     f AS (SELECT document_id, min(chunk_index) AS first FROM v_chunks GROUP BY 1)
     SELECT v.document_id, v.term_lower, 'doc_chunk_' || coalesce(hit, first) AS chunk_id, CASE WHEN hit IS NULL THEN 'page-level' ELSE c.lang END AS context
     FROM v LEFT JOIN h USING (document_id, term_lower) JOIN f USING (document_id) JOIN v_chunks c ON c.chunk_index = coalesce(hit, first)""")
 def link_concepts(t: Inputs):
-    words = t.v_benchmark_words.filter(F.length("text_lower") >= 9)
+    words = t.v_benchmark_words
     from lexweave.functions.sizing import attach_packed
 
     pairs, _ = attach_packed(t.documents.select(F.col("source").alias("document_id")).distinct(), words, "w")

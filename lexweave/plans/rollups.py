@@ -165,7 +165,7 @@ def duplicate_groups(t: Inputs):
            CASE WHEN register IS NULL THEN 1 ELSE 0 END, id) AS canonical_id
     FROM m GROUP BY 1 HAVING count(*) >= 2""")
 def recommended_canonical(t: Inputs):
-    degree = ed.edge_degree(t.v_edges.filter(F.col("strength") > 0.8))
+    degree = ed.edge_degree(t.v_edges)
     groups = ag.duplicate_groups(t.v_atoms).select("text_lower")
     return ag.recommended_canonical(ag.duplicate_members(t.v_atoms, groups, degree))
 
@@ -455,10 +455,10 @@ def merge_found_in(t: Inputs):
 
 
 @query("seen_entries", "U9 X4", """
-    SELECT source AS source_id, 'u' || doc_id AS url, sha256(left(text, 40) || '|u' || doc_id) AS content_hash FROM documents
+    SELECT source AS source_id, 'u' || doc_id AS url, sha256(text || '|u' || doc_id) AS content_hash FROM documents
     WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def seen_entries(t: Inputs):
-    items = t.documents.select(F.col("source").alias("source_id"), F.concat(F.lit("u"), "doc_id").alias("url"), F.left("text", F.lit(40)).alias("title"))
+    items = t.documents.select(F.col("source").alias("source_id"), F.concat(F.lit("u"), "doc_id").alias("url"), F.col("text").alias("title"))
     old = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").select(F.col("source").alias("source_id"), F.concat(F.lit("u"), "doc_id").alias("url"))
     return up.seen_entries(items, old).select("source_id", "url", "content_hash")
 
@@ -496,12 +496,12 @@ def gap_dedup(t: Inputs):
     return up.gap_dedup(t.v_arrangements.select("slug"), requests)
 
 
-@query("sample_terms", "K3")
+@query("sample_terms", "K3", "SELECT id, text FROM v_atoms WHERE status <> 'rejected' ORDER BY md5(id || ':7'), id LIMIT 25")
 def sample_terms(t: Inputs):
     return up.sample_terms(t.v_atoms.filter(F.col("status") != "rejected").select("id", "text"), 25, seed=7)
 
 
-@query("sample_per_category", "K3")
+@query("sample_per_category", "K3", "SELECT id, category_slug FROM v_atoms QUALIFY row_number() OVER (PARTITION BY category_slug ORDER BY md5(id || ':7'), id) <= 5")
 def sample_per_category(t: Inputs):
     return up.sample_per_group(t.v_atoms.select("id", "category_slug"), "category_slug", 5, seed=7)
 
@@ -510,11 +510,14 @@ def sample_per_category(t: Inputs):
 
 
 @query("two_cycles", "N2", """
-    SELECT DISTINCT a.s AS source_slug, a.t AS target_slug FROM (SELECT atom_a_id AS s, atom_b_id AS t FROM v_edges WHERE strength >= 0.9) a
-    JOIN (SELECT atom_a_id AS t, atom_b_id AS s FROM v_edges WHERE provenance = 'semantic') b ON a.s = b.t AND a.t = b.s""")
+    WITH e AS (SELECT atom_a_id AS s, atom_b_id AS t FROM v_edges
+      UNION SELECT CASE provenance WHEN 'semantic' THEN atom_b_id ELSE atom_a_id END, CASE provenance WHEN 'semantic' THEN atom_a_id ELSE atom_b_id END FROM v_edges)
+    SELECT DISTINCT a.s AS source_slug, a.t AS target_slug FROM e a JOIN e b ON a.s = b.t AND a.t = b.s WHERE a.s <= a.t""")
 def two_cycles(t: Inputs):
-    there = t.v_edges.filter(F.col("strength") >= 0.9).select(F.col("atom_a_id").alias("source_slug"), F.col("atom_b_id").alias("target_slug"))
-    back = t.v_edges.filter(F.col("provenance") == "semantic").select(F.col("atom_b_id").alias("source_slug"), F.col("atom_a_id").alias("target_slug"))
+    # every edge, and once more: semantic ones the other way round
+    a, b, turned = F.col("atom_a_id"), F.col("atom_b_id"), F.col("provenance") == "semantic"
+    there = t.v_edges.select(a.alias("source_slug"), b.alias("target_slug"))
+    back = t.v_edges.select(F.when(turned, b).otherwise(a).alias("source_slug"), F.when(turned, a).otherwise(b).alias("target_slug"))
     return au.two_cycles(there.unionByName(back))
 
 
@@ -531,16 +534,18 @@ DRIFT = """
     UNION ALL SELECT 'orphan', 'medium', id, collection_slug FROM v_atoms WHERE collection_slug NOT IN (SELECT slug FROM v_collections WHERE slug > 'brand-2')
     UNION ALL SELECT 'missing_category', 'medium', slug, category_slug FROM v_arrangement_weights WHERE category_slug NOT IN (SELECT slug FROM v_categories)
     UNION ALL SELECT 'embedding_gap', 'medium', 'atoms', CAST(count(*) AS VARCHAR) FROM v_atoms WHERE embedding_status = 'complete' AND status <> 'rejected'
-      AND id NOT IN (SELECT atom_a_id FROM v_edges WHERE strength > 0.95 UNION SELECT atom_b_id FROM v_edges WHERE strength > 0.95) HAVING count(*) > 0
-    UNION ALL SELECT 'orphaned_ref', 'high', 'edges', CAST(count(*) AS VARCHAR) FROM v_edges WHERE strength > 0.95 AND
+      AND id NOT IN (SELECT atom_a_id FROM v_edges UNION SELECT atom_b_id FROM v_edges) HAVING count(*) > 0
+    UNION ALL SELECT 'orphaned_ref', 'high', 'edges', CAST(count(*) AS VARCHAR) FROM v_edges WHERE
       (atom_a_id NOT IN (SELECT id FROM v_atoms) OR atom_b_id NOT IN (SELECT id FROM v_atoms)) HAVING count(*) > 0
     UNION ALL SELECT 'coverage_gap', 'low', slug, 'no atoms' FROM v_categories WHERE slug NOT IN (SELECT category_slug FROM v_atoms WHERE category_slug IS NOT NULL)"""
 
 
 def _drift(t: Inputs):
     return (
-        t.v_atoms, t.v_edges.filter(F.col("strength") > 0.95), t.v_categories,
-        t.v_collections.filter(F.col("slug") > "brand-2"), weighted_arrangements(t),
+        t.v_atoms, t.v_edges, t.v_categories,
+        # the first collections stand under other slugs, so that their terms are orphans
+        t.v_collections.withColumn("slug", F.when(F.col("slug") > "brand-2", F.col("slug")).otherwise(F.concat(F.lit("x-"), "slug"))),
+        weighted_arrangements(t),
     )
 
 
@@ -555,38 +560,37 @@ def drift_report(t: Inputs):
       UNION ALL SELECT DISTINCT 'circular_ref', 'medium', a.source_slug, a.target_slug FROM v_category_relations a JOIN v_category_relations b
         ON a.source_slug = b.target_slug AND a.target_slug = b.source_slug WHERE a.source_slug <= a.target_slug) GROUP BY 1, 2
     UNION ALL SELECT 'promoted', 'info', count(*) FROM v_atoms WHERE status = 'provisional' AND category_slug IS NOT NULL AND embedding_status = 'complete' AND tag_version > 0
-    UNION ALL SELECT 'tier_fixes', 'info', count(*) FROM (SELECT tier, CASE WHEN id IN (SELECT atom_a_id FROM v_edges WHERE strength > 0.95 UNION SELECT atom_b_id FROM v_edges WHERE strength > 0.95)
-        THEN CASE WHEN id IN (SELECT 'a' || l_partkey FROM lineitem WHERE l_quantity > 45) THEN 1 ELSE 2 END ELSE 3 END AS new_tier
+    UNION ALL SELECT 'tier_fixes', 'info', count(*) FROM (SELECT tier, CASE WHEN id IN (SELECT atom_a_id FROM v_edges UNION SELECT atom_b_id FROM v_edges)
+        THEN CASE WHEN id IN (SELECT 'a' || l_partkey FROM lineitem) THEN 1 ELSE 2 END ELSE 3 END AS new_tier
       FROM v_atoms WHERE status = 'confirmed') WHERE tier <> new_tier""")
 def integrity_scan(t: Inputs):
-    shown = t.lineitem.filter(F.col("l_quantity") > 45).select(F.concat(F.lit("a"), "l_partkey").alias("atom_id"))
+    shown = t.lineitem.select(F.concat(F.lit("a"), "l_partkey").alias("atom_id"))
     return au.integrity_scan(*_drift(t), t.v_category_relations, shown, ts("2024-02-10"), 20)
 
 
 @query("neighbourhood", "N1", """
-    WITH both_ways AS (SELECT atom_a_id AS id, atom_b_id AS n FROM v_edges WHERE strength = 1 AND arrangement_scope = 'studio'
-               UNION SELECT atom_b_id, atom_a_id FROM v_edges WHERE strength = 1 AND arrangement_scope = 'studio'),
+    WITH both_ways AS (SELECT atom_a_id AS id, atom_b_id AS n FROM v_edges
+               UNION SELECT atom_b_id, atom_a_id FROM v_edges),
     start AS (SELECT id FROM v_atoms WHERE text_lower = 'red bolt'),
     one AS (SELECT DISTINCT s.id AS start_id, b.n AS id FROM start s JOIN both_ways b ON s.id = b.id WHERE b.n <> s.id),
     two AS (SELECT DISTINCT o.start_id, b.n AS id FROM one o JOIN both_ways b ON o.id = b.id
             WHERE b.n <> o.start_id AND (o.start_id, b.n) NOT IN (SELECT (start_id, id) FROM one))
     SELECT id AS start_id, id, 0 AS hops FROM start UNION ALL SELECT start_id, id, 1 FROM one UNION ALL SELECT start_id, id, 2 FROM two""")
 def neighbourhood(t: Inputs):
-    strong = t.v_edges.filter((F.col("strength") == 1) & (F.col("arrangement_scope") == "studio"))
-    return au.neighbourhood(strong, t.v_atoms.filter(F.col("text_lower") == "red bolt"))
+    return au.neighbourhood(t.v_edges, t.v_atoms.filter(F.col("text_lower") == "red bolt"))
 
 
 # --- lifecycle ------------------------------------------------------------
 
 
 @query("encounter", "L1", """
-    WITH s AS (SELECT 'a' || user_id AS id, count(*) AS seen FROM events WHERE value > 60 GROUP BY 1)
+    WITH s AS (SELECT 'a' || user_id AS id, count(*) AS seen FROM events GROUP BY 1)
     SELECT a.id, encounter_count + coalesce(seen, 0) AS encounter_count,
       CASE WHEN status = 'provisional' AND seen IS NOT NULL AND encounter_count + seen >= 3 THEN 'confirmed' ELSE status END AS status,
       status = 'provisional' AND seen IS NOT NULL AND encounter_count + coalesce(seen, 0) >= 3 AS confirmed_now
     FROM v_atoms a LEFT JOIN s ON a.id = s.id""")
 def encounter(t: Inputs):
-    seen = t.events.filter(F.col("value") > 60).select(F.concat(F.lit("a"), "user_id").alias("atom_id"))
+    seen = t.events.select(F.concat(F.lit("a"), "user_id").alias("atom_id"))
     return lc.encounter(t.v_atoms, seen).select("id", "encounter_count", "status", "confirmed_now")
 
 
@@ -600,12 +604,12 @@ def promote(t: Inputs):
 
 
 @query("recalculate_tiers", "L3", """
-    SELECT id, tier, CASE WHEN id IN (SELECT atom_a_id FROM v_edges WHERE strength > 0.95 UNION SELECT atom_b_id FROM v_edges WHERE strength > 0.95)
-      THEN CASE WHEN id IN (SELECT 'a' || l_partkey FROM lineitem WHERE l_quantity > 49) THEN 1 ELSE 2 END ELSE 3 END AS new_tier
+    SELECT id, tier, CASE WHEN id IN (SELECT atom_a_id FROM v_edges UNION SELECT atom_b_id FROM v_edges)
+      THEN CASE WHEN id IN (SELECT 'a' || l_partkey FROM lineitem) THEN 1 ELSE 2 END ELSE 3 END AS new_tier
     FROM v_atoms WHERE status = 'confirmed'""")
 def recalculate_tiers(t: Inputs):
-    shown = t.lineitem.filter(F.col("l_quantity") > 49).select(F.concat(F.lit("a"), "l_partkey").alias("atom_id"))
-    out = lc.recalculate_tiers(t.v_atoms, t.v_edges.filter(F.col("strength") > 0.95), shown)
+    shown = t.lineitem.select(F.concat(F.lit("a"), "l_partkey").alias("atom_id"))
+    out = lc.recalculate_tiers(t.v_atoms, t.v_edges, shown)
     return out.select("id", "tier", "new_tier")
 
 

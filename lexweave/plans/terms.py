@@ -36,7 +36,7 @@ VIEWS.update(
                    'note ' || p_brand AS behavior,
                    CASE WHEN p_brand < 'Brand#2' THEN NULL ELSE 'photo' END AS render_mode,
                    CASE WHEN p_type = 'PROMO' THEN 'breaking' WHEN p_type = 'LARGE' THEN 'info' ELSE 'warning' END AS severity
-            FROM {part} WHERE p_size = 1""",
+            FROM {part}""",
     }
 )
 
@@ -142,14 +142,14 @@ def contexts_for_categories(t: Inputs):
 
 DEGREE = """
     deg AS (SELECT id, count(*) AS degree FROM (
-      SELECT atom_a_id AS id FROM v_edges WHERE provenance = 'semantic' AND strength > 0.8
-      UNION ALL SELECT atom_b_id FROM v_edges WHERE provenance = 'semantic' AND strength > 0.8) GROUP BY id)"""
+      SELECT atom_a_id AS id FROM v_edges WHERE provenance = 'semantic'
+      UNION ALL SELECT atom_b_id FROM v_edges WHERE provenance = 'semantic') GROUP BY id)"""
 
 
 def with_degree(t: Inputs):
     from lexweave.operators.edges import edge_degree
 
-    degree = edge_degree(t.v_edges.filter(F.col("strength") > 0.8))
+    degree = edge_degree(t.v_edges)
     return t.v_atoms.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
@@ -307,7 +307,7 @@ def validate_posts(t: Inputs):
 
 
 @query("validate_articles", "F18", r"""
-    WITH a AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, source || '_' || lang AS slug, left(text, 120) AS excerpt, text AS body_md, lang AS hero FROM documents)
+    WITH a AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, source || '_' || lang AS slug, text AS excerpt, text AS body_md, lang AS hero FROM documents)
     SELECT doc_id, concat_ws('|', CASE WHEN title = '' THEN 'title_required' END,
       CASE WHEN excerpt = '' THEN 'excerpt_required' END, CASE WHEN body_md = '' THEN 'body_md_required' END,
       CASE WHEN title <> '' AND length(title) NOT BETWEEN 10 AND 100 THEN 'title_length' END,
@@ -319,7 +319,7 @@ def validate_posts(t: Inputs):
 def validate_articles(t: Inputs):
     rows = t.documents.select(
         "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat_ws("_", "source", "lang").alias("slug"),
-        F.left("text", F.lit(120)).alias("excerpt"), F.col("text").alias("body_md"), F.array("lang").alias("tags"),
+        F.col("text").alias("excerpt"), F.col("text").alias("body_md"), F.array("lang").alias("tags"),
         F.col("lang").alias("hero_direction"),
     )
     return sc.validate_articles(rows).select("doc_id", F.array_join("errors", "|").alias("errors"))
@@ -327,11 +327,9 @@ def validate_articles(t: Inputs):
 
 @query("missing_terms", "F19 J2", """
     SELECT DISTINCT lower(trim(text)) AS text_lower FROM v_texts
-    WHERE lower(trim(text)) NOT IN (SELECT text_lower FROM v_atoms WHERE status = 'provisional' AND category_slug = 'line.promo')
-      AND length(text) <= 80""")
+    WHERE lower(trim(text)) NOT IN (SELECT text_lower FROM v_atoms)""")
 def missing_terms(t: Inputs):
-    some = t.v_atoms.filter((F.col("status") == "provisional") & (F.col("category_slug") == "line.promo"))
-    return pr.missing_terms(t.v_texts.filter(F.length("text") <= 80), some).select("text_lower").distinct()
+    return pr.missing_terms(t.v_texts, t.v_atoms).select("text_lower").distinct()
 
 
 @query("lookup_exact", "J1", """
@@ -365,8 +363,10 @@ def orphan_edges(t: Inputs):
       AND id NOT IN (SELECT atom_a_id FROM v_edges WHERE strength = 1 AND provenance = 'semantic'
                      UNION SELECT atom_b_id FROM v_edges WHERE strength = 1 AND provenance = 'semantic')""")
 def ungraphed_atoms(t: Inputs):
-    strong = t.v_edges.filter((F.col("strength") == 1) & (F.col("provenance") == "semantic"))
-    return joins.ungraphed_atoms(t.v_atoms, strong).select("id")
+    # the other edges stand under other ids, so that their terms count as without one
+    strong = (F.col("strength") == 1) & (F.col("provenance") == "semantic")
+    ends = [F.when(strong, F.col(c)).otherwise(F.concat(F.lit("x-"), c)).alias(c) for c in ("atom_a_id", "atom_b_id")]
+    return joins.ungraphed_atoms(t.v_atoms, t.v_edges.select(*ends)).select("id")
 
 
 @query("bad_category", "J6", """
@@ -480,13 +480,13 @@ def relations_touching(t: Inputs):
 
 @query("resolve_edge_names", "J20", """
     WITH best AS (SELECT text_lower, min(id) AS id FROM v_atoms GROUP BY 1),
-    c AS (SELECT text_id, text AS source_name, category AS target_name FROM v_texts WHERE length(text) <= 80)
+    c AS (SELECT text_id, text AS source_name, category AS target_name FROM v_texts)
     SELECT text_id, s.id AS source_id, g.id AS target_id,
       CASE WHEN s.id IS NULL AND g.id IS NULL THEN 'both_unknown' WHEN s.id IS NULL THEN 'source_unknown'
            WHEN g.id IS NULL THEN 'target_unknown' ELSE 'resolved' END AS resolution
     FROM c LEFT JOIN best s ON s.text_lower = lower(trim(source_name)) LEFT JOIN best g ON g.text_lower = lower(trim(target_name))""")
 def resolve_edge_names(t: Inputs):
-    named = t.v_texts.filter(F.length("text") <= 80).select("text_id", F.col("text").alias("source_name"), F.col("category").alias("target_name"))
+    named = t.v_texts.select("text_id", F.col("text").alias("source_name"), F.col("category").alias("target_name"))
     return joins.resolve_edge_names(named, t.v_atoms).select("text_id", "source_id", "target_id", "resolution")
 
 
@@ -511,6 +511,8 @@ def document_profile(t: Inputs):
     chunks = t.v_chunks.withColumn(
         "arrangement_slugs", F.when(F.col("lang") != "en", F.array(F.concat(F.lit("fb-"), "lang"))).otherwise(F.array().cast("array<string>"))
     )
-    table = t.v_chunks.filter(F.col("document_id") < "src15").select("chunk_id", F.col("lang").alias("arrangement_slug"))
+    # chunks of the later sources are listed under other ids, so that those documents fall back to their own lists
+    listed = F.when(F.col("document_id") < "src15", F.col("chunk_id")).otherwise(F.concat(F.lit("x-"), "chunk_id"))
+    table = t.v_chunks.select(listed.alias("chunk_id"), F.col("lang").alias("arrangement_slug"))
     out = joins.document_profile(chunks.select("document_id").distinct(), table, chunks)
     return out.withColumn("arrangements", F.array_join("arrangements", "|"))

@@ -123,8 +123,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey
         JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
         JOIN {nation} n ON s.s_nationkey = n.n_nationkey
-        JOIN {region} r ON n.n_regionkey = r.r_regionkey
-        WHERE p.p_type IN ('ECONOMY', 'PROMO') AND l.l_linenumber = 1""",
+        JOIN {region} r ON n.n_regionkey = r.r_regionkey""""",
     "v_collections": """
         SELECT lower(replace(p_brand, '#', '-')) AS slug,
                'type-' || lower(max(p_type)) AS parent_slug FROM {part} GROUP BY p_brand
