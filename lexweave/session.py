@@ -43,7 +43,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
     sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir()
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete what this session has written to its checkpoint folder.
+
+    Frames that still read from there can no longer be computed, so this is for the end
+    of a session or between independent jobs.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from lexweave.session import build_session
+def spark(tmp_path_factory):
+    from lexweave.session import build_session, clear_written
 
     session = build_session(
-        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_written(session)
     session.stop()
