@@ -13,6 +13,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sigmoid(c: str | Column) -> Column:
+    """The logistic function, which turns a reranker's raw score into a share."""
+    return 1 / (1 + F.exp(-_col(c)))
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(
         F.zip_with(_col(a), _col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x

@@ -7,7 +7,7 @@ One chunk is broadcast after its size was checked; more chunks are joined on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 2_000
@@ -19,9 +19,20 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint for a side proven small; otherwise Catalyst and AQE choose."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint for a side proven small; otherwise Catalyst and AQE choose.
+
+    The bound is in bytes: texts and nested values count as long as they are, other
+    values sixteen each. No more rows are read than the bound could hold.
+    """
+    width = F.lit(16)
+    for name, kind in df.dtypes:
+        long = kind in ("string", "binary") or "<" in kind
+        value = F.col(f"`{name}`").cast("string")
+        width = width + (F.coalesce(F.octet_length(value), F.lit(0)) if long else F.lit(16))
+    most = max_bytes // 16
+    size = df.limit(most + 1).agg(F.sum(width).alias("bytes"), F.count("*").alias("n")).first()
+    return F.broadcast(df) if size.n <= most and (size.bytes or 0) <= max_bytes else df
 
 
 def attach_packed(
@@ -57,7 +68,3 @@ def attach_packed(
     )
     return joined.drop("_chunk", "_salt"), False
 
-
-def dedup_columns(cols: list[str]) -> list[Column]:
-    """Columns in order, each once."""
-    return [F.col(c) for c in dict.fromkeys(cols)]

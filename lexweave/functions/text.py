@@ -73,10 +73,6 @@ def sha_key(*parts: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", *[col(p) for p in parts]), 256)
 
 
-def is_blank(c: str | Column) -> Column:
-    return F.coalesce(F.trim(col(c)), F.lit("")) == ""
-
-
 def words(c: str | Column) -> Column:
     """Whitespace-separated words; none for blank text."""
     return F.filter(F.split(F.trim(col(c)), r"\s+"), lambda w: w != "")

@@ -70,6 +70,7 @@ def bulk_ingest(
     *,
     vectors: DataFrame | None = None,
     known_vectors: DataFrame | None = None,
+    redundant_over: float = REDUNDANT_OVER,
 ) -> dict[str, DataFrame]:
     """Route, gate and insert a batch (input_id, text, category, collection_slug,
     source, specificity). Returns the new terms, the new chunks and the counters.
@@ -79,7 +80,7 @@ def bulk_ingest(
     """
     routed = route_content(inputs)
     terms = routed.filter(F.col("destination") == "atom")
-    gate = quality_gate(terms.drop("destination", "reason", "document", "suggested_tags"), vectors, known_vectors)
+    gate = quality_gate(terms.drop("destination", "reason", "document", "suggested_tags"), vectors, known_vectors, redundant_over=redundant_over)
     passed = terms.join(gate.filter(F.col("result").isin("pass", "flag")).select("input_id"), "input_id", "left_semi")
     fresh = passed.select(
         text_key("text").alias("text_lower"),

@@ -338,19 +338,28 @@ def markdown_text(t: Inputs):
     return t.documents.select("doc_id", F.sha2(hx.strip_markdown(marked), 256).alias("body"))
 
 
+@query("lead_paragraphs", "X9", r"""
+    WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<style.*?</style>', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?is)<p[^>]*>(.*?)</p>', 1),
+        lambda b: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '\s+', ' ', 'g'))), lambda s: s <> '') AS ps FROM pages),
+    j AS (SELECT page_id, array_to_string(ps[1:3], chr(10) || chr(10)) AS body FROM p)
+    SELECT page_id, sha256(CASE WHEN length(body) > 1500 THEN regexp_replace(left(body, 1500), '\s+\S*$', '') || '...' ELSE body END) AS lead FROM j""")
+def lead_paragraphs(t: Inputs):
+    return t.pages.select("page_id", F.sha2(hx.lead_paragraphs("html"), 256).alias("lead"))
+
+
 # --- feeds ----------------------------------------------------------------
 
 KEYWORDS = "keywords AS (SELECT DISTINCT lower(k) AS keyword FROM (SELECT slug AS k FROM v_arrangements UNION SELECT name FROM v_arrangements UNION SELECT split_part(category_slug, '.', 1) FROM v_atoms WHERE status = 'confirmed' AND contains(category_slug, '.') UNION SELECT unnest(['art deco', 'noir', 'Brand#1', 'the', 'thing:'])) WHERE k <> '')"
 
 
-def _keywords(t: Inputs):
+def feed_keywords(t: Inputs):
     curated = t.spark.createDataFrame([(k,) for k in ["art deco", "noir", "Brand#1", "the", "thing:"]], "keyword string")
     return fd.build_keywords(t.v_arrangements, t.v_atoms, curated)
 
 
 @query("build_keywords", "Q13", f"WITH {KEYWORDS} SELECT keyword FROM keywords")
 def build_keywords(t: Inputs):
-    return _keywords(t)
+    return feed_keywords(t)
 
 
 HITS = rf"""
@@ -362,7 +371,7 @@ HITS = rf"""
 
 @query("keyword_hits", "Q12", f"WITH {HITS} SELECT * FROM hits")
 def keyword_hits(t: Inputs):
-    return fd.keyword_hits(t.v_feed_items, _keywords(t))
+    return fd.keyword_hits(t.v_feed_items, feed_keywords(t))
 
 
 @query("score_feed_items", "Q12", f"""
@@ -373,7 +382,7 @@ def keyword_hits(t: Inputs):
     SELECT item_id, source_id, matches, score, CASE WHEN score >= CASE tier WHEN 'core' THEN 0.3 WHEN 'adjacent' THEN 0.5 ELSE 0.7 END THEN 'pending' ELSE 'no_terms' END AS status FROM s""")
 def score_feed_items(t: Inputs):
     sources = t.v_feed_sources.withColumn("weight", F.col("weight").cast("double"))
-    return fd.score_feed_items(t.v_feed_items, _keywords(t), sources)
+    return fd.score_feed_items(t.v_feed_items, feed_keywords(t), sources)
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in fd.TITLE_STOP_WORDS)
@@ -483,7 +492,7 @@ def context_gap_matrix(t: Inputs):
 GATE = r"""
     near AS (SELECT a.id, arg_max(b.id, (round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6), -b.label)) AS x, max(round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6)) AS similarity
       FROM v_vectors a JOIN v_vectors b ON a.id <> b.id GROUP BY 1),
-    g AS (SELECT v.id AS input_id, v.text, confidence, CASE WHEN v.text_lower LIKE '%ring' THEN 'comment' WHEN collection_slug = 'brand-3' THEN 'missing_provenance' WHEN confidence < 0.3 THEN 'low_specificity' WHEN n.similarity > 0.33 THEN 'redundant' END AS r
+    g AS (SELECT v.id AS input_id, v.text, confidence, n.x, n.similarity, CASE WHEN v.text_lower LIKE '%ring' THEN 'comment' WHEN collection_slug = 'brand-3' THEN 'missing_provenance' WHEN confidence < 0.3 THEN 'low_specificity' WHEN n.similarity > 0.33 THEN 'redundant' END AS r
       FROM v_atoms v LEFT JOIN near n ON n.id = v.id)"""
 
 
@@ -496,10 +505,26 @@ def _gate_inputs(t: Inputs):
 
 @query("quality_gate", "V8 V7", f"""
     WITH {GATE}
-    SELECT input_id, CASE WHEN r = 'redundant' THEN 'redirect_merge' WHEN r IS NOT NULL THEN 'reject' WHEN confidence < 0.5 THEN 'flag' ELSE 'pass' END AS result, r AS rejection_reason, confidence AS specificity_score FROM g""")
+    SELECT input_id, CASE WHEN r = 'redundant' THEN 'redirect_merge' WHEN r IS NOT NULL THEN 'reject' WHEN confidence < 0.5 THEN 'flag' ELSE 'pass' END AS result, r AS rejection_reason, confidence AS specificity_score,
+      CASE r WHEN 'redundant' THEN x END AS similar_id, CASE r WHEN 'redundant' THEN similarity END AS similarity FROM g""")
 def quality_gate(t: Inputs):
     out = gt.quality_gate(_gate_inputs(t), t.v_vectors, t.v_vectors, redundant_over=0.33)
-    return out.select("input_id", "result", "rejection_reason", "specificity_score")
+    return out.select("input_id", "result", "rejection_reason", "specificity_score", "similar_id", "similarity")
+
+
+@query("bulk_ingest_gated", "Q1 V7 V8", f"""
+    WITH {GATE},
+    ok AS (SELECT v.text_lower, v.collection_slug, count(*) AS n FROM g JOIN v_atoms v ON v.id = g.input_id WHERE r IS NULL GROUP BY 1, 2)
+    SELECT 'inserted' AS counter, count(*) AS n FROM ok UNION ALL SELECT 'duplicates', (SELECT coalesce(sum(n), 0)::BIGINT FROM ok) - (SELECT count(*) FROM ok)
+    UNION ALL SELECT 'chunks_created', 0 UNION ALL SELECT 'rejected', count(*) FROM g WHERE r = 'comment'
+    UNION ALL SELECT 'gate_rejected', count(*) FROM g WHERE r IN ('missing_provenance', 'low_specificity', 'redundant')
+    UNION ALL SELECT 'gate_flagged', count(*) FROM g WHERE r IS NULL AND confidence < 0.5""")
+def bulk_ingest_gated(t: Inputs):
+    """Bulk ingest with vectors, so that the gate also looks for redundant terms."""
+    rows = _gate_inputs(t).join(t.v_atoms.select(F.col("id").alias("input_id"), "collection_slug"), "input_id").withColumn("category", F.lit(None).cast("string"))
+    docs = t.documents.groupBy(F.lit("none").alias("title")).agg(F.count("*").alias("chunk_count"))
+    held = t.v_atoms.select(F.lit("-").alias("text_lower"), F.col("category_slug").alias("collection_slug"))
+    return gt.bulk_ingest(rows, held, docs, vectors=t.v_vectors, known_vectors=t.v_vectors, redundant_over=0.33)["counters"]
 
 
 def _bulk(t: Inputs):

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.plans.ingest import HITS, feed_keywords
 from lexweave.plans.registry import Inputs, query
 from lexweave.session import checkpoint_dir
 from lexweave.streaming import streams as st
@@ -67,6 +68,26 @@ def feed_stream(t: Inputs):
     return out.select("source_id", "url", "content_hash")
 
 
+@query("feed_scores_stream", "Z3 Q12", f"""
+    WITH {HITS},
+    w AS (SELECT item_id, sum(CASE WHEN length(keyword) > 10 THEN 2 ELSE 1 END) AS w, count(*) AS matches FROM hits GROUP BY 1),
+    s AS (SELECT i.item_id, i.source_id, coalesce(matches, 0) AS matches, tier, round(CASE WHEN w IS NULL THEN 0 ELSE least((0.1 + least(w / 10, 1.0) * 0.8) * weight, 1.0) END::DOUBLE, 6) AS score
+      FROM v_feed_items i LEFT JOIN w USING (item_id) JOIN v_feed_sources f ON f.source_id = i.source_id WHERE starts_with(url, 'u'))
+    SELECT item_id, source_id, matches, score, CASE WHEN score >= CASE tier WHEN 'core' THEN 0.3 WHEN 'adjacent' THEN 0.5 ELSE 0.7 END THEN 'pending' ELSE 'no_terms' END AS status FROM s""")
+def feed_scores_stream(t: Inputs):
+    """Fresh items of a stream, scored batch by batch."""
+    base = f"{checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
+    items = stream_of(t, "documents").select(
+        F.col("doc_id").alias("item_id"), F.col("source").alias("source_id"), F.concat(F.lit("u"), "doc_id").alias("url"),
+        "text", F.col("lang").alias("title"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id")).alias("published_at"),
+    )
+    sources = t.v_feed_sources.withColumn("weight", F.col("weight").cast("double"))
+    run = st.feed_stream(items, feed_keywords(t), sources, st.write_batches(f"{base}/out"), late="60 days")
+    run.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = st.latest(t.spark.read.parquet(f"{base}/out"), ["item_id"])
+    return out.select("item_id", "source_id", "matches", "score", "status")
+
+
 @query("connectivity_stream", "Z4", """
     SELECT 'a' || user_id AS id FROM events GROUP BY 1""")
 def connectivity_stream(t: Inputs):

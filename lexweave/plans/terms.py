@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexweave.functions.maths import sigmoid
+from lexweave.functions.text import slugify
 from lexweave.operators import joins, predicates as pr, screening as sc
 from lexweave.plans.registry import Inputs, query
 from lexweave.plans.views import VIEWS
@@ -153,6 +155,23 @@ def with_degree(t: Inputs):
     return t.v_atoms.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
+@query("pending_chunks", "F8", "SELECT chunk_id AS id, 'vectorize_chunks' AS phase FROM v_chunks WHERE n_chars % 3 = 0")
+def pending_chunks(t: Inputs):
+    state = F.when(F.col("n_chars") % 3 == 0, "pending").otherwise("complete")
+    return pr.pending_chunks(t.v_chunks.withColumn("embedding_status", state))
+
+
+@query("slugs", "X1", r"""
+    SELECT doc_id, sha256(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents""")
+def slugs(t: Inputs):
+    return t.documents.select("doc_id", F.sha2(slugify("text"), 256).alias("slug"))
+
+
+@query("reranked_scores", "X5", "SELECT event_id, round(1 / (1 + exp(-(value - 50) / 25)), 9) AS score FROM events")
+def reranked_scores(t: Inputs):
+    return t.events.select("event_id", F.round(sigmoid((F.col("value") - 50) / 25), 9).alias("score"))
+
+
 @query("phase_candidates", "F8 X6", f"""
     WITH {DEGREE},
     a AS (SELECT v.*, coalesce(degree, 0) AS degree FROM v_atoms v LEFT JOIN deg ON v.id = deg.id
