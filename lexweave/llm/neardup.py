@@ -154,7 +154,7 @@ def verified_edges(members: DataFrame, *, size: int, threshold: float, block: in
     without existing as rows. Small groups share tasks.
     """
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).alias("parts"))
-    placed = members.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    placed = members.join(small_enough(sizes, SMALL_ROWS), "root").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     total = members.count()
     buckets = max(1, total // 256)
     one = F.pmod(F.xxhash64("root"), F.lit(buckets))
