@@ -51,10 +51,11 @@ def slot_order(requests: DataFrame, slots: DataFrame, seeds: DataFrame, weights:
 def weighted_pick(cands: DataFrame, group: list[str], score: str, seed: int, top: int = PICK_FROM) -> DataFrame:
     """One of the best ``top`` of each group, with weight score squared plus a floor.
 
-    The smallest -ln(u)/w wins; u is a hash of the row and the seed, so a run can
-    be repeated. ``place`` must hold the rank within the group.
+    The smallest -ln(u)/w wins; u is the start of an MD5 of group, row and seed, so a
+    run can be repeated anywhere. ``place`` must hold the rank within the group.
     """
-    u = (F.pmod(F.xxhash64(*group, "atom_id", F.lit(seed)), F.lit(1_000_000_007)) + 1) / F.lit(1_000_000_009.0)
+    drawn = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in (*group, "atom_id")], F.lit(str(seed))))
+    u = (F.conv(F.left(drawn, F.lit(8)), 16, 10).cast("long") + 1) / F.lit(4_294_967_297.0)
     key = -F.log(u) / (F.col(score) * F.col(score) + RANDOM_FLOOR)
     best = cands.filter(F.col("place") <= top)
     rest = [c for c in cands.columns if c not in group]

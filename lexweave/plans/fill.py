@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexweave.operators import aggregates as ag
@@ -209,6 +210,45 @@ def bootstrap_payloads(t: Inputs):
 
 # --- templates ------------------------------------------------------------
 
+SLOTS = [(f"t{k}", f"slot_{'abcde'[j]}", ["line.economy", "size.small", "line.promo", "size.medium", "line.standard"][(j + k) % 5], j < 2, j + 1) for k in range(3) for j in range(3)]
+SLOT_ROWS = ", ".join(f"('{t}', '{s}', '{c}', {str(r).lower()}, {o})" for t, s, c, r, o in SLOTS)
+
+
+def _slots(t: Inputs):
+    return t.spark.createDataFrame(SLOTS, "template string, slot_name string, category_filter string, required boolean, sort_order int")
+
+
+@query("slot_order", "W11", f"""
+    WITH slots(template, slot_name, category_filter, required, sort_order) AS (VALUES {SLOT_ROWS}),
+    req AS (SELECT s_suppkey::VARCHAR AS request_id, 't' || (s_nationkey % 3) AS template, CASE WHEN s_acctbal > 3000 THEN (SELECT min(slug) FROM v_arrangement_weights) END AS arrangement FROM supplier),
+    seeds AS (SELECT s_suppkey::VARCHAR AS request_id, 'slot_c' AS slot_name FROM supplier WHERE s_acctbal > 5000)
+    SELECT r.request_id, s.slot_name, row_number() OVER (PARTITION BY r.request_id ORDER BY CASE WHEN e.request_id IS NULL THEN 1 ELSE 0 END, -coalesce(w.weight, 1.0), sort_order, s.slot_name) AS rank
+    FROM req r JOIN slots s USING (template) LEFT JOIN seeds e ON e.request_id = r.request_id AND e.slot_name = s.slot_name
+    LEFT JOIN v_arrangement_weights w ON w.slug = r.arrangement AND w.category_slug = s.category_filter""")
+def slot_order(t: Inputs):
+    first = t.v_arrangement_weights.agg(F.min("slug").alias("first"))
+    rows = t.supplier.withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one")
+    requests = rows.select(
+        F.col("s_suppkey").cast("string").alias("request_id"), F.concat(F.lit("t"), F.col("s_nationkey") % 3).alias("template"),
+        F.when(F.col("s_acctbal") > 3000, F.col("first")).alias("arrangement"),
+    )
+    seeded = F.when(F.col("s_acctbal") > 5000, "slot_c").otherwise("none")
+    seeds = t.supplier.select(F.col("s_suppkey").cast("string").alias("request_id"), seeded.alias("slot_name"), F.lit("a1").alias("atom_id"))
+    return tp.slot_order(requests, _slots(t), seeds, t.v_arrangement_weights).select("request_id", "slot_name", "rank")
+
+
+@query("weighted_pick", "K4", """
+    WITH c AS (SELECT atom_a_id AS request_id, atom_b_id AS atom_id, max(strength) AS score FROM v_edges GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, atom_id) AS place FROM c),
+    u AS (SELECT *, (('0x' || left(md5(request_id || ':' || atom_id || ':11'), 8))::BIGINT + 1) / 4294967297.0::DOUBLE AS u FROM r WHERE place <= 5)
+    SELECT request_id, arg_min(atom_id, (-ln(u) / (score * score + 0.05), atom_id)) AS atom_id, count(*) AS offered FROM u GROUP BY 1""")
+def weighted_pick(t: Inputs):
+    cands = t.v_edges.groupBy(F.col("atom_a_id").alias("request_id"), F.col("atom_b_id").alias("atom_id")).agg(F.max("strength").alias("score"))
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "atom_id")
+    cands = cands.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= tp.PICK_FROM)
+    offered = cands.groupBy("request_id").agg(F.count("*").alias("offered"))
+    return tp.weighted_pick(cands, ["request_id"], "score", seed=11).join(offered, "request_id").select("request_id", "atom_id", "offered")
+
 
 def _fills(t: Inputs):
     """The requests and their fills, as tables since both are read more than once."""
@@ -225,9 +265,7 @@ def _fill_requests(t: Inputs):
         F.when(F.col("s_acctbal") > 3000, F.col("slug")).alias("arrangement"), F.lit("visual").alias("modality"),
         F.when(F.col("s_acctbal") > 8000, "photo").alias("render_mode"), (F.col("s_acctbal") > 5000).alias("has_intent"),
     )
-    cats = ["line.economy", "size.small", "line.promo", "size.medium", "line.standard"]
-    rows = [(f"t{k}", f"slot_{'abcde'[j]}", cats[(j + k) % 5], j < 2, j + 1) for k in range(3) for j in range(3)]
-    slots = t.spark.createDataFrame(rows, "template string, slot_name string, category_filter string, required boolean, sort_order int")
+    slots = _slots(t)
     first = t.v_atoms.filter(F.col("category_slug") == "line.promo").groupBy("collection_slug").agg(F.min("id").alias("atom_id"))
     seeds = requests.withColumn("collection_slug", F.concat(F.lit("brand-"), F.col("request_id").cast("int") % 25 + 1)).filter(F.col("has_intent")).join(
         first, "collection_slug"

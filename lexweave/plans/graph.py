@@ -191,23 +191,43 @@ def score_memberships(t: Inputs):
     )
 
 
-@query("skip_check", "V6", """
-    WITH deg AS (SELECT id, count(*) AS degree FROM (
+FLAGS = """
+    deg AS (SELECT id, count(*) AS degree FROM (
       SELECT atom_a_id AS id FROM v_edges WHERE provenance = 'semantic'
       UNION ALL SELECT atom_b_id FROM v_edges WHERE provenance = 'semantic') GROUP BY id),
     flags AS (
       SELECT a.id, a.id IN (SELECT atom_id FROM v_atom_tags) AS has_tag,
              a.id IN (SELECT atom_id FROM v_memberships) AS has_pole,
              a.id IN (SELECT id FROM v_vectors) AS embedded, coalesce(degree, 0) AS degree
-      FROM v_atoms a LEFT JOIN deg d ON a.id = d.id)
-    SELECT *, CASE WHEN has_tag AND has_pole AND degree >= 40 THEN 'skipped_full'
+      FROM v_atoms a LEFT JOIN deg d ON a.id = d.id),
+    checked AS (SELECT *, CASE WHEN has_tag AND has_pole AND degree >= 40 THEN 'skipped_full'
                    WHEN NOT embedded THEN 'skipped_unembedded' ELSE 'processed' END AS outcome
-    FROM flags""")
+    FROM flags)"""
+
+
+@query("skip_check", "V6", f"WITH {FLAGS} SELECT * FROM checked")
 def skip_check(t: Inputs):
     return con.needs_work(t.v_atoms, t.v_vectors, t.v_atom_tags, t.v_memberships, ed.edge_degree(t.v_edges), 40)
 
 
-@query("connectivity_pass", "V6")
+@query("connectivity_pass", "V6", f"""
+    WITH {FLAGS}, {SIMS}, {CENTRES},
+    work AS (SELECT * FROM v_vectors WHERE id IN (SELECT id FROM checked WHERE outcome = 'processed')),
+    mine AS (SELECT * FROM ranked WHERE query_id IN (SELECT id FROM work)),
+    votes AS (SELECT query_id AS atom_id, tag_id, count(*) AS votes FROM mine JOIN v_atom_tags ON atom_id = neighbour_id
+      WHERE rank <= 15 AND query_id <> neighbour_id AND score >= 0.2 GROUP BY 1, 2 HAVING count(*) >= 2),
+    scored AS (SELECT v.id AS atom_id, lo.axis_slug, round(list_cosine_similarity(v.vec::DOUBLE[], lo.centroid), 6) AS sim_low, round(list_cosine_similarity(v.vec::DOUBLE[], hi.centroid), 6) AS sim_high
+      FROM work v, centres lo JOIN centres hi ON lo.axis_slug = hi.axis_slug WHERE lo.pole = 'low' AND hi.pole = 'high'),
+    gaps AS (SELECT *, greatest(sim_low, sim_high) AS best, round(abs(sim_low - sim_high), 6) AS gap FROM scored),
+    fresh AS (SELECT DISTINCT least(query_id, neighbour_id) AS a, greatest(query_id, neighbour_id) AS b FROM mine
+      WHERE rank <= 8 AND score >= 0.25 AND query_id <> neighbour_id AND NOT starts_with(neighbour_id, 'doc_chunk_')
+        AND query_id NOT IN (SELECT id FROM deg WHERE degree >= 40))
+    SELECT 'atoms_' || outcome AS counter, count(*) AS n FROM checked GROUP BY outcome
+    UNION ALL SELECT 'tags_applied', count(*) FROM votes WHERE votes >= 3 AND (atom_id, tag_id) NOT IN (SELECT (atom_id, tag_id) FROM v_atom_tags)
+    UNION ALL SELECT 'tags_ambiguous', count(*) FROM votes WHERE votes < 3
+    UNION ALL SELECT 'memberships_created', count(*) FROM gaps WHERE best >= 0.2 AND gap >= 0.1 AND (atom_id, axis_slug) NOT IN (SELECT (atom_id, axis_slug) FROM v_memberships)
+    UNION ALL SELECT 'memberships_ambiguous', count(*) FROM gaps WHERE (best >= 0.1 AND best < 0.2) OR (best >= 0.2 AND gap < 0.1)
+    UNION ALL SELECT 'edges_created', count(*) FROM fresh WHERE (a, b) NOT IN (SELECT (atom_a_id, atom_b_id) FROM v_edges WHERE relationship_type = 'resonates' AND arrangement_scope = '')""")
 def connectivity_pass(t: Inputs):
     return con.connectivity_pass(
         t.v_atoms, t.v_vectors, t.v_atom_tags, t.v_memberships, t.v_edges,
