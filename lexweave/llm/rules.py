@@ -62,11 +62,17 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     return let(runs, lambda run: F.when(F.size(F.array_distinct(run)) == F.size(run), F.lit(0)).otherwise(covered(run)))
 
 
-def counts(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs) of a text."""
+def counts(text: Column, ratios: list[float]) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs) and score of a text.
+
+    The text is split into words once for all that needs them.
+    """
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     dup = let(lines, lambda own: F.size(own) - F.size(F.array_distinct(own)))
-    inside = let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
+    inside = let(
+        words_of(text),
+        lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"), mean_ratio(w, ratios).alias("score")),
+    )
     return let(
         inside,
         lambda w: F.struct(
@@ -75,6 +81,7 @@ def counts(text: Column) -> Column:
             (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
             dup.cast("long").alias("n_dup_lines"),
             w["r"].cast("long").alias("n_repeat_words"),
+            w["score"].alias("score"),
         ),
     )
 
@@ -109,12 +116,11 @@ def log_ratios(
     return [round(math.log((o + smoothing) / (r * share + smoothing)), 9) for o, r in zip(own, raw)]
 
 
-def mean_ratio(text: Column, ratios: list[float]) -> Column:
-    """Mean log ratio of the n-grams of a text; 0 for a text without words."""
+def mean_ratio(words: Column, ratios: list[float]) -> Column:
+    """Mean log ratio of the n-grams of bound ``words``; 0 for a text without words."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    inside = let(words_of(text), lambda w: buckets_of(w, len(ratios)))
     return let(
-        inside,
+        buckets_of(words, len(ratios)),
         lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.greatest(F.size(b), F.lit(1)),
     )
 
@@ -130,6 +136,9 @@ def judged(
     """
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col], text.alias("_text"))
-    rows = rows.select(id_col, counts(F.col("_text")).alias("c"), mean_ratio(F.col("_text"), ratios).alias("score"))
-    bad = failed(F.col("c.n_words"), F.col("c.n_repeat_words"), **rules)
-    return rows.select(id_col, "c.*", bad.alias("base_failed"), (~bad & (F.col("score") >= threshold)).alias("kept"), "score")
+    rows = rows.select(id_col, counts(F.col("_text"), ratios).alias("c")).select(id_col, "c.*")
+    bad = failed(F.col("n_words"), F.col("n_repeat_words"), **rules)
+    return rows.select(
+        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        bad.alias("base_failed"), (~bad & (F.col("score") >= threshold)).alias("kept"), "score",
+    )
