@@ -1,16 +1,19 @@
-"""A spread of bound queries against DuckDB on the smallest data."""
+"""Every bound query with a SQL twin against DuckDB on the smallest data.
+
+The twins of the training-data queries are checked beside their operators.
+"""
+
+import re
 
 import pytest
 
+import __spark_entry__ as entry
 from tests.compare import DATA, compare, connect
 
 SF = f"{DATA}/sf0.001"
-NAMES = [
-    "validate_atoms", "route_content", "semantic_edges", "propagate_tags", "score_memberships", "tag_arrangements",
-    "resolve_phrases", "match_vocabulary", "trend_rollup", "daily_review", "upsert_edges", "insert_ignore",
-    "merge_edges", "review_candidates", "paragraph_blocks", "merge_small_blocks", "keyword_hits", "quality_gate",
-    "bulk_ingest_chunks", "normalise_model_output", "manifest_relations", "vocabulary_overlap", "extract_terms",
-]
+NAMES = [n for n in entry.oracle_sql() if not re.match(r"op\d+_|pipeline$", n)]
+#: Queries that rightly find nothing in so little data.
+EMPTY = {"list_atoms", "bulk_import_alert", "dead_letter_alerts", "import_rate_stream"}
 
 
 @pytest.fixture(scope="module")
@@ -22,4 +25,4 @@ def con():
 def test_query(spark, con, name):
     result, rows, _, _ = compare(spark, con, SF, name)
     assert result == "match", result
-    assert rows > 0
+    assert rows > 0 or name in EMPTY
