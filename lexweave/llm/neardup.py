@@ -205,7 +205,8 @@ def near_duplicates(
     An empty table gives no rows; other columns are not looked at.
     """
     text = text_of(docs, text_col)
-    base = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    worded = text.rlike(r"[^\x20\x09-\x0D]")
+    base = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("node"), text.alias("text"), worded.alias("worded"))
     marks = cut_lineage(banded(base.select("node", "text"), bands=bands, rows=rows, size=size))
     keys = marks.select("node", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
@@ -216,16 +217,11 @@ def near_duplicates(
     )
     edges = verified_edges(cut_lineage(members), size=size, threshold=threshold, block=block)
     classes = components(edges)
-    worded = marks.select("node").distinct().withColumn("worded", F.lit(True))
-    ids = (
-        base.select("id", "node")
-        .groupBy("node", "id").agg(F.count("*").alias("n"))
-        .join(worded, "node", "left")
-        .join(classes, "node", "left")
-    )
-    ids = ids.withColumn("root", F.coalesce("root", "node"))
-    alone = F.col("worded").isNull()
-    tops = (
+    ids = base.groupBy("node", "id").agg(F.count("*").alias("n"), F.bool_or("worded").alias("worded"))
+    ids = ids.join(small_enough(cut_lineage(classes), SMALL_ROWS), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    alone = ~F.col("worded")
+    # written, so that a class of very many ids is a join key that Spark can split
+    tops = cut_lineage(
         ids.where(~alone).groupBy("root")
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("top"), F.sum("n").alias("class_size"))
     )
