@@ -74,6 +74,29 @@ def resolve_phrases(t: Inputs):
     return _resolved(t).select("phrase_id", "pos", "token", "match_type", "atom_id", "match_key")
 
 
+@query("resolve_phrases_semantic", "R1 V1", f"""
+    WITH {RESOLVED},
+    asked AS (SELECT token, list_concat(vec[2:], vec[:1])::DOUBLE[] AS vec FROM (SELECT DISTINCT token FROM resolved WHERE match_type IS NULL)
+      JOIN v_vectors ON id = 'a' || (('0x' || left(md5(token), 6))::BIGINT % (SELECT count(*) FROM embeddings))),
+    near AS (SELECT token, arg_max(id, (score, -label)) AS near, max(score) AS score FROM (
+      SELECT token, v.id, label, round(list_cosine_similarity(a.vec, v.vec::DOUBLE[]), 6) AS score FROM asked a, v_vectors v) WHERE score >= 0.2 GROUP BY 1)
+    SELECT phrase_id, pos, token, match_type, atom_id, match_key FROM resolved WHERE match_type IS NOT NULL
+    UNION ALL SELECT phrase_id, pos, r.token, CASE WHEN near IN (SELECT id FROM v_vocabulary WHERE status = 'confirmed') THEN 'semantic' END,
+      CASE WHEN near IN (SELECT id FROM v_vocabulary WHERE status = 'confirmed') THEN near END, CASE WHEN near IN (SELECT id FROM v_vocabulary WHERE status = 'confirmed') THEN 'sem:' || r.token END
+      FROM resolved r LEFT JOIN near USING (token) WHERE match_type IS NULL
+    UNION ALL SELECT phrase_id, NULL, NULL, NULL, NULL, NULL FROM toks WHERE len(words) = 0""")
+def resolve_phrases_semantic(t: Inputs):
+    """Phrases whose open tokens also look for a near vector; a token's vector is a turned one of the table."""
+    n = t.embeddings.agg(F.count("*").alias("n"))
+    tokens = rs.resolve_phrases(t.v_phrases, t.v_vocabulary).filter("token IS NOT NULL").select("token").distinct()
+    drawn = F.conv(F.left(F.md5("token"), F.lit(6)), 16, 10).cast("long")
+    placed = tokens.withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one").select("token", F.concat(F.lit("a"), (drawn % F.col("n")).cast("string")).alias("id"))
+    turned = F.concat(F.slice("vec", F.lit(2), F.size("vec") - 1), F.slice("vec", 1, 1))
+    vectors = placed.join(t.v_vectors, "id").select("token", turned.alias("vec"))
+    out = rs.resolve_phrases(t.v_phrases, t.v_vocabulary, token_vectors=vectors, vectors=t.v_vectors, min_confidence=0.2)
+    return out.select("phrase_id", "pos", "token", "match_type", "atom_id", "match_key")
+
+
 @query("resolved_atoms", "R1", f"""
     WITH {RESOLVED}
     SELECT phrase_id, match_key, any_value(atom_id) AS atom_id, any_value(CASE match_type WHEN 'prefix' THEN 0.9 ELSE 1.0 END)::DOUBLE AS confidence

@@ -580,6 +580,17 @@ def neighbourhood(t: Inputs):
     return au.neighbourhood(t.v_edges, t.v_atoms.filter(F.col("text_lower") == "red bolt"))
 
 
+@query("neighbourhood_siblings", "N1", """
+    WITH both_ways AS (SELECT atom_a_id AS id, atom_b_id AS n FROM v_edges UNION SELECT atom_b_id, atom_a_id FROM v_edges),
+    start AS (SELECT id, category_slug FROM v_atoms WHERE text_lower = 'red bolt'),
+    one AS (SELECT DISTINCT s.id AS start_id, b.n AS id FROM start s JOIN both_ways b ON s.id = b.id WHERE b.n <> s.id),
+    reached AS (SELECT id AS start_id, id, 0 AS hops FROM start UNION ALL SELECT start_id, id, 1 FROM one)
+    SELECT * FROM reached UNION ALL SELECT s.id, a.id, NULL FROM start s JOIN v_atoms a ON a.category_slug = s.category_slug
+    WHERE (s.id, a.id) NOT IN (SELECT (start_id, id) FROM reached)""")
+def neighbourhood_siblings(t: Inputs):
+    return au.neighbourhood(t.v_edges, t.v_atoms.filter(F.col("text_lower") == "red bolt"), 1, t.v_atoms.select("id", "category_slug"))
+
+
 # --- lifecycle ------------------------------------------------------------
 
 
