@@ -113,3 +113,13 @@ def test_words_match_python():
         found[d].append(w.data[s:e].tobytes().decode())
     assert found == [(t or "").split() for t in texts]
     assert w.hash[0] == w.hash[-1]
+
+
+def test_components_of_chains_and_hubs(spark):
+    from lexweave.llm.tables import components
+
+    chain = [(i, i + 1) for i in range(100, 180)]
+    hub = [(1, i) for i in range(2, 60)] + [(59, 90)]
+    got = {r.node: r.root for r in components(spark.createDataFrame([*chain, *hub, (7, 7), (5, 1)], "u long, v long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 181)}, **{i: 1 for i in range(1, 60)}, 90: 1}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
