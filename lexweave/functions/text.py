@@ -68,6 +68,16 @@ def parent_slug(c: str | Column) -> Column:
     return F.split_part(col(c), F.lit("."), F.lit(1))
 
 
+def head(c: str | Column, most: int | None) -> Column:
+    """The first ``most`` characters, or all of them for None."""
+    return col(c) if most is None else F.left(col(c), F.lit(most))
+
+
+def first_of(c: str | Column, most: int | None) -> Column:
+    """The first ``most`` elements of an array, or all of them for None."""
+    return col(c) if most is None else F.slice(col(c), 1, most)
+
+
 def sha_key(*parts: str | Column) -> Column:
     """SHA-256 of the parts joined by a bar."""
     return F.sha2(F.concat_ws("|", *[col(p) for p in parts]), 256)

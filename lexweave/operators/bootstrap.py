@@ -116,11 +116,17 @@ def edge_id(source: str) -> Column:
     return F.concat_ws(":", F.lit("wbs"), F.lit(source), "atom_a_id", "atom_b_id")
 
 
+def oversized_files(file_terms: DataFrame, max_size: int = MAX_FILE_TERMS) -> DataFrame:
+    """(file, terms) of the files with more than ``max_size`` different terms."""
+    sizes = file_terms.groupBy("file").agg(F.count_distinct("atom_id").alias("terms"))
+    return sizes.filter(F.col("terms") > max_size)
+
+
 def co_membership_edges(file_terms: DataFrame, files: DataFrame, max_size: int = MAX_FILE_TERMS) -> DataFrame:
     """Edges between the terms of each file that may pair, each pair once.
 
     A file over ``max_size`` terms makes no pairs, so the pairs of one file are
-    bounded and the join stays even.
+    bounded and the join stays even; ``oversized_files`` names those files.
     """
     members = file_terms.select("file", "atom_id").distinct()
     sizes = members.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_size))

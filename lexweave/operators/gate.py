@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import strip, text_key
+from lexweave.functions.text import head, strip, text_key
 from lexweave.operators.curation import running_index
 from lexweave.operators.predicates import HARD_REJECTS, route_content, validation_reason
 from lexweave.operators.upserts import insert_ignore
@@ -27,10 +27,12 @@ def quality_gate(
     reject_below: float = REJECT_BELOW,
     flag_below: float = FLAG_BELOW,
     redundant_over: float = REDUNDANT_OVER,
+    max_text: int | None = 200,
 ) -> DataFrame:
     """Ordered decision per input (input_id, text, source, specificity).
 
-    Text rules, source, specificity, redundancy, then pass or flag. Only rows that
+    Text rules, source, specificity, redundancy, then pass or flag; ``atom_text`` shows
+    the first ``max_text`` characters (None: all). Only rows that
     reach it take part in the neighbour search.
     """
     reason = validation_reason("text")
@@ -59,7 +61,7 @@ def quality_gate(
         "similar_id",
         "similarity",
         F.col("specificity").alias("specificity_score"),
-        F.left("text", F.lit(200)).alias("atom_text"),
+        head("text", max_text).alias("atom_text"),
     )
 
 

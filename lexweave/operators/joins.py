@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions.text import text_key
+from lexweave.functions.text import head, text_key
 from lexweave.operators.edges import both_directions
 
 
@@ -256,13 +256,13 @@ def match_reviews(
     sources: DataFrame,
     *,
     min_chars: int = 100,
-    per_source: int = 5,
-    max_chars: int = 2000,
+    per_source: int | None = 5,
+    max_chars: int | None = 2000,
 ) -> DataFrame:
     """Reviews joined to a source by the first key, else by the second.
 
     Texts of at least ``min_chars`` count; the first ``per_source`` per source stay,
-    each shortened to ``max_chars``.
+    each shortened to ``max_chars`` (None: all of them, whole).
     """
     one = sources.filter(F.col("key_one").isNotNull()).groupBy("key_one").agg(F.min("source_id").alias("by_one"))
     two = sources.filter(F.col("key_two").isNotNull()).groupBy("key_two").agg(F.min("source_id").alias("by_two"))
@@ -274,8 +274,6 @@ def match_reviews(
         .filter(F.col("source_id").isNotNull())
     )
     order = Window.partitionBy("source_id").orderBy("review_id")
-    return (
-        matched.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= per_source)
-        .select("review_id", "source_id", "place", F.left("text", F.lit(max_chars)).alias("text"))
-    )
+    placed = matched.withColumn("place", F.row_number().over(order))
+    kept = placed if per_source is None else placed.filter(F.col("place") <= per_source)
+    return kept.select("review_id", "source_id", "place", head("text", max_chars).alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.json_text import clamp2, clean_json
 from lexweave.functions.maths import DIMENSIONS
-from lexweave.functions.text import strip
+from lexweave.functions.text import first_of, head, strip
 
 # Enumerations and defaults.
 MODALITIES = ["visual", "narrative", "both"]
@@ -187,20 +187,28 @@ ENRICHMENT_SCHEMA = (
 
 
 def validate_enrichment(
-    raw: DataFrame, categories: DataFrame, arrangements: DataFrame, *, keep_category: str | None = None
+    raw: DataFrame,
+    categories: DataFrame,
+    arrangements: DataFrame,
+    *,
+    keep_category: str | None = None,
+    max_concepts: int | None = MAX_CONCEPTS,
+    max_summary: int | None = MAX_SUMMARY,
+    max_profiles: int | None = MAX_PROFILES,
 ) -> DataFrame:
-    """Chunk enrichments (chunk_id, raw): at most 15 concepts, 500 characters of
-    summary, 4 known profiles; an unknown category is null, or the old one."""
+    """Chunk enrichments (chunk_id, raw): at most ``max_concepts`` concepts, ``max_summary``
+    characters of summary, and the known ones of the first ``max_profiles`` profiles, None
+    for no cut; an unknown category is null, or the old one."""
     parsed = raw.withColumn("j", F.from_json(clean_json("raw"), ENRICHMENT_SCHEMA))
     concepts = F.transform(
-        F.slice(F.filter("j.key_concepts", lambda k: strip(F.coalesce(k["term"], F.lit(""))) != ""), 1, MAX_CONCEPTS),
+        first_of(F.filter("j.key_concepts", lambda k: strip(F.coalesce(k["term"], F.lit(""))) != ""), max_concepts),
         lambda k: F.struct(
             strip(k["term"]).alias("term"),
             k["category_hint"].alias("category_hint"),
             F.coalesce(k["is_proper_noun"], F.lit(False)).alias("is_proper_noun"),
         ),
     )
-    first = F.slice(F.filter("j.arrangement_slugs", lambda s: s.isNotNull()), 1, MAX_PROFILES)
+    first = first_of(F.filter("j.arrangement_slugs", lambda s: s.isNotNull()), max_profiles)
     out = parsed.withColumns({"_cat": F.col("j.category_slug"), "_p": first})
     out = out.join(categories.select(F.col("slug").alias("_cat"), F.lit(True).alias("_known")), "_cat", "left")
     ranked = out.select("chunk_id", F.posexplode("_p").alias("at", "slug")).join(
@@ -213,7 +221,7 @@ def validate_enrichment(
     empty = F.array()
     return out.join(profiles, "chunk_id", "left").select(
         "chunk_id",
-        F.left(F.coalesce("j.summary", F.lit("")), F.lit(MAX_SUMMARY)).alias("summary"),
+        head(F.coalesce("j.summary", F.lit("")), max_summary).alias("summary"),
         F.when(F.col("_known"), F.col("_cat")).otherwise(fallback).alias("category_slug"),
         F.coalesce("arrangement_slugs", empty.cast("array<string>")).alias("arrangement_slugs"),
         F.least(F.greatest(F.coalesce("j.quality_score", F.lit(0.5)), F.lit(0.0)), F.lit(1.0)).alias("quality_score"),
@@ -227,23 +235,31 @@ SIGNAL_SCHEMA = (
 )
 
 
-def validate_signals(raw: DataFrame) -> DataFrame:
+def validate_signals(
+    raw: DataFrame,
+    *,
+    max_topics: int | None = MAX_TOPICS,
+    max_topic_chars: int | None = 100,
+    max_pains: int | None = 5,
+    max_requests: int | None = 3,
+    max_posts: int | None = 3,
+) -> DataFrame:
     """Topic signals of scan answers (scan_id, subreddit, scan_date, raw): the first
-    ten topics, checked; lists are cut to five, three and three."""
+    ``max_topics`` topics, checked; texts and lists are cut to the given lengths, None for no cut."""
     parsed = raw.select("scan_id", "subreddit", "scan_date", F.from_json(clean_json("raw"), SIGNAL_SCHEMA).alias("j"))
-    topics = parsed.select("scan_id", "subreddit", "scan_date", F.posexplode(F.slice("j.topics", 1, MAX_TOPICS)).alias("pos", "t"))
-    some = lambda c, n: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n).alias(c.split(".")[-1])
+    topics = parsed.select("scan_id", "subreddit", "scan_date", F.posexplode(first_of("j.topics", max_topics)).alias("pos", "t"))
+    some = lambda c, n: first_of(F.coalesce(c, F.array().cast("array<string>")), n).alias(c.split(".")[-1])
     return topics.filter(F.coalesce("t.topic", F.lit("")) != "").select(
         "scan_id",
         "subreddit",
         "scan_date",
         "pos",
-        F.left(F.lower("t.topic"), F.lit(100)).alias("topic"),
+        head(F.lower("t.topic"), max_topic_chars).alias("topic"),
         in_set(F.col("t.sentiment"), SENTIMENTS, "news").alias("sentiment"),
         F.least(F.greatest(F.coalesce("t.intensity", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("intensity"),
-        some("t.pain_points", 5),
-        some("t.feature_requests", 3),
-        some("t.sample_post_ids", 3),
+        some("t.pain_points", max_pains),
+        some("t.feature_requests", max_requests),
+        some("t.sample_post_ids", max_posts),
         F.coalesce("t.tools_mentioned", F.array().cast("array<string>")).alias("tools_mentioned"),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.html import decode_entities, strip_tags
-from lexweave.functions.text import col, let, strip, words
+from lexweave.functions.text import col, head, let, strip, words
 from lexweave.operators.upserts import first_per_key
 
 # Fixed values of feed parsing.
@@ -45,8 +45,9 @@ def parse_time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
-def parse_feed_payloads(raw: DataFrame) -> DataFrame:
-    """(source_id, title, url, published_at, description) of payloads (source_id, xml)."""
+def parse_feed_payloads(raw: DataFrame, max_description: int | None = MAX_DESCRIPTION) -> DataFrame:
+    """(source_id, title, url, published_at, description) of payloads (source_id, xml);
+    descriptions are cut to ``max_description`` characters (None: whole)."""
     atom = F.contains("xml", F.lit("<feed")) & F.contains("xml", F.lit(ATOM_MARK))
     pattern = F.when(atom, r"(?is)<entry>(.*?)</entry>").otherwise(r"(?is)<item>(.*?)</item>")
     items = raw.select("source_id", atom.alias("atom"), F.explode(F.regexp_extract_all("xml", pattern, F.lit(1))).alias("x"))
@@ -63,7 +64,7 @@ def parse_feed_payloads(raw: DataFrame) -> DataFrame:
         plain("title").alias("title"),
         "url",
         parse_time(F.col("t")).alias("published_at"),
-        F.left(F.coalesce(plain("b"), F.lit("")), F.lit(MAX_DESCRIPTION)).alias("description"),
+        head(F.coalesce(plain("b"), F.lit("")), max_description).alias("description"),
     )
 
 
@@ -71,17 +72,19 @@ def parse_feed_payloads(raw: DataFrame) -> DataFrame:
 POST_NOISE = [r"https?://[^\s)]+", r"submitted by\s+/u/\S+", r"\[link\]", r"\[comments\]"]
 
 
-def post_body(html: str | Column) -> Column:
-    """Plain text of a post: its marked part, tags and addresses out, 1000 characters."""
+def post_body(html: str | Column, max_chars: int | None = MAX_DESCRIPTION) -> Column:
+    """Plain text of a post: its marked part, tags and addresses out, ``max_chars`` characters (None: all)."""
     h = col(html)
     inner = F.regexp_extract(h, r'(?s)<div class="md">(.*?)</div>', 1)
     source = F.when(F.rlike(h, F.lit(r'(?s)<div class="md">.*?</div>')), inner).otherwise(h)
     text = reduce(lambda t, p: F.regexp_replace(t, p, ""), POST_NOISE, strip_tags(source, " "))
     text = strip(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(text) > MAX_DESCRIPTION, F.concat(F.left(text, F.lit(MAX_DESCRIPTION)), F.lit("..."))).otherwise(text)
+    if max_chars is None:
+        return text
+    return F.when(F.length(text) > max_chars, F.concat(F.left(text, F.lit(max_chars)), F.lit("..."))).otherwise(text)
 
 
-def parse_post_feed(raw: DataFrame) -> DataFrame:
+def parse_post_feed(raw: DataFrame, max_chars: int | None = MAX_DESCRIPTION) -> DataFrame:
     """(subreddit, id, title, selftext, permalink, created) of payloads (subreddit, xml)."""
     decode = lambda c: decode_entities(c, [("&#32;", " "), ("&apos;", "'")])
     entries = raw.select("subreddit", F.explode(let(F.split("xml", "<entry>"), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))).alias("x"))
@@ -89,7 +92,7 @@ def parse_post_feed(raw: DataFrame) -> DataFrame:
         "subreddit",
         F.regexp_replace(F.coalesce(tag_text("x", "id"), F.lit("")), "^t3_", "").alias("id"),
         decode(F.coalesce(tag_text("x", "title"), F.lit(""))).alias("title"),
-        post_body(decode(F.coalesce(tag_text("x", "content"), F.lit("")))).alias("selftext"),
+        post_body(decode(F.coalesce(tag_text("x", "content"), F.lit(""))), max_chars).alias("selftext"),
         F.regexp_extract("x", r'<link[^>]*?href="([^"]*)"', 1).alias("permalink"),
         parse_time(tag_text("x", "published")).alias("created"),
     )

@@ -53,10 +53,10 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: str, *, header: bool
     return raw.filter(F.col("_bad").isNull()).drop("_bad")
 
 
-def read_list_files(spark: SparkSession, path: str) -> DataFrame:
+def read_list_files(spark: SparkSession, path: str, max_line: int | None = MAX_LINE) -> DataFrame:
     """(file, term) of text files with a term per line.
 
-    Comments, placeholder lines and long lines leave. Lines are split over tasks,
+    Comments, placeholder lines and lines over ``max_line`` characters leave (None: none is too long). Lines are split over tasks,
     whatever the size of a file.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), strip("value").alias("term"))
@@ -66,7 +66,7 @@ def read_list_files(spark: SparkSession, path: str) -> DataFrame:
         & ~t.startswith("#")
         & ~t.startswith("//")
         & ~F.rlike(t, F.lit(PLACEHOLDER))
-        & (F.length(t) <= MAX_LINE)
+        & (F.lit(True) if max_line is None else F.length(t) <= max_line)
     )
 
 
