@@ -210,7 +210,7 @@ def skip_check(t: Inputs):
     return con.needs_work(t.v_atoms, t.v_vectors, t.v_atom_tags, t.v_memberships, ed.edge_degree(t.v_edges), 40)
 
 
-@query("connectivity_pass", "V6", f"""
+PASS = f"""
     WITH {FLAGS}, {SIMS}, {CENTRES},
     work AS (SELECT * FROM v_vectors WHERE id IN (SELECT id FROM checked WHERE outcome = 'processed')),
     mine AS (SELECT * FROM ranked WHERE query_id IN (SELECT id FROM work)),
@@ -227,14 +227,22 @@ def skip_check(t: Inputs):
     UNION ALL SELECT 'tags_ambiguous', count(*) FROM votes WHERE votes < 3
     UNION ALL SELECT 'memberships_created', count(*) FROM gaps WHERE best >= 0.2 AND gap >= 0.1 AND (atom_id, axis_slug) NOT IN (SELECT (atom_id, axis_slug) FROM v_memberships)
     UNION ALL SELECT 'memberships_ambiguous', count(*) FROM gaps WHERE (best >= 0.1 AND best < 0.2) OR (best >= 0.2 AND gap < 0.1)
-    UNION ALL SELECT 'edges_created', count(*) FROM fresh WHERE (a, b) NOT IN (SELECT (atom_a_id, atom_b_id) FROM v_edges WHERE relationship_type = 'resonates' AND arrangement_scope = '')""")
-def connectivity_pass(t: Inputs):
+    UNION ALL SELECT 'edges_created', count(*) FROM fresh WHERE (a, b) NOT IN (SELECT (atom_a_id, atom_b_id) FROM v_edges WHERE relationship_type = 'resonates' AND arrangement_scope = '')"""
+
+
+def counted(t: Inputs, batch):
+    """The counters of a connectivity pass over a batch of ids."""
     return con.connectivity_pass(
-        t.v_atoms, t.v_vectors, t.v_atom_tags, t.v_memberships, t.v_edges,
+        batch, t.v_vectors, t.v_atom_tags, t.v_memberships, t.v_edges,
         tag_sim=0.2, pole_sim=0.2, pole_gap=0.1, band_low=0.1, band_high=0.2, edge_sim=0.25, min_edges=40,
     )
 
 
+@query("connectivity_pass", "V6", PASS)
+def connectivity_pass(t: Inputs):
+    return counted(t, t.v_atoms)
+
+
 @query("redundancy", "V7", f"""
     WITH {SIMS}
     SELECT query_id AS id, arg_max(neighbour_id, -rank) AS similar_id, max(score) AS similarity

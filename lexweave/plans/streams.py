@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.plans.graph import PASS, counted
 from lexweave.plans.ingest import HITS, feed_keywords
 from lexweave.plans.registry import Inputs, query
 from lexweave.session import checkpoint_dir
@@ -98,6 +99,16 @@ def connectivity_stream(t: Inputs):
     return t.spark.read.parquet(f"{base}/out").select("id").distinct()
 
 
+@query("connectivity_pass_stream", "Z4 V6", PASS.replace("FROM v_atoms a LEFT JOIN deg", "FROM (SELECT DISTINCT 'a' || user_id AS id FROM events) a LEFT JOIN deg"))
+def connectivity_pass_stream(t: Inputs):
+    """The event path: each batch of confirmed terms goes through the connectivity pass."""
+    base = f"{checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
+    ids = stream_of(t, "events").select(F.concat(F.lit("a"), "user_id").alias("id"))
+    run = st.connectivity_stream(ids, lambda batch: counted(t, batch), st.write_batches(f"{base}/out"), st.write_batches(f"{base}/failed"))
+    run.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").groupBy("counter").agg(F.sum("n").alias("n"))
+
+
 @query("sweep", "Z5", "SELECT id FROM v_atoms WHERE id > 'a5' ORDER BY id LIMIT 50")
 def sweep(t: Inputs):
     return st.next_sweep(t.v_atoms, "a5", 50)[0]

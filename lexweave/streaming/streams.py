@@ -117,13 +117,13 @@ def connectivity_stream(
 
 
 def next_sweep(atoms: DataFrame, cursor: str, size: int) -> tuple[DataFrame, str]:
-    """The next ``size`` ids after the cursor, wrapping to the first when none is
-    left, and the new cursor ('' after a full sweep)."""
+    """The next ``size`` ids after the cursor, and the cursor to go on with.
+
+    A page that finds nothing ends the sweep: it resets the cursor to '', from which the
+    next page starts over, and is the moment to ask ``manifests_due``.
+    """
     rows = atoms.filter(F.col("id") > cursor).select("id").orderBy("id").limit(size)
-    last = rows.agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
-    if last["n"] == 0 and cursor:
-        return next_sweep(atoms, "", size)
-    return rows, last["last"] if last["n"] == size else ""
+    return rows, rows.agg(F.max("id").alias("last")).first()["last"] or ""
 
 
 def manifests_due(last_build: float | None, now: float, every_hours: float = 24) -> bool:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions.sizing import attach_packed
-from lexweave.operators import lifecycle, predicates, resolve, templates, vectors
+from lexweave.operators import bootstrap, joins, lifecycle, model_rows, predicates, resolve, templates, vectors
 from lexweave.sources import payloads
 from lexweave.streaming import streams
 
@@ -100,3 +100,22 @@ def test_batches_are_upserted_and_can_run_again(spark, tmp_path):
     assert out() == [("a", 6), ("c", 7)]
     write(spark.createDataFrame([("c", 7)], "atom_id string, encounter_count long"), 2)
     assert out() == [("a", 6), ("c", 7)]
+
+
+def test_cuts_are_parameters(spark):
+    import json
+
+    topics = [{"topic": "t" * 150, "pain_points": list("abcdefgh")} for _ in range(12)]
+    raw = spark.createDataFrame([("s", "r", json.dumps({"topics": topics}))], "scan_id string, subreddit string, raw string").withColumn("scan_date", F.lit("2024-01-01").cast("date"))
+    cut, whole = model_rows.validate_signals(raw).collect(), model_rows.validate_signals(raw, max_topics=None, max_topic_chars=None, max_pains=None).collect()
+    assert (len(cut), len(cut[0].topic), len(cut[0].pain_points)) == (10, 100, 5)
+    assert (len(whole), len(whole[0].topic), len(whole[0].pain_points)) == (12, 150, 8)
+    feed = spark.createDataFrame([("s", f"<rss><item><title>t</title><link>u</link><description>{'d' * 3000}</description></item></rss>")], "source_id string, xml string")
+    assert [len(payloads.parse_feed_payloads(feed, n).first().description) for n in (1000, None)] == [1000, 3000]
+    reviews = spark.createDataFrame([(f"r{i}", "x" * 3000, "k", None) for i in range(8)], "review_id string, text string, key_one string, key_two string")
+    sources = spark.createDataFrame([("s", "k", None)], "source_id string, key_one string, key_two string")
+    assert joins.match_reviews(reviews, sources).count() == 5
+    all_of_them = joins.match_reviews(reviews, sources, per_source=None, max_chars=None)
+    assert all_of_them.count() == 8 and len(all_of_them.first().text) == 3000
+    terms = spark.createDataFrame([("f", f"a{i}") for i in range(101)] + [("g", "a1")], "file string, atom_id string")
+    assert [tuple(r) for r in bootstrap.oversized_files(terms).collect()] == [("f", 101)]

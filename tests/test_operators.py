@@ -213,7 +213,10 @@ def test_sweep_wraps(spark):
     atoms = spark.createDataFrame([(f"a{i}",) for i in range(5)], "id string")
     first, cursor = streams.next_sweep(atoms, "", 3)
     assert (first.count(), cursor) == (3, "a2")
-    _, cursor = streams.next_sweep(atoms, cursor, 3)
-    assert cursor == ""
-    again, _ = streams.next_sweep(atoms, "a9", 3)
+    short, cursor = streams.next_sweep(atoms, cursor, 3)
+    assert (short.count(), cursor) == (2, "a4")
+    empty, cursor = streams.next_sweep(atoms, cursor, 3)
+    assert (empty.count(), cursor) == (0, "")
+    again, _ = streams.next_sweep(atoms, cursor, 3)
     assert again.count() == 3
+    assert streams.manifests_due(None, 0) and not streams.manifests_due(0, 3600) and streams.manifests_due(0, 24 * 3600)
