@@ -4,8 +4,9 @@ Every source is a queue of tokens. A deficit round-robin serves the queues in gr
 each window (one sequence) adds to a queue's deficit its share of the window, whole
 grains are served from the deficit, and what is left over goes to the queues with the
 largest deficits; deficits are carried to the next window. The round-robin is run once
-over a period of bounded length and repeats, so the place of any grain in the output
-follows from its place in its queue alone. Tasks therefore carry on each other's
+over a period of bounded length and repeats; grains that do not divide evenly among the
+periods are a queue of their own in it, dealt in the same way. So the place of any grain
+in the output follows from its place in its queue alone. Tasks therefore carry on each other's
 deficits without talking to each other, and a hot source is cut like any other.
 """
 
@@ -32,6 +33,8 @@ LENGTH = 1024
 GRAIN = 64
 #: Longest period of the round-robin, in grains.
 PERIOD = 16_384
+#: Most uneven grains whose places are held in memory and not worked out when asked for.
+HELD = 1 << 20
 #: Sources with a queue of their own; all others share one.
 MAX_QUEUES = 256
 CHUNKS_PER_GROUP = 4096
@@ -96,6 +99,80 @@ def round_robin(weights: np.ndarray, window: int) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in places]
 
 
+class Spread:
+    """Places of one queue's grains over ``laps`` periods and a last part, in order.
+
+    ``own`` are its places in every period. ``extra`` are the places in a period that all
+    queues share for what does not divide by ``laps``; ``rest`` are this queue's numbers
+    among the extra places of all periods. ``last`` are its places after the periods.
+    """
+
+    def __init__(self, laps: int, period: int, own: np.ndarray, extra: np.ndarray, rest: np.ndarray | Spread, last: np.ndarray):
+        self.laps, self.period, self.own, self.extra, self.rest, self.last = laps, period, own, extra, rest, last
+        self.held = self.number(np.arange(len(rest))) if isinstance(rest, np.ndarray) else None
+
+    def __len__(self) -> int:
+        return self.laps * len(self.own) + len(self.rest) + len(self.last)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self[np.arange(len(self))].astype(dtype or np.int64)
+
+    def number(self, i: np.ndarray) -> np.ndarray:
+        """Which grain of the queue its extra grain ``i`` is."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        lap, at = np.divmod(self.rest[i], len(self.extra))
+        return i + lap * len(self.own) + np.searchsorted(self.own, self.extra[at])
+
+    def extras_before(self, g: np.ndarray) -> np.ndarray:
+        if self.held is not None:
+            return np.searchsorted(self.held, g)
+        low, high = np.zeros(len(g), np.int64), np.full(len(g), len(self.rest))
+        while (low < high).any():
+            middle = (low + high) // 2
+            less = (low < high) & (self.number(np.minimum(middle, len(self.rest) - 1)) < g)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(high, middle))
+        return low
+
+    def __getitem__(self, g: np.ndarray) -> np.ndarray:
+        out = np.empty(len(g), np.int64)
+        end = len(self) - len(self.last)
+        late = g >= end
+        out[late] = self.laps * self.period + self.last[g[late] - end]
+        here = np.flatnonzero(~late)
+        i = self.extras_before(g[here])
+        extra = np.zeros(len(here), bool)
+        some = np.flatnonzero(i < len(self.rest))
+        extra[some] = self.number(i[some]) == g[here[some]]
+        lap, at = np.divmod(self.rest[i[extra]], max(1, len(self.extra)))
+        out[here[extra]] = lap * self.period + self.extra[at]
+        lap, at = np.divmod((g[here] - i)[~extra], max(1, len(self.own)))
+        out[here[~extra]] = lap * self.period + self.own[at]
+        return out
+
+
+def dealt(grains: np.ndarray, window: int, period: int = PERIOD) -> list[np.ndarray | Spread]:
+    """Places of each queue's grains as of ``round_robin``, from one of ``period`` grains at most.
+
+    The mixture is kept over the whole length: what a period leaves of each queue is dealt
+    among the periods and never put behind them.
+    """
+    total = int(grains.sum())
+    period = max(period, 4 * len(grains))
+    period = max(window, period - period % window)
+    if total <= period:
+        return round_robin(grains, window)
+    laps, left = divmod(total, period)
+    last, over = grains * left // total, grains * left % total
+    last[np.lexsort((np.arange(len(grains)), -over))[: left - int(last.sum())]] += 1
+    own, rest = np.divmod(grains - last, laps)
+    *places, extra = round_robin(np.append(own, period - own.sum()), window)
+    inner = dealt(rest, max(1, window // 4), period) if len(extra) else [np.zeros(0, np.int64)] * len(grains)
+    if rest.sum() <= HELD:
+        inner = [np.asarray(x) for x in inner]
+    return [Spread(laps, period, *x) for x in zip(places, [extra] * len(grains), inner, round_robin(last, window))]
+
+
 @dataclass
 class Block:
     """``repeats`` periods of one round-robin, beginning at grain ``base`` of the output."""
@@ -103,7 +180,7 @@ class Block:
     base: int
     repeats: int
     period: int
-    places: list[np.ndarray]
+    places: list[np.ndarray | Spread]
 
 
 def schedule(full: np.ndarray, share: np.ndarray | None, window: int, period: int = PERIOD) -> list[Block]:
@@ -129,17 +206,9 @@ def schedule(full: np.ndarray, share: np.ndarray | None, window: int, period: in
             ends = has & (np.divide(left, use, out=np.full(len(left), np.inf), where=has) <= ratio)
             phase[ends] = left[ends]
         left -= phase
-        while phase.any():
-            total = int(phase.sum())
-            weights = phase.copy()
-            if total > period:
-                weights = np.array([int(n) * period // total for n in phase], np.int64)
-                weights[weights.argmax()] -= weights.sum() % window
-            some = weights > 0
-            repeats = int((phase[some] // weights[some]).min())
-            blocks.append(Block(base, repeats, int(weights.sum()), round_robin(weights, window)))
-            base += repeats * int(weights.sum())
-            phase -= repeats * weights
+        if phase.any():
+            blocks.append(Block(base, 1, int(phase.sum()), dealt(phase, window, period)))
+            base += int(phase.sum())
     return blocks
 
 
@@ -277,7 +346,7 @@ def pack(
     little-endian 32-bit. Sequences hold ``length`` tokens, only the last may hold fewer.
     ``targets`` gives the token share of each source (null is a source; those it does not
     name get 0 and come after the others); by default each source's part of the corpus. Every window
-    of a mixture is within a grain or so of its targets for each queue; sources beyond the
+    of a mixture is within a few grains of its targets for each queue; sources beyond the
     ``max_queues`` with most documents share a queue (with ``targets``: all that it does
     not name). After the whole grains come the less than ``grain`` last tokens of each queue.
 

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from lexweave.llm import packing
 from lexweave.llm.packing import encoder, pack, round_robin, schedule, sequences
 from lexweave.llm.queries import op1_packing
 
@@ -89,6 +90,34 @@ def test_schedule_deals_everything():
         assert end == full.sum()
 
 
+@pytest.mark.parametrize("held", [packing.HELD, 0])
+@pytest.mark.parametrize(
+    "full, period",
+    [
+        ([900_000, *range(200, 450)], packing.PERIOD),
+        ([400_000 // (i + 1) for i in range(100)], packing.PERIOD),
+        ([50_001] * 20, packing.PERIOD),
+        ([90_000, 3, 1, 0, 777, *range(1, 40)], 256),
+    ],
+)
+def test_every_window_keeps_the_mixture(monkeypatch, full, period, held):
+    """Many small queues and many periods: no window to the very end departs from the targets."""
+    monkeypatch.setattr(packing, "HELD", held)
+    full = np.array(full)
+    total, window = int(full.sum()), 16
+    places = [[] for _ in full]
+    for b in schedule(full, None, window, period):
+        for s, own in enumerate(b.places):
+            laps = np.arange(b.repeats)[:, None] * b.period
+            places[s].append((b.base + laps + np.asarray(own)[None]).ravel())
+    places = [np.concatenate(p) for p in places]
+    assert (np.sort(np.concatenate(places)) == np.arange(total)).all()
+    ends = np.arange(0, total + 1, window)
+    for s, p in enumerate(places):
+        assert len(p) == full[s] and (np.diff(p) > 0).all()
+        assert np.abs(np.searchsorted(p, ends) - ends * full[s] / total).max() < 6
+
+
 def test_encoders_agree():
     texts = ["", "  a\n\tb ", "Ünï 12345 don't", "x<|endoftext|>y", "a" * 5000, "​日本語 🎉"]
     assert [encoder(PATH, RANKS)(t) for t in texts] == [encoder(PATH, None)(t) for t in texts]
