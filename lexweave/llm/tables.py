@@ -29,7 +29,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds alternate until nothing changes. Each round takes
     the smallest neighbour with an aggregate that combines in the map tasks and joins it
     back, so a hub is a splittable join key and never a collected list. Rounds are
-    written to the shared checkpoint folder.
+    written to the shared checkpoint folder. Raises if ``max_rounds`` do not suffice.
     """
     current = cut_lineage(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -49,5 +49,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         if mark == (now.n, now.s):
             break
         mark = (now.n, now.s)
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -123,3 +123,13 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame([*chain, *hub, (7, 7), (5, 1)], "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(100, 181)}, **{i: 1 for i in range(1, 60)}, 90: 1}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_never_stop_unsettled(spark):
+    import pytest
+
+    from lexweave.llm.tables import components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components(chain, max_rounds=2)
