@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline, bound to the driver's tables."""
+"""The operators and the pipeline, bound to the driver's tables."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.llm.align import align, byte_side, piece_side
 from lexweave.llm.chat import formatted, read_back, under_loss
 from lexweave.llm.decontam import find_contaminated
+from lexweave.llm.imatch import edited_fingerprints
 from lexweave.llm.licenses import license_spans
 from lexweave.llm.neardup import near_duplicates
 from lexweave.llm.packing import pack
@@ -17,6 +19,7 @@ from lexweave.llm.pii import replace_pii
 from lexweave.llm.quality import fit_quality, held_out, quality_scores
 from lexweave.llm.rules import judged, log_ratios
 from lexweave.llm.token_counts import token_counts
+from lexweave.llm.trie import prefix_trie, replayed, turns_of
 from lexweave.llm.warc import read_archives, to_records, write_archives
 from lexweave.session import checkpoint_dir, cut_lineage
 
@@ -182,3 +185,57 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(replayed(turns_of(table(spark, sf_dir, "conversations"))))
+
+
+SQL["op11_prefix_trie"] = """
+WITH own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS o
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+bits AS (
+  SELECT c, o, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS b
+  FROM own),
+h AS (
+  SELECT c, o, xor(list_reduce(b, lambda s, e: CASE WHEN e >= 0 THEN xor(s, e)
+    ELSE xor(s >> 1, (s & 1) * 3988292384) END), 4294967295) % 9 AS h
+  FROM bits),
+r AS (
+  SELECT h.c, list_concat(coalesce(f.o, [])[1:h.h], h.o[h.h + 1:]) AS p
+  FROM h LEFT JOIN own f ON f.c = h.c - h.c % 5),
+n AS (
+  SELECT p[1:d] AS k, d, min(c) AS c, count(*) AS n
+  FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM r) GROUP BY ALL),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+v AS (
+  SELECT n.*, coalesce(kids.n, 0) AS kids, CASE WHEN n.d = 0 THEN 0 ELSE (n.n - 1) * octet_length(encode(n.k[n.d].t)) END AS own
+  FROM n LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k),
+sub AS (
+  SELECT k, d, count(*) FILTER (kids = 0) AS leaves, sum(own) AS saved
+  FROM (SELECT k[1:d1] AS k, d1 AS d, kids, own FROM (SELECT k, kids, own, unnest(range(0, d + 1)) AS d1 FROM v)) GROUP BY ALL),
+e AS (SELECT p AS k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM r GROUP BY p)
+SELECT v.c AS conv_id, v.d AS depth, up.c AS parent_conv_id, v.n AS n_convs, v.kids AS n_children,
+  sub.leaves AS n_leaves, sub.saved::BIGINT AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM v JOIN sub ON sub.d = v.d AND sub.k = v.k
+LEFT JOIN n up ON up.d = v.d - 1 AND up.k = v.k[1:v.d - 1]
+LEFT JOIN e ON e.k = v.k
+"""
+
+
+@query
+def op12_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, ranks, pieces = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    found, _ = align(table(spark, sf_dir, "documents"), lambda: byte_side(path, ranks), lambda: piece_side(pieces), n_a=50_257)
+    return found
