@@ -122,10 +122,11 @@ def segments(
 
 
 def formatted(conversations: DataFrame, template: Template = BRACKETS, *, id_col: str = "conv_id", **columns: str) -> DataFrame:
-    """(id_col, formatted, loss_spans, valid): one row per conversation.
+    """(id_col, formatted, loss_spans, valid, first_bad): one row per conversation.
 
     ``loss_spans`` are the (start, length) of the texts under the loss, in code points of
-    ``formatted``; ``valid`` says that the machine accepts all turns and ends rightly.
+    ``formatted``; ``valid`` says that the machine accepts all turns and ends rightly;
+    ``first_bad`` is the first turn it does not accept, from 0, else null.
     A conversation is one training text and thus one row; a null id is a conversation of
     its own, and an empty table has none. Other columns are not looked at.
     """
@@ -135,9 +136,10 @@ def formatted(conversations: DataFrame, template: Template = BRACKETS, *, id_col
         F.sort_array(F.collect_list(F.struct("n", F.concat("open", "body", "close").alias("text")))).alias("parts"),
         F.sort_array(F.collect_list(F.when(F.col("loss"), span))).alias("loss_spans"),
         (F.bool_and("in_order") & F.max_by("role", "n").isin(*template.ends)).alias("valid"),
+        F.min(F.when(~F.col("in_order"), F.col("n"))).alias("first_bad"),
     )
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    return parts.select(id_col, text.alias("formatted"), "loss_spans", "valid")
+    return parts.select(id_col, text.alias("formatted"), "loss_spans", "valid", "first_bad")
 
 
 def read_back(text: Column, template: Template = BRACKETS) -> Column:

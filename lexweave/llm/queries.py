@@ -148,6 +148,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = text.select(
         "conv_id", read_back(F.col("formatted")).alias("turns"),
         under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid", F.col("first_bad").cast("long").alias("first_bad"),
     )
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -157,6 +158,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        "first_bad",
     )
 
 
@@ -166,16 +169,23 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (
+  SELECT *, row_number() OVER w - 1 AS n, lag(role) OVER w AS before FROM c
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 t AS (
-  SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) +
+  SELECT *, CASE coalesce(before, '') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant'
+      WHEN 'assistant' THEN role = 'user' ELSE before IS NULL AND role IN ('system', 'user') END AS in_order,
+    length(text) + len(regexp_extract_all(text, '{_CONTROL}')) +
     CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
       ELSE 20 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) END AS chars
-  FROM c)
+  FROM m)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(chars)::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars,
+  bool_and(in_order) AND arg_max(role, n) = 'assistant' AS valid,
+  min(n) FILTER (NOT in_order) AS first_bad
 FROM t GROUP BY conv_id
 """
 

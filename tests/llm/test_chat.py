@@ -15,6 +15,24 @@ def test_query(spark, same_as_sql):
     assert same_as_sql(spark, "op3_chat_formatting", "/root/testdata/sf0.001") > 1
 
 
+def test_query_marks_conversations_out_of_order(spark, same_as_sql, tmp_path):
+    from lexweave.plans.registry import TABLES
+
+    sf = "/root/testdata/sf0.001"
+    for t in TABLES:
+        if t != "conversations":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    talks = {1: "system user assistant", 2: "user assistant", 3: "user", 4: "assistant user", 5: "user user assistant", 6: "system assistant", 7: "user assistant tool assistant", 8: "user assistant"}
+    rows = [(c, t if c < 8 else None, role, f"x{t}") for c, roles in talks.items() for t, role in enumerate(roles.split())]
+    rows += [(9, 0, None, "x"), (9, 1, "user", None)]
+    spark.createDataFrame(rows, SCHEMA).toPandas().astype({"turn": "Int64"}).to_parquet(f"{tmp_path}/conversations.parquet")
+    assert same_as_sql(spark, "op3_chat_formatting", str(tmp_path)) == 10
+    from lexweave.llm.queries import op3_chat_formatting
+
+    got = {r.conv_id: (r.valid, r.first_bad) for r in op3_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got == {-1: (True, None), 1: (True, None), 2: (True, None), 3: (False, None), 4: (False, 0), 5: (False, 1), 6: (False, 1), 7: (False, 2), 8: (False, 0), 9: (False, 0)}
+
+
 def back(df, template=BRACKETS):
     return {
         r.conv_id: r
