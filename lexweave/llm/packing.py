@@ -35,7 +35,7 @@ GRAIN = 64
 PERIOD = 16_384
 #: Most uneven grains whose places are held in memory and not worked out when asked for.
 HELD = 1 << 20
-#: Sources with a queue of their own; all others share one.
+#: Sources with a queue of their own; all others share one, spread evenly in it.
 MAX_QUEUES = 256
 CHUNKS_PER_GROUP = 4096
 
@@ -262,17 +262,21 @@ def pieces_of(
 
 
 def tokenised(docs: DataFrame, queues: list[str], *, id_col: str, text_col: str, source_col: str, path: str, ranks: str | None, end_id: int) -> DataFrame:
-    """(id, queue, chunk, start, doc_tokens, ids): one row per document, ids little-endian 16 or 32 bits.
+    """(id, queue, chunk, start, doc_tokens, ids, n, source): one row per document, ids little-endian 16 or 32 bits.
 
-    ``chunk`` is the task, ``start`` the tokens of the queue before the document in it.
+    ``chunk`` is the task, ``start`` the tokens of the queue before the document in it, ``n``
+    the documents before it. ``source`` is the source of a document in the pooled queue.
     """
     number = F.create_map(*[x for i, q in enumerate(queues) for x in (F.lit(q), F.lit(i))]) if queues else None
     own = number[queue_name(docs, source_col)] if queues else F.lit(None).cast("int")
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(own, F.lit(len(queues))).alias("queue"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(
+        docs[id_col].alias("id"), F.coalesce(own, F.lit(len(queues))).alias("queue"), text_of(docs, text_col).alias("text"),
+        F.when(own.isNull(), queue_name(docs, source_col)).alias("source"),
+    )
     schema = T.StructType(
         [
             rows.schema["id"],
-            *[T.StructField(n, k) for n, k in (("queue", T.IntegerType()), ("chunk", T.LongType()), ("start", T.LongType()), ("doc_tokens", T.LongType()), ("ids", T.BinaryType()))],
+            *[T.StructField(n, k) for n, k in (("queue", T.IntegerType()), ("chunk", T.LongType()), ("start", T.LongType()), ("doc_tokens", T.LongType()), ("ids", T.BinaryType()), ("n", T.LongType()), ("source", T.StringType()))],
         ]
     )
 
@@ -280,6 +284,7 @@ def tokenised(docs: DataFrame, queues: list[str], *, id_col: str, text_col: str,
         encode = encoder(path, ranks)
         chunk = TaskContext.get().partitionId()
         done = np.zeros(len(queues) + 1, np.int64)
+        docs_done = 0
         for batch in batches:
             for lo, hi in W.slices(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
@@ -292,9 +297,11 @@ def tokenised(docs: DataFrame, queues: list[str], *, id_col: str, text_col: str,
                     start[own] = done[s] + np.cumsum(count[own]) - count[own]
                     done[s] += count[own].sum()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.full(len(ids), chunk)), pa.array(start), pa.array(count), pa.array([narrow(x) for x in ids], pa.binary())],
+                    [part.column(0), part.column(1), pa.array(np.full(len(ids), chunk)), pa.array(start), pa.array(count), pa.array([narrow(x) for x in ids], pa.binary()),
+                     pa.array(docs_done + np.arange(len(ids))), part.column(3)],
                     names=schema.names,
                 )
+                docs_done += len(ids)
 
     return rows.mapInArrow(run, schema)
 
@@ -326,6 +333,31 @@ def before(tokens: DataFrame) -> DataFrame:
     return within.join(parts, ["queue", "part"]).select("queue", "chunk", (F.col("inside") + F.col("earlier")).alias("offset"))
 
 
+def spread_out(tokens: DataFrame, queue: int) -> DataFrame:
+    """(chunk, n, start): places of the documents in the pooled ``queue``, its sources spread evenly.
+
+    A document stands where its source is as far through its own tokens: at the tokens
+    before it plus a part of its own, chosen by the source's hash, over all tokens of the
+    source. So by any place in the queue every source has had its share, to a document.
+    """
+    light = tokens.where(F.col("queue") == queue).select("chunk", "n", "source", "doc_tokens")
+    own = Win.partitionBy("source", "chunk").orderBy("n")
+    shift = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)
+    inside = F.sum("doc_tokens").over(own.rowsBetween(Win.unboundedPreceding, 0)) - F.col("doc_tokens")
+    chunks = before(light.select(F.col("source").alias("queue"), "chunk", "doc_tokens")).withColumnRenamed("queue", "source")
+    whole = light.groupBy("source").agg(F.sum("doc_tokens").alias("whole"))
+    at = light.withColumn("inside", inside).join(chunks, ["source", "chunk"]).join(whole, "source")
+    at = at.withColumn("at", (F.col("inside") + F.col("offset") + shift * F.col("doc_tokens")) / F.col("whole"))
+    order = ["at", "source", "chunk", "n"]
+    placed = cut_lineage(
+        at.select(*order, "doc_tokens").repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("part", F.spark_partition_id().cast("long")).withColumn("place", F.monotonically_increasing_id())
+    )
+    ranges = before(placed.select(F.lit(queue).alias("queue"), F.col("part").alias("chunk"), "doc_tokens"))
+    inside = F.sum("doc_tokens").over(Win.partitionBy("part").orderBy("place").rowsBetween(Win.unboundedPreceding, 0)) - F.col("doc_tokens")
+    return placed.withColumn("inside", inside).join(ranges.select(F.col("chunk").alias("part"), "offset"), "part").select("chunk", "n", (F.col("inside") + F.col("offset")).alias("start"))
+
+
 def pack(
     docs: DataFrame,
     *,
@@ -346,9 +378,9 @@ def pack(
     little-endian 32-bit. Sequences hold ``length`` tokens, only the last may hold fewer.
     ``targets`` gives the token share of each source (null is a source; those it does not
     name get 0 and come after the others); by default each source's part of the corpus. Every window
-    of a mixture is within a few grains of its targets for each queue; sources beyond the
+    of a mixture is within a few grains of its targets for each queue. Sources beyond the
     ``max_queues`` with most documents share a queue (with ``targets``: all that it does
-    not name). After the whole grains come the less than ``grain`` last tokens of each queue.
+    not name), in which each of them is spread evenly, to a document. After the whole grains come the less than ``grain`` last tokens of each queue.
 
     Null text counts as empty and makes a piece of ``end_id`` alone, a null id stays null,
     repeated rows are packed each for itself, an empty table gives no pieces, and other
@@ -372,9 +404,13 @@ def pack(
     full, rest = total // grain, total % grain
     tail = int(full.sum()) * grain + np.cumsum(rest) - rest
     blocks = schedule(full, share, length // grain)
-    placed = tokens.join(small_enough(before(tokens), 200_000), ["queue", "chunk"]).select(
+    pooled = len(queues)
+    placed = tokens.where(F.col("queue") < pooled).join(small_enough(before(tokens), 200_000), ["queue", "chunk"]).select(
         "id", "queue", (F.col("start") + F.col("offset")).alias("start"), "doc_tokens", "ids"
-    )
+    )
+    if total[pooled]:
+        rest_docs = tokens.where(F.col("queue") == pooled).drop("start").join(spread_out(tokens, pooled), ["chunk", "n"])
+        placed = placed.unionByName(rest_docs.select("id", "queue", "start", "doc_tokens", "ids"))
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),

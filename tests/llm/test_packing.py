@@ -58,6 +58,23 @@ def test_windows_keep_the_mixture(spark):
     assert (whole.ids.map(len) == 4 * whole.n_tokens).all() and (whole.n_tokens == 1024).sum() >= len(whole) - 1
 
 
+def test_two_thousand_sources_keep_their_shares(spark):
+    """Beyond the queues of their own, too, no source strays from its share by more than a few documents."""
+    rows = [(i, "word " * (20 + i % 7), f"s{min(i % 2000, (i * 7919) % 3001)}") for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").orderBy("source").repartition(1)
+    pieces = pack(docs, path=PATH, ranks=RANKS).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    assert pieces.source.nunique() == 2000 and pieces.length.sum() == pieces.drop_duplicates("doc_id").doc_tokens.sum()
+    total = pieces.length.sum()
+    whole = total // 1024 - 260 * 64 // 1024 - 1  # windows before the last tokens of the queues
+    pieces["at"] = pieces.sequence_id * 1024 + pieces.offset
+    worst = 0.0
+    for _, own in pieces.sort_values("at").groupby("source"):
+        ends = (np.arange(whole) + 1) * 1024
+        done = np.append(0, np.cumsum(own.length.to_numpy()))[np.searchsorted(own["at"].to_numpy(), ends)]
+        worst = max(worst, np.abs(done - ends * own.length.sum() / total).max())
+    assert worst < 300  # documents have 21 to 27 tokens, grains 64
+
+
 def test_targets(spark):
     docs = spark.createDataFrame([(i, "word " * 300, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
     pieces = pack(docs, path=PATH, targets={"a": 3.0, "b": 1.0}).toPandas()
