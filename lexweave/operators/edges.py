@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +50,17 @@ def semantic_edges(
     cross_cap: int = CROSS_CAP,
     intra_cap: int = INTRA_CAP,
     resonates_from: float = RESONATES_FROM,
+    near: Callable[..., DataFrame] = knn,
 ) -> DataFrame:
     """Semantic edges of ``vectors`` (id, vec, category_slug), one per pair and type.
 
     The top ``k`` of each vector is cut by threshold and cap, separately for
     neighbours of the same and of another category. ``atoms`` drops stale ids.
+    ``near`` may be ``vector_index.near_in(index)`` where exact neighbours cost too much.
     """
     cats = vectors.select("id", "category_slug")
     hits = (
-        knn(vectors, vectors, k, min_sim=min(cross, intra))
+        near(vectors, vectors, k, min_sim=min(cross, intra))
         .filter(F.col("query_id") != F.col("neighbour_id"))
         .join(cats.select(F.col("id").alias("query_id"), F.col("category_slug").alias("q_cat")), "query_id")
         .join(
