@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import let, strip, text_key, words
-from lexweave.operators.resolve import text_search
+from lexweave.operators.postings import text_search
 from lexweave.operators.vectors import is_chunk_id, knn
 
 # Words and patterns of the term types.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.operators import curation as cu
 from lexweave.operators import manifests as mf
+from lexweave.operators import postings as ps
 from lexweave.operators import resolve as rs
 from lexweave.operators.predicates import AtomFilter
 from lexweave.plans.registry import Inputs, query
@@ -122,7 +123,7 @@ SEARCH = """
 
 @query("text_search", "T1", f"WITH {SEARCH} SELECT term_id, atom_id FROM hits")
 def text_search(t: Inputs):
-    return rs.text_search(t.v_concepts, t.v_atoms)
+    return ps.text_search(t.v_concepts, t.v_atoms)
 
 
 @query("match_vocabulary", "R2", f"""
