@@ -106,43 +106,27 @@ def candidate_pools(atoms: DataFrame) -> DataFrame:
     )
 
 
-def score_slot(
-    asked: DataFrame,
-    chosen: DataFrame,
-    pools: DataFrame,
-    exemplars: DataFrame,
-    intents: DataFrame,
-    profiles: DataFrame,
-    affinity: DataFrame,
-    resonance: DataFrame,
-    opposed: DataFrame,
-) -> DataFrame:
-    """Scored candidates of one slot per request, best first in ``place``."""
-    cands = asked.join(
-        pools.withColumnRenamed("category_slug", "category_filter"), ["category_filter", "pool"]
-    ).join(chosen.select("request_id", "atom_id"), ["request_id", "atom_id"], "left_anti")
-    # from the few chosen terms to their partners, so the pool is never paired with them
-    picks = asked.select("request_id", "arrangement").distinct().join(
-        chosen.select("request_id", F.col("atom_id").alias("chosen_id")), "request_id"
-    )
-    res = picks.join(resonance, "chosen_id").groupBy("request_id", "atom_id").agg(F.sum("resonance").alias("resonance"))
-    fits = (F.col("context") == "") | (F.col("context") == F.col("arrangement"))
-    boost = picks.join(affinity, "chosen_id").filter(fits).groupBy("request_id", "atom_id").agg(
-        (F.max("affinity") * BOOST_CAP).alias("boost")
-    )
+#: What a slot's scores depend on besides the request's own picks and intents.
+LIST_KEY = ["template", "slot_name", "category_filter", "pool", "arrangement", "mode_context", "has_intent"]
+#: Rows of a slot's list that are kept at first; twice as many whenever a request needs more.
+LIST_ROWS = 64
+
+
+def fixed_scores(keys: DataFrame, pools: DataFrame, exemplars: DataFrame, profiles: DataFrame, opposed: DataFrame, *, by: list[str]) -> DataFrame:
+    """``keys`` with candidate terms: ``fixed``, their score without picks and intents, and ``bad``, whether a context opposes them.
+
+    ``keys`` have the columns LIST_KEY; they meet the pools on ``by``, which is the category
+    and pool alone, or these and a term.
+    """
     arr = profiles.select(F.col("slug").alias("arrangement"), *[F.col(d).alias(f"arr_{d}") for d in PROFILE], F.lit(True).alias("_profiled"))
-    rows = (
-        cands.join(exemplars, ["template", "slot_name", "atom_id"], "left")
-        .join(intents, ["request_id", "atom_id"], "left")
-        .join(arr, "arrangement", "left")
-        .join(res, ["request_id", "atom_id"], "left")
-        .join(boost, ["request_id", "atom_id"], "left")
-    )
     against = opposed.withColumn("_opposed", F.lit(True))
     by_profile = against.select("atom_id", F.col("context").alias("arrangement"), F.col("_opposed").alias("_o1"))
     by_mode = against.select("atom_id", F.col("context").alias("mode_context"), F.col("_opposed").alias("_o2"))
-    rows = rows.join(by_profile, ["atom_id", "arrangement"], "left").join(by_mode, ["atom_id", "mode_context"], "left")
-    request = Window.partitionBy("request_id")
+    rows = (
+        keys.join(pools.withColumnRenamed("category_slug", "category_filter"), by)
+        .join(exemplars, ["template", "slot_name", "atom_id"], "left").join(arr, "arrangement", "left")
+        .join(by_profile, ["atom_id", "arrangement"], "left").join(by_mode, ["atom_id", "mode_context"], "left")
+    )
     profiled = F.coalesce("_profiled", F.lit(False))
     weight = {k: F.when(profiled, WEIGHTS_WITH_PROFILE[k]).otherwise(WEIGHTS_PLAIN[k]) for k in WEIGHTS_PLAIN}
     moved = F.when(F.col("has_intent"), 0.0).otherwise(weight["semantic"])
@@ -152,22 +136,95 @@ def score_slot(
     harmonic = F.when(
         profiled, profile_similarity({d: F.col(d) for d in PROFILE}, {d: F.col(f"arr_{d}") for d in PROFILE})
     ).otherwise(0.0)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    ceiling = F.greatest(F.max(zero("resonance")).over(request), F.lit(MIN_RESONANCE))
-    total = (
-        (weight["exemplar"] + moved) * zero("exemplar_score")
-        + weight["resonance"] * zero("resonance") / ceiling
-        + weight["harmonic"] * harmonic
-        + weight["tier"] * tier
-        + F.when(F.col("has_intent"), weight["semantic"]).otherwise(0.0) * zero("intent_score")
-        + zero("boost")
+    fixed = (weight["exemplar"] + moved) * F.coalesce("exemplar_score", F.lit(0.0)) + weight["harmonic"] * harmonic + weight["tier"] * tier
+    return rows.select(
+        *keys.columns, *[c for c in ("atom_id",) if c not in keys.columns], fixed.alias("fixed"), F.coalesce("_o1", "_o2", F.lit(False)).alias("bad"),
+        weight["resonance"].alias("w_resonance"), F.when(F.col("has_intent"), weight["semantic"]).otherwise(0.0).alias("w_intent"),
+    )
+
+
+def ranked_lists(keys: DataFrame, pools: DataFrame, exemplars: DataFrame, profiles: DataFrame, opposed: DataFrame, most: int) -> DataFrame:
+    """(list, pos, chunk, atom_id, fixed, bad): the best ``most`` terms of every key, opposed ones last.
+
+    Chunk c holds the places from 2**(c - 1) on, so whoever needs n rows reads less than 2 n.
+    The literal limit cuts each list in the map tasks.
+    """
+    rows = fixed_scores(keys, pools, exemplars, profiles, opposed, by=["category_filter", "pool"])
+    order = Window.partitionBy("list").orderBy("bad", F.desc(F.round("fixed", 9)), "atom_id")
+    placed = rows.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most)
+    return placed.select("list", "pos", F.length(F.bin("pos")).alias("chunk"), "atom_id", "fixed", "bad")
+
+
+def own_terms(asked: DataFrame, chosen: DataFrame, intents: DataFrame, affinity: DataFrame, resonance: DataFrame) -> DataFrame:
+    """(request_id, atom_id, resonance, boost, intent_score): the terms whose scores the request itself moves."""
+    picks = asked.select("request_id", "arrangement").distinct().join(
+        chosen.select("request_id", F.col("atom_id").alias("chosen_id")), "request_id"
+    )
+    none = F.lit(None).cast("double")
+    res = picks.join(resonance, "chosen_id").select("request_id", "atom_id", "resonance", none.alias("boost"), none.alias("intent_score"))
+    fits = (F.col("context") == "") | (F.col("context") == F.col("arrangement"))
+    boost = picks.join(affinity, "chosen_id").filter(fits).select("request_id", "atom_id", none.alias("resonance"), (F.col("affinity") * BOOST_CAP).alias("boost"), none.alias("intent_score"))
+    meant = intents.join(asked.select("request_id"), "request_id", "left_semi").select("request_id", "atom_id", none.alias("resonance"), none.alias("boost"), F.col("intent_score").cast("double").alias("intent_score"))
+    return res.union(boost).union(meant).groupBy("request_id", "atom_id").agg(
+        F.sum("resonance").alias("resonance"), F.max("boost").alias("boost"), F.max("intent_score").alias("intent_score")
     )
-    scored = rows.withColumn("score", F.round(total, 9)).withColumn("_bad", F.coalesce("_o1", "_o2", F.lit(False)))
-    kept = scored.withColumn("_good", F.count_if(~F.col("_bad")).over(request)).filter(~F.col("_bad") | (F.col("_good") == 0))
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), "atom_id")
-    return kept.withColumn("place", F.row_number().over(order)).select(
-        "request_id", "slot_name", "atom_id", "score", "place"
-    ).filter(F.col("place") <= PICK_FROM)
+
+
+class SlotLists:
+    """Scored candidates of one slot per request, from lists sorted once for all requests.
+
+    Without picks and intents a term's score is the same for all requests of a key, so the
+    best of them are the head of one list. A request adds the few terms that its own picks
+    and intents move, and needs as many rows of the list as those and its picks can hide.
+    """
+
+    def __init__(self, plan: DataFrame, pools: DataFrame, exemplars: DataFrame, profiles: DataFrame, opposed: DataFrame, list_rows: int = LIST_ROWS):
+        self.sources = pools, exemplars, profiles, opposed
+        asked = plan.filter(F.col("seed_id").isNull() & F.col("guidance").isNull())
+        self.keys = cut_lineage(asked.select(*LIST_KEY).distinct().withColumn("list", list_of()))
+        self.most, self.lists = list_rows, None
+
+    def head(self, need: int) -> DataFrame:
+        if self.lists is None or need > self.most:
+            while need > self.most:
+                self.most *= 2
+            self.lists = cut_lineage(ranked_lists(self.keys, *self.sources, self.most))
+        return self.lists
+
+    def score(self, asked: DataFrame, chosen: DataFrame, intents: DataFrame, affinity: DataFrame, resonance: DataFrame) -> DataFrame:
+        """(request_id, slot_name, atom_id, score, place): the best PICK_FROM candidates of each request."""
+        asked = asked.withColumn("list", list_of())
+        picked = chosen.select("request_id", "atom_id")
+        moved = own_terms(asked, chosen, intents, affinity, resonance).join(picked, ["request_id", "atom_id"], "left_anti")
+        moved = asked.select("request_id", "list", *LIST_KEY).join(moved, "request_id")
+        moved = cut_lineage(fixed_scores(moved, *self.sources, by=["category_filter", "pool", "atom_id"]))
+        hidden = moved.select("request_id").union(picked.select("request_id")).groupBy("request_id").agg(F.count("*").alias("n"))
+        needs = cut_lineage(
+            asked.select("request_id", "slot_name", "list", "has_intent", "arrangement").join(hidden, "request_id", "left")
+            .withColumn("need", F.coalesce("n", F.lit(0)).cast("int") + PICK_FROM)
+        )
+        most = needs.agg(F.max("need").alias("n")).first().n or PICK_FROM
+        lists = self.head(most)
+        chunks = F.sequence(F.lit(1), F.length(F.bin(F.col("need"))))
+        plain = needs.withColumn("chunk", F.explode(chunks)).join(lists, ["list", "chunk"]).filter(F.col("pos") <= F.col("need"))
+        plain = plain.join(picked, ["request_id", "atom_id"], "left_anti").join(moved.select("request_id", "atom_id"), ["request_id", "atom_id"], "left_anti")
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        ceiling = moved.groupBy("request_id").agg(F.greatest(F.max(zero("resonance")), F.lit(MIN_RESONANCE)).alias("ceiling"))
+        total = F.col("fixed") + F.col("w_resonance") * zero("resonance") / F.col("ceiling") + F.col("w_intent") * zero("intent_score") + zero("boost")
+        rows = plain.select("request_id", "slot_name", "atom_id", F.round("fixed", 9).alias("score"), "bad").unionByName(
+            moved.join(ceiling, "request_id").select("request_id", "slot_name", "atom_id", F.round(total, 9).alias("score"), "bad")
+        )
+        # opposed terms stay only where nothing else is left
+        order = Window.partitionBy("request_id").orderBy("bad", F.desc("score"), "atom_id")
+        best = rows.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= PICK_FROM)
+        first = Window.partitionBy("request_id")
+        best = best.withColumn("_bad", F.min("bad").over(first)).filter(F.col("bad") == F.col("_bad"))
+        return best.select("request_id", "slot_name", "atom_id", "score", F.col("_row").alias("place"))
+
+
+def list_of() -> Column:
+    """The number of a slot's list; a null is a value like any other."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in LIST_KEY], F.lit("list"))
 
 
 def fill_slots(
@@ -184,6 +241,7 @@ def fill_slots(
     intents: DataFrame,
     *,
     seed: int = 0,
+    list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """Fills (request_id, slot_name, atom_id, text, score, alternatives).
 
@@ -191,7 +249,9 @@ def fill_slots(
     has_intent. There are as many rounds as the longest plan has slots.
     ``intents``: request_id, atom_id, intent_score (a reranker score where there is
     one, else the vector score). A replace-mode context fills its slot with the
-    guidance text; a required slot without candidates is filled with nothing.
+    guidance text; a required slot without candidates is filled with nothing. Terms are
+    scored once per kind of slot (``SlotLists``), of whose lists ``list_rows`` rows are held
+    at first; no result depends on that number.
     """
     ordered = slot_order(requests.drop("modality", "render_mode", "has_intent"), slots, seeds, category_weights)
     mode = contexts.filter((F.col("context_mode") == "replace") & (F.coalesce("guidance", F.lit("")) != "")).select(
@@ -218,6 +278,7 @@ def fill_slots(
     affinity, resonance, opposed = (
         cut_lineage(df) for df in (pair_affinity(relations), pair_resonance(edges), opposed_contexts(relations))
     )
+    lists = SlotLists(plan, pools, shares, profiles, opposed, list_rows)
     none = F.lit(None).cast("array<struct<atom_id:string,score:double>>")
     filled = None
     schema = "request_id string, slot_name string, atom_id string, guidance string, score double, alternatives array<struct<atom_id:string,score:double>>"
@@ -236,7 +297,7 @@ def fill_slots(
         asked = now.filter(F.col("seed_id").isNull() & F.col("guidance").isNull())
         picked = chosen.filter(F.col("atom_id").isNotNull())
         # at most PICK_FROM rows per request, read three times below
-        cands = cut_lineage(score_slot(asked, picked, pools, shares, intents, profiles, affinity, resonance, opposed))
+        cands = cut_lineage(lists.score(asked, picked, intents, affinity, resonance))
         winners = weighted_pick(cands, ["request_id", "slot_name"], "score", seed)
         others = (
             cands.join(winners.select("request_id", F.col("atom_id").alias("_w")), "request_id")
