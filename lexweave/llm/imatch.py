@@ -73,12 +73,12 @@ def _hashed(terms: Column, level: Column, subsets: int) -> Column:
 def fingerprints(
     rows: DataFrame, terms: DataFrame, *, key_cols: list[str], text_cols: list[str], subsets: int = SUBSETS, small_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """``key_cols`` and, for every text column t, a struct t: one row per key.
+    """``key_cols`` and, for every text column, its fingerprint in its place: one row per key.
 
-    ``terms`` is the lexicon. A struct holds ``level``, the subsets' hashes ``coarse`` (at
-    that level) and ``fine`` (one level on), ``whole`` (hash of all terms of the text) and
-    the ``fingerprint``, all of them in a string. Equal texts have equal structs; a null
-    text counts as empty; rows that share a key must have the same texts.
+    ``terms`` is the lexicon. A fingerprint is a string of four parts between colons: a hash
+    of all terms of the text, the level, and the subsets' hashes at that level and one level
+    on, empty for an empty subset. Equal texts have equal fingerprints; a null text counts
+    as empty; rows that share a key must have the same texts.
     """
     prepared = rows.select(*key_cols, *[let(terms_of(text_of(rows, c)), lambda t: F.struct(t.alias("t"), F.sort_array(t).alias("s"))).alias(c) for c in text_cols])
     base = subsets.bit_length() - 1
@@ -105,20 +105,16 @@ def fingerprints(
     def printed(i: int) -> Column:
         own = F.array_sort(F.array_distinct(F.transform(F.filter("_met", lambda x: x["i"] == i), lambda x: x["term"])))
         level = F.col(f"_level{i}")
-        parts = let(own, lambda t: F.struct(
-            level.alias("level"), F.col(f"_whole{i}").alias("whole"),
-            _hashed(t, level, subsets).alias("coarse"), _hashed(t, level + 1, subsets).alias("fine"),
-        ))
-        return let(parts, lambda p: F.struct(
-            p["level"].alias("level"), p["whole"].alias("whole"), p["coarse"].alias("coarse"), p["fine"].alias("fine"),
-            F.concat_ws(":", F.lower(F.hex(p["whole"])), p["level"].cast("string"), F.array_join(p["coarse"], ","), F.array_join(p["fine"], ",")).alias("fingerprint"),
+        return let(own, lambda t: F.concat_ws(
+            ":", F.lower(F.hex(f"_whole{i}")), level.cast("string"),
+            F.array_join(_hashed(t, level, subsets), ","), F.array_join(_hashed(t, level + 1, subsets), ","),
         ))
 
     return met.select(*key_cols, *[printed(i).alias(c) for i, c in enumerate(text_cols)])
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """Part of the subsets used by either of two fingerprint structs that agree, 0 to 1.
+    """Part of the subsets used by either of two fingerprints that agree, 0 to 1.
 
     Subsets are compared at the levels both have. Where neither uses a subset, fingerprints
     are alike (1) only if all terms of their texts are the same.
@@ -128,18 +124,26 @@ def likeness(x: Column, y: Column) -> Column:
         same = F.zip_with(p, q, lambda a, b: ((a == b) & (a != "")) if agree else ((a != "") | (b != "")))
         return F.size(F.filter(same, lambda v: v))
 
-    def share(pairs: list[tuple[Column, Column]]) -> Column:
+    def share(x: Column, y: Column, pairs: list[tuple[Column, Column]]) -> Column:
         agree = sum((seen(p, q, True) for p, q in pairs), F.lit(0))
         either = sum((seen(p, q, False) for p, q in pairs), F.lit(0))
         return F.when(either > 0, agree / either).otherwise((x["whole"] == y["whole"]).cast("double"))
 
-    step = y["level"] - x["level"]
-    return (
-        F.when(step == 0, share([(x["coarse"], y["coarse"]), (x["fine"], y["fine"])]))
-        .when(step == 1, share([(x["fine"], y["coarse"])]))
-        .when(step == -1, share([(x["coarse"], y["fine"])]))
-        .otherwise(F.lit(0.0))
-    )
+    def parsed(fingerprint: Column) -> Column:
+        return let(F.split(fingerprint, ":"), lambda p: F.struct(
+            p[0].alias("whole"), p[1].cast("int").alias("level"), F.split(p[2], ",").alias("coarse"), F.split(p[3], ",").alias("fine")
+        ))
+
+    def compared(x: Column, y: Column) -> Column:
+        step = y["level"] - x["level"]
+        return (
+            F.when(step == 0, share(x, y, [(x["coarse"], y["coarse"]), (x["fine"], y["fine"])]))
+            .when(step == 1, share(x, y, [(x["fine"], y["coarse"])]))
+            .when(step == -1, share(x, y, [(x["coarse"], y["fine"])]))
+            .otherwise(F.lit(0.0))
+        )
+
+    return let(F.struct(parsed(x).alias("x"), parsed(y).alias("y")), lambda p: compared(p["x"], p["y"]))
 
 
 def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -195,12 +199,12 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     done = cut_lineage(
         prints.join(sums, ["a", "b"]).join(links, ["a", "b"]).select(
             "a", "b", "id", "copies", "n_chars", "next_a", "next_b", "edited_sha256", "text",
-            F.col("edited.fingerprint").alias("edited_fingerprint"), likeness(F.col("text"), F.col("edited")).alias("near_edited"),
+            F.col("edited").alias("edited_fingerprint"), likeness(F.col("text"), F.col("edited")).alias("near_edited"),
         )
     )
     following = done.select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.col("text").alias("following"))
     rows = done.join(following, ["next_a", "next_b"]).select(
-        F.col("id").alias(id_col), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", F.col("text.fingerprint").alias("fingerprint"),
+        F.col("id").alias(id_col), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", F.col("text").alias("fingerprint"),
         "edited_fingerprint", "near_edited", likeness(F.col("text"), F.col("following")).alias("near_next"), "copies",
     )
     lots = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))
