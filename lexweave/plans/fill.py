@@ -259,7 +259,8 @@ def _fills(t: Inputs):
 def _fill_requests(t: Inputs):
     """One request per supplier over three templates named after its region."""
     sup = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    names = t.v_arrangements.select("slug", F.pmod(F.xxhash64("slug"), F.lit(8)).alias("n")).groupBy("n").agg(F.min("slug").alias("slug"))
+    part = F.conv(F.left(F.md5("slug"), F.lit(8)), 16, 10).cast("long") % 8
+    names = t.v_arrangements.select("slug", part.alias("n")).groupBy("n").agg(F.min("slug").alias("slug"))
     requests = sup.withColumn("n", F.col("s_suppkey") % 8).join(names, "n", "left").select(
         F.col("s_suppkey").cast("string").alias("request_id"), F.concat(F.lit("t"), F.col("n_regionkey") % 3).alias("template"),
         F.when(F.col("s_acctbal") > 3000, F.col("slug")).alias("arrangement"), F.lit("visual").alias("modality"),
@@ -285,13 +286,101 @@ def _fill_requests(t: Inputs):
     )
     return requests, fills
 
-
-@query("fill_slots", "I1 K4 W11")
+def _weight(name: str) -> str:
+    return f"CASE WHEN profiled THEN {tp.WEIGHTS_WITH_PROFILE[name]} ELSE {tp.WEIGHTS_PLAIN[name]} END"
+
+
+_GAPS = " + ".join(f"abs(coalesce(a.{d}, 0.5) - coalesce(p.{d}, 0.5))" for d in tp.PROFILE)
+
+
+def _round(n: int) -> str:
+    """One slot of every request: all candidates of the pool scored, the best five offered, one picked."""
+    return f"""
+    ask{n} AS (SELECT * FROM plan WHERE rank = {n} AND seed_id IS NULL AND guidance IS NULL),
+    res{n} AS (SELECT c.request_id, r.atom_id, sum(r.resonance) AS resonance FROM done{n - 1} c JOIN resonance r ON r.chosen_id = c.atom_id GROUP BY 1, 2),
+    boost{n} AS (SELECT k.request_id, f.atom_id, max(f.affinity) * 0.3 AS boost FROM ask{n} k JOIN done{n - 1} c USING (request_id) JOIN affinity f ON f.chosen_id = c.atom_id
+      WHERE f.context = '' OR f.context = k.arrangement GROUP BY 1, 2),
+    raw{n} AS (
+      SELECT k.request_id, k.slot_name, a.id AS atom_id, k.has_intent, p.slug IS NOT NULL AS profiled, coalesce(x.share, 0) AS ex, coalesce(r.resonance, 0) AS res,
+        coalesce(i.intent_score, 0) AS intent, coalesce(b.boost, 0) AS boost, CASE a.tier WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.2 END AS tier,
+        CASE WHEN p.slug IS NULL THEN 0 ELSE 1 - ({_GAPS}) / 6 END AS harmonic,
+        EXISTS (SELECT 1 FROM opposed o WHERE o.atom_id = a.id AND (o.context = k.arrangement OR o.context = k.mode_context)) AS bad
+      FROM ask{n} k JOIN v_atoms a ON a.status <> 'rejected' AND a.category_slug = k.category_filter
+      LEFT JOIN v_arrangements p ON p.slug = k.arrangement
+      LEFT JOIN shares x ON x.template = k.template AND x.slot_name = k.slot_name AND x.atom_id = a.id
+      LEFT JOIN intents i ON i.request_id = k.request_id AND i.atom_id = a.id
+      LEFT JOIN res{n} r ON r.request_id = k.request_id AND r.atom_id = a.id
+      LEFT JOIN boost{n} b ON b.request_id = k.request_id AND b.atom_id = a.id
+      WHERE NOT EXISTS (SELECT 1 FROM done{n - 1} c WHERE c.request_id = k.request_id AND c.atom_id = a.id)),
+    scored{n} AS (
+      SELECT *, round(((({_weight("exemplar")}) + CASE WHEN has_intent THEN 0 ELSE {_weight("semantic")} END) * ex
+          + ({_weight("resonance")}) * res / greatest(max(res) OVER (PARTITION BY request_id), 0.001) + ({_weight("harmonic")}) * harmonic + ({_weight("tier")}) * tier
+          + CASE WHEN has_intent THEN {_weight("semantic")} ELSE 0 END * intent + boost)::DOUBLE, 9) AS score,
+        bool_and(bad) OVER (PARTITION BY request_id) AS all_bad FROM raw{n}),
+    best{n} AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, atom_id) AS place FROM scored{n} WHERE NOT bad OR all_bad QUALIFY place <= 5),
+    pick{n} AS (
+      SELECT request_id, any_value(slot_name) AS slot_name,
+        arg_min({{'atom_id': atom_id, 'score': score}}, (-ln((('0x' || left(md5(request_id || ':' || slot_name || ':' || atom_id || ':11'), 8))::BIGINT + 1) / 4294967297.0::DOUBLE) / (score * score + 0.05), atom_id)) AS w
+      FROM best{n} GROUP BY 1),
+    other{n} AS (SELECT b.request_id, string_agg(b.atom_id, '|' ORDER BY b.place) FILTER (b.o <= 3) AS alternatives FROM (
+        SELECT b.*, row_number() OVER (PARTITION BY b.request_id ORDER BY b.place) AS o FROM best{n} b JOIN pick{n} p ON p.request_id = b.request_id AND p.w.atom_id <> b.atom_id) b GROUP BY 1),
+    new{n} AS (
+      SELECT request_id, slot_name, sort_order, seed_id AS atom_id, NULL AS guidance, 1.0::DOUBLE AS score, NULL AS alternatives FROM plan WHERE rank = {n} AND seed_id IS NOT NULL
+      UNION ALL SELECT request_id, slot_name, sort_order, NULL, guidance, 1.0, NULL FROM plan WHERE rank = {n} AND seed_id IS NULL AND guidance IS NOT NULL
+      UNION ALL SELECT k.request_id, k.slot_name, k.sort_order, p.w.atom_id, NULL, round(p.w.score::DECIMAL(18, 9), 3)::DOUBLE, o.alternatives FROM ask{n} k JOIN pick{n} p USING (request_id) LEFT JOIN other{n} o USING (request_id)
+      UNION ALL SELECT request_id, slot_name, sort_order, NULL, NULL, 0.0, NULL FROM ask{n} WHERE required AND request_id NOT IN (SELECT request_id FROM pick{n})),
+    done{n} AS (SELECT request_id, atom_id FROM done{n - 1} UNION ALL SELECT request_id, atom_id FROM new{n} WHERE atom_id IS NOT NULL)"""
+
+
+FILLS = f"""
+    slots(template, slot_name, category_filter, required, sort_order) AS (VALUES {SLOT_ROWS}),
+    names AS (SELECT ('0x' || left(md5(slug), 8))::BIGINT % 8 AS n, min(slug) AS slug FROM v_arrangements GROUP BY 1),
+    requests AS (
+      SELECT s_suppkey::VARCHAR AS request_id, 't' || (n_regionkey % 3) AS template, CASE WHEN s_acctbal > 3000 THEN slug END AS arrangement,
+        CASE WHEN s_acctbal > 8000 THEN 'render_mode=photo' END AS mode_context, s_acctbal > 5000 AS has_intent
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN names ON names.n = s_suppkey % 8),
+    firsts AS (SELECT collection_slug, min(id) AS atom_id FROM v_atoms WHERE category_slug = 'line.promo' GROUP BY 1),
+    seeds AS (SELECT request_id, 'slot_a' AS slot_name, atom_id FROM requests JOIN firsts ON collection_slug = 'brand-' || (request_id::INT % 25 + 1) WHERE has_intent),
+    shown AS (SELECT 't' || (l_linenumber % 3) AS template, 'a' || l_partkey AS atom_id, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    shares AS (SELECT template, 'slot_b' AS slot_name, atom_id, n / max(n) OVER (PARTITION BY template) AS share FROM shown),
+    intents AS (SELECT q.request_id, r.source_atom_id AS atom_id, max(r.strength) AS intent_score FROM requests q JOIN v_relations r
+      ON r.relation_type = 'modifier' AND substr(r.target_atom_id, 2) = q.request_id WHERE q.has_intent GROUP BY 1, 2),
+    ends AS (SELECT source_atom_id AS atom_id, target_atom_id AS chosen_id, * FROM v_relations UNION ALL SELECT target_atom_id, source_atom_id, * FROM v_relations),
+    affinity AS (SELECT atom_id, chosen_id, coalesce(context, '') AS context, max(strength * confidence) AS affinity FROM ends WHERE relation_type = 'compositional' GROUP BY 1, 2, 3),
+    opposed AS (SELECT DISTINCT atom_id, context FROM ends WHERE relation_type = 'oppositional' AND context IS NOT NULL AND strength >= 0.7 AND confidence >= 0.6),
+    resonance AS (SELECT atom_id, chosen_id, sum(strength) AS resonance FROM (
+      SELECT atom_a_id AS atom_id, atom_b_id AS chosen_id, strength, relationship_type FROM v_edges UNION ALL SELECT atom_b_id, atom_a_id, strength, relationship_type FROM v_edges)
+      WHERE relationship_type IN ('resonates', 'evokes') GROUP BY 1, 2),
+    plan AS (
+      SELECT q.request_id, q.template, q.arrangement, q.mode_context, q.has_intent, s.slot_name, s.category_filter, s.required, s.sort_order, e.atom_id AS seed_id, g.guidance,
+        row_number() OVER (PARTITION BY q.request_id ORDER BY CASE WHEN e.atom_id IS NULL THEN 1 ELSE 0 END, -coalesce(w.weight, 1.0), s.sort_order, s.slot_name) AS rank
+      FROM requests q JOIN slots s USING (template) LEFT JOIN seeds e ON e.request_id = q.request_id AND e.slot_name = s.slot_name
+      LEFT JOIN v_arrangement_weights w ON w.slug = q.arrangement AND w.category_slug = s.category_filter
+      LEFT JOIN v_arrangements p ON p.slug = q.arrangement
+      LEFT JOIN v_category_contexts g ON g.category_slug = 'size.medium' AND g.category_slug = s.category_filter AND g.context_mode = 'replace' AND g.guidance <> ''
+        AND g.context = CASE WHEN p.slug IS NULL THEN NULL WHEN p.register IS NULL THEN 'F' ELSE 'none' END),
+    done0 AS (SELECT request_id, seed_id AS atom_id FROM plan WHERE FALSE),
+    {_round(1)}, {_round(2)}, {_round(3)},
+    fills AS (
+      SELECT f.request_id, f.slot_name, f.sort_order, f.atom_id, coalesce(f.guidance, a.text, '') AS text, f.score, f.alternatives
+      FROM (SELECT * FROM new1 UNION ALL SELECT * FROM new2 UNION ALL SELECT * FROM new3) f LEFT JOIN v_atoms a ON a.id = f.atom_id)"""
+
+
+@query("fill_slots", "I1 K4 W11", f"WITH {FILLS} SELECT * FROM fills")
 def fill_slots(t: Inputs):
     return _fills(t)[1].withColumn("alternatives", F.array_join("alternatives.atom_id", "|"))
 
 
-@query("assemble_prompts", "I2")
+@query("assemble_prompts", "I2", f"""
+    WITH {FILLS},
+    t AS (SELECT q.request_id, q.template,
+        coalesce(max(text) FILTER (slot_name = 'slot_a' AND text <> ''), '{{slot_a}}') AS a, coalesce(max(text) FILTER (slot_name = 'slot_b' AND text <> ''), '{{slot_b}}') AS b,
+        coalesce(max(text) FILTER (slot_name = 'slot_c' AND text <> ''), '{{slot_c}}') AS c, coalesce(string_agg(text, ', ' ORDER BY sort_order) FILTER (text <> ''), '') AS joined
+      FROM requests q LEFT JOIN fills USING (request_id) GROUP BY 1, 2),
+    put AS (SELECT *, CASE template WHEN 't0' THEN 'a ' || a || ', ' || b || ', ' || c WHEN 't1' THEN b || ' (' || a || ', {{slot_x}}), ' || c END AS p FROM t)
+    SELECT request_id, CASE WHEN p IS NULL THEN joined ELSE
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '\\{{[a-z_]+\\}}', '', 'g'), ',\\s*,', ',', 'g'), '\\(\\s*,', '(', 'g'), ',\\s*\\)', ')', 'g'), '^[,\\s]+|[,\\s]+$', '', 'g')
+      END AS prompt FROM put""")
 def assemble_prompts(t: Inputs):
     requests, fills = _fills(t)
     texts = [("t0", "a {slot_a}, {slot_b}, {slot_c}"), ("t1", "{slot_b} ({slot_a}, {slot_x}), {slot_c}"), ("t2", None)]
@@ -299,11 +388,17 @@ def assemble_prompts(t: Inputs):
     return tp.assemble_prompts(fills, requests, templates)
 
 
-@query("fill_report", "I3")
+@query("fill_report", "I3", f"""
+    WITH {FILLS} SELECT request_id, count(*) AS slots, coalesce(round(avg(score) FILTER (score > 0)::DECIMAL(18, 9), 3)::DOUBLE, 0.0) AS total_score FROM fills GROUP BY 1""")
 def fill_report(t: Inputs):
     return tp.fill_report(_fills(t)[1])
 
 
-@query("fill_oppositions", "I3 J14")
+@query("fill_oppositions", "I3 J14", f"""
+    WITH {FILLS},
+    p AS (SELECT DISTINCT request_id, atom_id FROM fills WHERE atom_id IS NOT NULL),
+    o AS (SELECT DISTINCT least(atom_a_id, atom_b_id) AS a, greatest(atom_a_id, atom_b_id) AS b FROM v_edges WHERE relationship_type = 'opposes')
+    SELECT x.request_id, o.a AS atom_a_id, o.b AS atom_b_id, ta.text AS text_a, tb.text AS text_b
+    FROM p x JOIN p y ON x.request_id = y.request_id JOIN o ON o.a = x.atom_id AND o.b = y.atom_id JOIN v_atoms ta ON ta.id = o.a JOIN v_atoms tb ON tb.id = o.b""")
 def fill_oppositions(t: Inputs):
     return tp.fill_oppositions(_fills(t)[1], t.v_edges, t.v_atoms)
