@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.functions.quantiles import exact_median
 from lexweave.functions.maths import DIMENSIONS
 
 # Families of aesthetic and visual categories.
@@ -401,15 +402,19 @@ def arrangement_rollup(
 
 
 def eval_stats(scores: DataFrame, metrics: list[str]) -> DataFrame:
-    """Mean, median, population spread and range of each metric."""
-    long = scores.unpivot([], metrics, "metric", "value")
-    return long.filter(F.col("value").isNotNull()).groupBy("metric").agg(
+    """Mean, median, population spread and range of each metric.
+
+    The median is exact and needs no buffer of all values of a metric.
+    """
+    long = scores.unpivot([], metrics, "metric", "value").filter(F.col("value").isNotNull())
+    rest = long.groupBy("metric").agg(
         F.round(F.round(F.avg("value"), 9), 4).alias("mean"),
-        F.round(F.round(F.median("value"), 9), 4).alias("median"),
         F.round(F.round(F.stddev_pop("value"), 9), 4).alias("stdev"),
         F.round(F.min("value"), 4).alias("low"),
         F.round(F.max("value"), 4).alias("high"),
     )
+    middle = exact_median(long, ["metric"], "value").withColumn("median", F.round(F.round("median", 9), 4))
+    return rest.join(middle, "metric").select("metric", "mean", "median", "stdev", "low", "high")
 
 
 def top_counts(df: DataFrame, key: str, k: int | None = None) -> DataFrame:

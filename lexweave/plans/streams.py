@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.operators.edges import edge_degree
 from lexweave.plans.graph import PASS, counted
 from lexweave.plans.ingest import HITS, feed_keywords
 from lexweave.plans.registry import Inputs, query
-from lexweave.session import checkpoint_dir
+from lexweave.session import checkpoint_dir, cut_lineage
 from lexweave.streaming import streams as st
 
 
@@ -48,6 +49,21 @@ def encounter_counts_stream(t: Inputs):
     return finished(t, st.encounter_counts(stream_of(t, "events").select(F.concat(F.lit("a"), "user_id").alias("atom_id"))), ["atom_id"])
 
 
+@query("confirmed_once_stream", "Z1 L1", """
+    SELECT 'a' || user_id AS atom_id, 1::BIGINT AS times, count(*) >= 60 AS confirmed FROM events GROUP BY 1 HAVING count(*) >= 60""")
+def confirmed_once_stream(t: Inputs):
+    """Many small batches, a stop in the middle and a restart: how often each term came out."""
+    base = f"{checkpoint_dir(t.spark)}/streams/{uuid.uuid4().hex}"
+    rows = t.events.select("event_id", F.concat(F.lit("a"), "user_id").alias("atom_id"), F.lit(1).alias("seen"), F.lit(0).alias("base"))
+    for half in (0, 1):
+        rows.filter(F.col("event_id") % 2 == half).drop("event_id").repartition(3).write.mode("append").parquet(f"{base}/in")
+        source = t.spark.readStream.schema("atom_id string, seen int, base int").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        sink = st.confirmed_once(source, confirm_at=60).writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+        sink.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = t.spark.read.schema("atom_id string, encounter_count long").parquet(f"{base}/out")
+    return out.groupBy("atom_id").agg(F.count("*").alias("times"), (F.min("encounter_count") >= 60).alias("confirmed"))
+
+
 @query("topic_stream", "Z2", """
     SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS start, event_type AS topic, count(*) AS mentions
     FROM events, generate_series(TIMESTAMP '2023-12-20', TIMESTAMP '2024-02-10', INTERVAL 1 DAY) g(d)
@@ -114,6 +130,20 @@ def sweep(t: Inputs):
     return st.next_sweep(t.v_atoms, "a5", 50)[0]
 
 
+@query("sweep_all", "Z5", """
+    SELECT id, degree, 1::BIGINT AS times FROM v_atoms LEFT JOIN (
+      SELECT id, count(*) AS degree FROM (SELECT atom_a_id AS id FROM v_edges UNION ALL SELECT atom_b_id FROM v_edges) GROUP BY 1) USING (id)""")
+def sweep_all(t: Inputs):
+    """The whole table in pages, each page's edge counts written under its number, with a restart between the pages."""
+    folder = f"{checkpoint_dir(t.spark)}/sweeps/{uuid.uuid4().hex}"
+    atoms, degree = cut_lineage(t.v_atoms.select("id")), cut_lineage(edge_degree(t.v_edges, None))
+    size = max(1, -(-atoms.count() // 4))
+    while st.Sweep(t.spark, folder).page(atoms, lambda ids: ids.join(degree, "id", "left"), size):
+        pass
+    out = t.spark.read.schema("id string, degree long").parquet(f"{folder}/out")
+    return out.groupBy("id").agg(F.max("degree").alias("degree"), F.count("*").alias("times"))
+
+
 @query("dead_letter_alerts", "Z6", """
     SELECT CAST(date_trunc('hour', failed_at) AS VARCHAR) AS start, queue, count(*) AS failures FROM v_failures GROUP BY 1, 2 HAVING count(*) > 3""")
 def dead_letter_alerts(t: Inputs):

@@ -7,13 +7,19 @@ caller's and must be shared.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexweave.functions.text import sha_key
 from lexweave.operators.feeds import score_feed_items
+from lexweave.session import cut_lineage
+from lexweave.sources.folders import parts
 
 CONFIRM_AT = 3
 
@@ -36,6 +42,54 @@ def encounter_stream(events: DataFrame, confirm_at: int = CONFIRM_AT) -> DataFra
     return totals.select("atom_id", total.alias("encounter_count")).filter(F.col("encounter_count") >= confirm_at)
 
 
+def confirmed_once(
+    events: DataFrame, confirm_at: int = CONFIRM_AT, *, time: str | None = None, late: str = "1 day", forget_after: float | None = None
+) -> DataFrame:
+    """(atom_id, encounter_count): every term once, when it reaches ``confirm_at``; for append mode.
+
+    ``events`` as for ``encounter_stream``; a term whose ``base`` has reached the bound was
+    confirmed before the stream and never comes out. Sightings are summed per term in every
+    task's batches before they go to the state, so a hot term is a few rows a batch. The
+    state is the count and whether the term has come out. With ``time``, a timer drops the
+    count of a term that is not confirmed and not seen for ``forget_after`` seconds.
+    """
+    timed_out = time is not None and forget_after is not None
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).group_by("atom_id").aggregate([("seen", "sum"), ("base", "max"), ("at", "max")])
+            yield from table.rename_columns(["atom_id", "seen", "base", "at"]).combine_chunks().to_batches()
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, done = state.get if state.exists else (0, False)
+        base, last = 0, 0
+        for rows in batches:
+            seen += int(rows["seen"].sum())
+            base = max(base, int(rows["base"].max()))
+            last = max(last, int(rows["at"].max().timestamp() * 1000)) if timed_out else 0
+        now = not done and base < confirm_at <= base + seen
+        done = done or base + seen >= confirm_at
+        state.update((seen, done))
+        if timed_out and not done:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(forget_after * 1000) + 1)
+        if now:
+            yield pd.DataFrame({"atom_id": [key[0]], "encounter_count": [base + seen]})
+
+    zero = F.lit(0).cast("long")
+    rows = events.select(
+        F.col("atom_id").cast("string").alias("atom_id"), F.col("seen").cast("long").alias("seen"), F.coalesce(F.col("base").cast("long"), zero).alias("base"),
+        (F.col(time) if timed_out else F.lit(None)).cast("timestamp").alias("at"),
+    )
+    rows = rows.mapInArrow(summed, rows.schema)
+    return (rows.withWatermark("at", late) if timed_out else rows).groupBy("atom_id").applyInPandasWithState(
+        count, "atom_id string, encounter_count long", "seen long, done boolean", "append",
+        GroupStateTimeout.EventTimeTimeout if timed_out else GroupStateTimeout.NoTimeout,
+    )
+
+
 def write_batches(folder: str) -> Callable[[DataFrame, int], None]:
     """A batch writer with a folder for each batch, so that a batch run again replaces itself."""
 
@@ -126,6 +180,52 @@ def next_sweep(atoms: DataFrame, cursor: str, size: int) -> tuple[DataFrame, str
     return rows, rows.agg(F.max("id").alias("last")).first()["last"] or ""
 
 
+class Sweep:
+    """A sweep over all terms in pages, whose place is kept in ``folder``.
+
+    A page is written under its number before the cursor moves on, so a run that dies in
+    between does the page again and replaces it. A page that cannot be processed is written
+    down with its error and passed. The empty page ends the sweep: the cursor starts over,
+    and manifests may be built if the last ones are old enough.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def state(self) -> dict:
+        """number (of the next page), cursor, built (time of the last manifests or None)."""
+        done = parts(self.spark, f"{self.folder}/cursor", "number", finished=True)
+        if not done:
+            return {"number": 0, "cursor": "", "built": None}
+        last = max(done, key=int)
+        return json.loads(self.spark.read.text(done[last]).first()[0]) | {"number": int(last)}
+
+    def commit(self, number: int, cursor: str, built: float | None) -> None:
+        row = self.spark.createDataFrame([(json.dumps({"cursor": cursor, "built": built}),)], "value string")
+        row.coalesce(1).write.mode("overwrite").text(f"{self.folder}/cursor/number={number}")
+
+    def page(
+        self, atoms: DataFrame, process: Callable[[DataFrame], DataFrame], size: int, *, now: float = 0.0, build: Callable[[], None] | None = None
+    ) -> bool:
+        """One page of ``size`` ids through ``process``; False when it was the empty one."""
+        at = self.state()
+        ids, cursor = next_sweep(atoms, at["cursor"], size)
+        built = at["built"]
+        if not cursor:
+            if build is not None and manifests_due(built, now):
+                build()
+                built = now
+        else:
+            ids = cut_lineage(ids)
+            try:
+                process(ids).write.mode("overwrite").parquet(f"{self.folder}/out/number={at['number']}")
+            except Exception as error:  # noqa: BLE001 - kept with the ids
+                note = ids.withColumn("error", F.lit(str(error)[:500]))
+                note.write.mode("overwrite").parquet(f"{self.folder}/failed/number={at['number']}")
+        self.commit(at["number"] + 1, cursor, built)
+        return bool(cursor)
+
+
 def manifests_due(last_build: float | None, now: float, every_hours: float = 24) -> bool:
     """Whether a finished sweep may build manifests again (times in seconds)."""
     return last_build is None or now - last_build >= every_hours * 3600
