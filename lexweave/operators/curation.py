@@ -275,9 +275,17 @@ def dropped_atoms(aggregates: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def bucket_concepts(
-    extractions: DataFrame, *, invariant: float = 0.66, vector: float = 0.33, low: float = 0.22
+    extractions: DataFrame, *, clusters: DataFrame | None = None, invariant: float = 0.66, vector: float = 0.33, low: float = 0.22
 ) -> DataFrame:
-    """Share of sources that name a concept, and its bucket; the rest leaves."""
+    """Share of sources that name a concept, and its bucket; the rest leaves.
+
+    With ``clusters`` (name, cluster) all names of a cluster count as one concept.
+    """
+    if clusters is not None:
+        same = clusters.select(text_key("name").alias("_name"), "cluster")
+        extractions = extractions.join(same, text_key("atom_name") == F.col("_name"), "left").withColumn(
+            "atom_name", F.coalesce("cluster", "atom_name")
+        )
     total = extractions.groupBy("moodboard_id").agg(F.count_distinct("source_url").alias("sources"))
     named = extractions.groupBy("moodboard_id", text_key("atom_name").alias("atom_name")).agg(
         F.count_distinct("source_url").alias("seen"), F.avg("confidence").alias("mean")

@@ -154,3 +154,23 @@ def knowledge_query(
         "chunks": near.join(chunks.withColumnRenamed("chunk_id", "neighbour_id"), "neighbour_id"),
         "signals": atom_signals(terms, aesthetic),
     }
+
+
+def knowledge_answer(found: dict[str, DataFrame]) -> DataFrame:
+    """(query_id, part, item, place, note): one table of what ``knowledge_query`` found.
+
+    Contexts hold for all queries and have no query id; chunks are in the order of their
+    scores; signals are the counts and the most frequent categories.
+    """
+    none = F.lit(None)
+    contexts = found["contexts"].select(
+        none.cast("string").alias("query_id"), F.lit("context").alias("part"), F.concat_ws("/", "category_slug", "context").alias("item"),
+        none.cast("long").alias("place"), F.col("guidance").alias("note"),
+    )
+    chunks = found["chunks"].select("query_id", F.lit("chunk").alias("part"), F.col("neighbour_id").alias("item"), F.col("rank").cast("long").alias("place"), F.col("document_id").cast("string").alias("note"))
+    signals = found["signals"].select("query_id", F.explode(F.array(
+        F.struct(F.lit("aesthetic_matches").alias("item"), F.col("aesthetic_matches").cast("long").alias("place"), none.cast("string").alias("note")),
+        F.struct(F.lit("texture_matches").alias("item"), F.col("texture_matches").cast("long").alias("place"), none.cast("string").alias("note")),
+        F.struct(F.lit("categories").alias("item"), F.size("top_categories").cast("long").alias("place"), F.array_join("top_categories", "|").alias("note")),
+    )).alias("s")).select("query_id", F.lit("signal").alias("part"), "s.item", "s.place", "s.note")
+    return contexts.unionByName(chunks).unionByName(signals)

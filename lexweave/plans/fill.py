@@ -62,7 +62,6 @@ AUDIT = f"""
 def _audit(t: Inputs):
     freq = ag.term_frequency(pm.extract_terms(t.v_prompts)).select("term", "term_type", "images")
     atoms = t.v_atoms.withColumn("text_lower", F.when(F.col("text_lower") == "red bolt", "brand#2").otherwise(F.concat(F.lit("x"), "text_lower")))
-    atoms = atoms.filter((F.col("text_lower") != "brand#2") | F.col("category_slug").isNotNull() | True)
     return pm.audit_terms(freq, atoms)
 
 

@@ -723,3 +723,27 @@ def knowledge_query(t: Inputs):
     atoms = t.v_atoms.select("id", "category_slug", "status")
     out = kn.knowledge_query(t.v_vectors, both, atoms, t.v_chunks, t.v_category_contexts, t.v_categories, context="F")
     return out["chunks"].select("query_id", "neighbour_id", "score", "document_id")
+
+
+@query("knowledge_answer", "V10 A27 J16", """
+    WITH sims AS (SELECT a.id AS query_id, b.id AS term_id, 'doc_chunk_' || substr(b.id, 2) AS chunk_id, round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS score FROM v_vectors a, v_vectors b),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS chunk_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term_id) AS term_rank FROM sims),
+    terms AS (SELECT query_id, coalesce(category_slug, 'unknown') AS cat FROM ranked JOIN v_atoms ON v_atoms.id = term_id WHERE term_rank <= 50 AND status <> 'rejected'),
+    cats AS (SELECT query_id, cat, count(*) AS n, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, cat) AS place FROM terms GROUP BY 1, 2),
+    top AS (SELECT query_id, count(*) AS n, string_agg(cat, '|' ORDER BY place) AS note FROM cats WHERE place <= 5 GROUP BY 1),
+    per AS (SELECT query_id, count(*) FILTER (starts_with(cat, 'size.')) AS aes, count(*) FILTER (NOT starts_with(cat, 'size.')) AS tex FROM terms GROUP BY 1)
+    SELECT NULL AS query_id, 'context' AS part, category_slug || '/' || context AS item, NULL::BIGINT AS place, guidance AS note FROM v_category_contexts
+      WHERE context IN ('F', 'default') AND category_slug IN (SELECT slug FROM v_categories)
+    UNION ALL SELECT query_id, 'chunk', r.chunk_id, chunk_rank, c.document_id FROM ranked r JOIN v_chunks c ON c.chunk_id = r.chunk_id WHERE chunk_rank <= 5
+    UNION ALL SELECT query_id, 'signal', 'aesthetic_matches', aes, NULL FROM per
+    UNION ALL SELECT query_id, 'signal', 'texture_matches', tex, NULL FROM per
+    UNION ALL SELECT query_id, 'signal', 'categories', n, note FROM top""")
+def knowledge_answer(t: Inputs):
+    """Contexts, chunk hits and signals of every query, as one result."""
+    own = t.v_vectors.withColumn("id", F.regexp_replace("id", "^a", "doc_chunk_"))
+    atoms = t.v_atoms.select("id", "category_slug", "status")
+    out = kn.knowledge_query(
+        t.v_vectors, t.v_vectors.unionByName(own), atoms, t.v_chunks, t.v_category_contexts, t.v_categories, context="F",
+        aesthetic=F.col("category_slug").startswith("size."),
+    )
+    return kn.knowledge_answer(out)
