@@ -580,6 +580,18 @@ def neighbourhood(t: Inputs):
     return au.neighbourhood(t.v_edges, t.v_atoms.filter(F.col("text_lower") == "red bolt"))
 
 
+@query("neighbourhood_hubs", "N1", """
+    WITH both_ways AS (SELECT atom_a_id AS id, atom_b_id AS n FROM v_edges UNION SELECT atom_b_id, atom_a_id FROM v_edges),
+    deg AS (SELECT id, count(*) > 40 AS hub FROM both_ways GROUP BY 1),
+    zero AS (SELECT id AS start_id, id, coalesce(hub, FALSE) AS hub FROM v_atoms LEFT JOIN deg USING (id) WHERE text_lower = 'red bolt'),
+    one AS (SELECT DISTINCT s.start_id, b.n AS id, d.hub FROM zero s JOIN both_ways b ON s.id = b.id JOIN deg d ON d.id = b.n WHERE NOT s.hub AND b.n <> s.id),
+    two AS (SELECT DISTINCT o.start_id, b.n AS id FROM one o JOIN both_ways b ON o.id = b.id WHERE NOT o.hub AND b.n <> o.start_id AND (o.start_id, b.n) NOT IN (SELECT (start_id, id) FROM one))
+    SELECT start_id, id, 0 AS hops, hub AS left_out FROM zero UNION ALL SELECT start_id, id, 1, hub FROM one UNION ALL SELECT start_id, id, 2, FALSE FROM two""")
+def neighbourhood_hubs(t: Inputs):
+    """Terms of more than 40 neighbours are reached but not gone through."""
+    return au.neighbourhood(t.v_edges, t.v_atoms.filter(F.col("text_lower") == "red bolt"), max_degree=40)
+
+
 @query("neighbourhood_siblings", "N1", """
     WITH both_ways AS (SELECT atom_a_id AS id, atom_b_id AS n FROM v_edges UNION SELECT atom_b_id, atom_a_id FROM v_edges),
     start AS (SELECT id, category_slug FROM v_atoms WHERE text_lower = 'red bolt'),

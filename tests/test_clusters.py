@@ -2,6 +2,7 @@
 
 import random
 
+from lexweave.operators.audits import neighbourhood
 from lexweave.operators.clusters import least_label, name_clusters
 from lexweave.operators.curation import bucket_concepts
 
@@ -25,3 +26,24 @@ def test_clustered_names_count_as_one(spark):
     rows = spark.createDataFrame(said, "moodboard_id string, source_url string, atom_name string, confidence double")
     got = {r.atom_name: (r.frequency, r.bucket) for r in bucket_concepts(rows, clusters=clusters).collect()}
     assert got == {"crimson": (1.0, "invariant"), "blue": (0.333333, "vector")}
+
+
+def test_neighbourhood_of_hubs(spark):
+    edges = [("hub", f"h{i:03d}") for i in range(300)] + [("s", "hub"), ("h007", "far"), ("far", "end"), ("end", "s2"), ("s", "h001")]
+    frame = spark.createDataFrame(edges, "atom_a_id string, atom_b_id string")
+    start = spark.createDataFrame([("s",), ("s2",), ("lone",)], "id string")
+    graph = {}
+    for a, b in edges:
+        graph.setdefault(a, set()).add(b)
+        graph.setdefault(b, set()).add(a)
+    want = set()
+    for s in ("s", "s2", "lone"):
+        seen, now = {s: 0}, [s]
+        for hop in range(1, 4):
+            now = [n for n in {m for x in now for m in graph.get(x, ())} if n not in seen]
+            seen |= dict.fromkeys(now, hop)
+        want |= {(s, n, h) for n, h in seen.items()}
+    for split in (10_000, 7):
+        assert {tuple(r) for r in neighbourhood(frame, start, 3, split=split).collect()} == want
+    bound = {tuple(r) for r in neighbourhood(frame, start, 2, max_degree=50, split=20).collect()}
+    assert ("s", "hub", 1, True) in bound and ("s", "h001", 1, False) in bound and not any(r[0] == "s" and r[1] == "h002" for r in bound)
