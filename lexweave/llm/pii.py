@@ -30,6 +30,17 @@ FAMILY = {
     "cyrillic": "Коваленко Шевченко Бондаренко Ткаченко Кравченко Олейник Лысенко Гончаренко Савченко Романенко Павленко Марченко".split(),
     "greek": "Παπαδοπούλου Γεωργίου Δημητρίου Ιωάννου Νικολάου Αντωνίου Βασιλείου Κωνσταντίνου Αθανασίου Χριστοδούλου".split(),
 }
+# Syllables, and endings by gender, of names made up where the listed ones are taken.
+SYLLABLES = {
+    "latin": ["ba", "den", "fi", "gor", "hal", "ki", "lo", "mar", "nel", "or", "pe", "ras", "sil", "tan", "vo", "wen"],
+    "cyrillic": ["ба", "ве", "гор", "да", "жи", "ка", "ла", "ми", "но", "пе", "ра", "сто", "ти", "фе", "хо", "яр"],
+    "greek": ["βα", "γι", "δη", "ζα", "θε", "κα", "λι", "μα", "νι", "πε", "ρα", "στα", "τη", "φι", "χα", "ψα"],
+}
+ENDINGS = {
+    ("latin", "m"): ["rik", "ton", "mund", "bert"], ("latin", "f"): ["lina", "rita", "wyna", "bella"], ("latin", "family"): ["ser", "holt", "mann", "berg"],
+    ("cyrillic", "m"): ["слав", "мир", "дан", "тон"], ("cyrillic", "f"): ["лина", "рина", "сана", "мира"], ("cyrillic", "family"): ["ченко", "вчук", "нюк", "ских"],
+    ("greek", "m"): ["νος", "ρος", "λης", "τας"], ("greek", "f"): ["νη", "ρα", "λια", "τα"], ("greek", "family"): ["πουλος", "ίδης", "άκης", "άτος"],
+}
 ADDRESS = {
     "m": "Mr Herr Monsieur Señor Sr Господин Κύριος".split(),
     "f": "Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа Κυρία".split(),
@@ -42,7 +53,7 @@ _TITLES = "|".join(re.escape(t) for own in ADDRESS.values() for t in own)
 _KNOWN = "|".join(n for own in GIVEN.values() for n in own)
 #: The pattern of each kind, without its surroundings; the first that fits a match gives its kind.
 KINDS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+'-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)*\.\p{L}{2,}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+'-]{0,127}+@[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?){0,8}\.\p{L}{2,}",
     "ip": rf"(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{3,4}){2}|\+\d{1,3}[ .-]\d(?:[ .-]\d{2}){4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "social": r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
@@ -136,17 +147,68 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(weighed, F.lit(0), lambda a, x: a + x)
 
 
-def _picked(names: list[str], hexes: Column, attempt: Column) -> Column:
-    """One name, or several joined by hyphens as attempts go on."""
-    listed = F.array(*[F.lit(n) for n in names])
-    count = F.least(1 + F.floor((attempt + 2) / 3), F.lit(6)).cast("int")
-    return F.array_join(
-        F.transform(
-            F.sequence(F.lit(1), count),
-            lambda i: F.element_at(listed, (F.conv(F.substr(hexes, i * 8 - 7, F.lit(8)), 16, 10).cast("long") % len(names) + 1).cast("int")),
-        ),
-        "-",
-    )
+def _number(hexes: Column, at: Column | int, n: int) -> Column:
+    """A number below ``n`` from eight hexadecimal digits."""
+    return F.conv(F.substr(hexes, at if isinstance(at, Column) else F.lit(at), F.lit(8)), 16, 10).cast("long") % n
+
+
+def _picked(names: list[str], script: str, gender: str, hexes: Column, attempt: Column) -> Column:
+    """A listed name; after three attempts one of syllables, longer as attempts go on."""
+    listed = F.element_at(F.array(*[F.lit(n) for n in names]), (_number(hexes, 1, len(names)) + 1).cast("int"))
+    syllables, ends = (F.array(*[F.lit(x) for x in own]) for own in (SYLLABLES[script], ENDINGS[(script, gender)]))
+    count = F.least(1 + F.floor(attempt / 4), F.lit(7)).cast("int")
+    made = F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(syllables, (_number(hexes, i * 8 - 7, len(SYLLABLES[script])) + 1).cast("int")))
+    end = F.element_at(ends, (_number(hexes, 57, len(ENDINGS[(script, gender)])) + 1).cast("int"))
+    return F.when(attempt < 3, listed).otherwise(F.initcap(F.concat(F.array_join(made, ""), end)))
+
+
+_SIGNS = {r"[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[0-9]": "0123456789", r"[^A-Z0-9]": "abcdefghijklmnopqrstuvwxyz"}
+#: Openings that say what a key is for; they stay.
+PREFIX = r"^(?:AKIA|(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[_-])"
+
+
+def _alike(text: Column, signs: Column, hexes: Column, *, all_signs: Column) -> Column:
+    """``text`` with every sign drawn anew within its class (capital, digit, small); others stay unless ``all_signs``.
+
+    ``signs`` is the text's array of signs, ``hexes`` has at least 128 hexadecimal digits.
+    """
+
+    def one(c: Column, i: Column) -> Column:
+        # a number per place: the digits of the hash are mixed with the place, so long texts do not repeat them
+        drawn = F.pmod(F.xxhash64(hexes, i), F.lit(26))
+        out = c
+        for pattern, alphabet in _SIGNS.items():
+            new = F.substr(F.lit(alphabet), (drawn % len(alphabet) + 1).cast("int"), F.lit(1))
+            out = F.when(c.rlike(rf"^{pattern}$") & (c.rlike(r"^[\p{L}\p{N}]$") | all_signs), new).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(signs, one), "")
+
+
+def _remainder(text: Column) -> Column:
+    """The number a string stands for, letters as 10 to 35, modulo 97."""
+    signs = F.filter(F.split(text, ""), lambda c: c != "")
+    digits = F.transform(signs, lambda c: F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55))
+    return F.aggregate(digits, F.lit(0), lambda a, d: (a * F.when(d > 9, 100).otherwise(10) + d) % 97)
+
+
+def _account(canonical: Column, hexes: Column) -> Column:
+    """An account number of the same country and classes of signs; its check digits hold if they did."""
+    country, body = F.substring(canonical, 1, 2), F.substr(canonical, F.lit(5))
+    new = _alike(body, F.filter(F.split(body, ""), lambda c: c != ""), hexes, all_signs=F.lit(False))
+    valid = _remainder(F.concat(body, F.substring(canonical, 1, 4))) == 1
+    check = 98 - _remainder(F.concat(new, country, F.lit("00")))
+    check = F.when(valid, check).otherwise(F.when(check > 2, check - 1).otherwise(check + 1))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+
+def _secret(canonical: Column, hexes: Column, attempt: Column) -> Column:
+    """A key of the same opening and classes of signs; after many attempts punctuation gives way, then the key grows."""
+    opening = F.regexp_extract(canonical, PREFIX, 0)
+    rest = F.substr(canonical, F.length(opening) + 1)
+    more = F.greatest(F.floor((attempt - 12) / 4), F.lit(0)).cast("int")
+    body = F.concat(rest, F.repeat(F.lit("a"), more))
+    return F.concat(opening, _alike(body, F.filter(F.split(body, ""), lambda c: c != ""), hexes, all_signs=attempt >= 6))
 
 
 def surrogate(kind: Column, canonical: Column, gender: Column, attempt: Column, key: str) -> Column:
@@ -173,22 +235,22 @@ def surrogate(kind: Column, canonical: Column, gender: Column, attempt: Column,
     tld = F.lit("example")
     email = F.concat(F.lit("u"), F.substring(hexes, 1, 12), F.lit("@"), F.lit("d"), F.substring(F.sha2(F.concat_ws("\u0001", F.lit(key), F.substring_index(canonical, "@", -1)), 256), 1, 8), F.lit("."), tld)
     long = F.concat(hexes, more)
-    account = F.concat(F.substring(canonical, 1, 2), F.substr(digits, F.lit(1), length - 2))
     out = (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "phone", phone)
         .when(kind == "card", card)
         .when(kind == "social", F.substr(digits, F.lit(1), length))
-        .when(kind == "account", account)
+        .when(kind == "account", _account(canonical, hexes))
         .when(kind == "hex", F.substr(long, F.lit(1), length))
     )
     for script, names in FAMILY.items():
-        out = out.when(kind == f"family:{script}", _picked(names, hexes, attempt))
+        out = out.when(kind == f"family:{script}", _picked(names, script, "family", hexes, attempt))
         both = GIVEN[(script, "m")] + GIVEN[(script, "f")]
-        own = F.when(gender == "m", _picked(GIVEN[(script, "m")], hexes, attempt)).when(gender == "f", _picked(GIVEN[(script, "f")], hexes, attempt))
-        out = out.when(kind == f"given:{script}", own.otherwise(_picked(both, hexes, attempt)))
-    return out.otherwise(F.rpad(long, length, long))
+        men, women = (_picked(GIVEN[(script, g)], script, g, hexes, attempt) for g in "mf")
+        any_ = F.when(_number(hexes, 49, 2) == 0, _picked(both, script, "m", hexes, attempt)).otherwise(_picked(both, script, "f", hexes, attempt))
+        out = out.when(kind == f"given:{script}", F.when(gender == "m", men).when(gender == "f", women).otherwise(any_))
+    return out.otherwise(_secret(canonical, hexes, attempt))
 
 
 def _filled(pattern: Column, letters: str, with_: Column) -> Column:
@@ -214,10 +276,9 @@ def rendered(kind: Column, raw: Column, new: Column) -> Column:
         F.when(kind == "phone", phone)
         .when(kind.isin("card", "social"), _filled(raw, r"\d", new))
         .when(kind == "account", _filled(raw, r"[A-Z0-9]", new))
-        .when(kind == "secret", _filled(raw, r"[\p{L}\p{N}]", new))
         .otherwise(new)
     )
-    capitals = (raw == F.upper(raw)) & (raw != F.lower(raw)) & (F.length(raw) > 1) & (kind != "account")
+    capitals = (raw == F.upper(raw)) & (raw != F.lower(raw)) & (F.length(raw) > 1) & ~kind.isin("account", "secret")
     return F.when(capitals, F.upper(shaped)).otherwise(shaped)
 
 
@@ -250,16 +311,38 @@ def surrogates(entities: DataFrame, key: str, *, max_attempts: int = 60) -> Data
     raise RuntimeError(f"{max_attempts} attempts left entities without a surrogate")
 
 
-def mentions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, place, part, kind, canonical, gender, raw): the entities of each different (id, text)."""
-    text = text_of(docs, text_col)
-    rows = docs.where(text.rlike(PATTERN)).select(row_key(docs[id_col], text).alias("key"), found(text).alias("found"))
-    rows = rows.dropDuplicates(["key"]).select("key", F.posexplode("found").alias("place", "match"))
+def _mentions(rows: DataFrame) -> DataFrame:
+    """``mentions`` of rows (key, found)."""
+    rows = rows.select("key", F.posexplode("found").alias("place", "match")).dropDuplicates(["key", "place"])
     rows = rows.withColumn("match_kind", kind_of(F.col("match")))
     parts = rows.select("key", "place", F.posexplode(segments(F.col("match"), F.col("match_kind"))).alias("part", "s"))
     return parts.select("key", "place", "part", "s.*")
 
 
+def mentions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, place, part, kind, canonical, gender, raw): the entities of each different (id, text)."""
+    text = text_of(docs, text_col)
+    return _mentions(docs.select(row_key(docs[id_col], text).alias("key"), found(text).alias("found")))
+
+
+def bare_names(parts: DataFrame) -> DataFrame:
+    """(key, names): how the name parts found in a text are written when they stand alone in it.
+
+    ``parts`` are (key, kind, raw, surrogate). ``names`` are (pattern, new), long ones first:
+    the part as it was found, in capitals, and with a capital alone.
+    """
+    name = parts.where(F.col("kind").rlike("^(family|given):")).select("key", "raw", "surrogate").distinct()
+    forms = F.array(
+        F.struct(F.col("raw").alias("old"), rendered(F.lit("name"), F.col("raw"), F.col("surrogate")).alias("new")),
+        F.struct(F.upper("raw").alias("old"), F.upper("surrogate").alias("new")),
+        F.struct(F.initcap("raw").alias("old"), F.col("surrogate").alias("new")),
+    )
+    each = name.select("key", F.explode(forms).alias("f")).groupBy("key", "f.old").agg(F.min("f.new").alias("new"))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("old"), F.lit(r"(?![\p{L}\p{N}])"))
+    listed = F.struct((-F.length("old")).alias("n"), pattern.alias("pattern"), "new")
+    return each.groupBy("key").agg(F.array_sort(F.collect_list(listed)).alias("names"))
+
+
 def replace_pii(
     docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None
 ) -> DataFrame:
@@ -269,19 +352,25 @@ def replace_pii(
     secrets, and names after a form of address or with a known given name. ``key`` is the
     secret of the hash; ``length_col`` (code points of the text) is brought up to date.
     A mention keeps its separators and capitals, a phone number its country code, a card
-    its first digit and whether its check digit holds, an inner address stays inner, a
-    name keeps its script, its gender (by its own or its title) and its number of parts.
-    Name parts get surrogates one by one, so a person mentioned again by the family name
-    alone stays the same person.
+    its first digit and whether its check digit holds, an account its country, the class of
+    each sign and whether its check digits hold, a key its opening and classes of signs, an
+    inner address stays inner, a name keeps its script, its gender (by its own or its title)
+    and its number of parts. Name parts get surrogates one by one, and a part found in a
+    text is replaced in the rest of that text, too, where it stands alone with a capital or
+    in capitals, so a person mentioned again by one name stays the same person.
 
     A null text stays null, an empty one empty; repeated rows are replaced alike; null ids
     and extra columns pass through; an empty table stays empty.
     """
-    parts = cut_lineage(mentions(docs, id_col=id_col, text_col=text_col))
+    text = text_of(docs, text_col)
+    # the texts are searched once; what was found goes with them
+    every = cut_lineage(docs.withColumn("__lw_found", found(text)).withColumn("__lw_key", F.when(F.size("__lw_found") > 0, row_key(docs[id_col], text))))
+    hit = F.size("__lw_found") > 0
+    parts = cut_lineage(_mentions(every.where(hit).select(F.col("__lw_key").alias("key"), F.col("__lw_found").alias("found"))))
     known = F.when(F.min("gender") == F.max("gender"), F.min("gender"))
     entities = parts.where("kind IS NOT NULL").groupBy("kind", "canonical").agg(known.alias("gender"))
     table = surrogates(cut_lineage(entities), key)
-    new = parts.join(table, ["kind", "canonical"], "left")
+    new = cut_lineage(parts.join(table, ["kind", "canonical"], "left"))
     word = F.when(F.col("kind").isNull(), F.col("raw")).otherwise(rendered(F.col("kind"), F.col("raw"), F.col("surrogate")))
     whole = (
         new.select("key", "place", F.struct("part", word.alias("word")).alias("p"))
@@ -289,16 +378,15 @@ def replace_pii(
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["word"]), " ").alias("word"))
         .groupBy("key")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda p: p["word"]).alias("__lw_new"))
-        .withColumnRenamed("key", "__lw_key")
+        .join(bare_names(new), "key", "left")
+        .select(F.col("key").alias("__lw_key"), "__lw_new", F.coalesce("names", F.array().cast("array<struct<n:int,pattern:string,new:string>>")).alias("__lw_names"))
     )
-    text = text_of(docs, text_col)
-    hit = text.rlike(PATTERN)
-    changed = docs.where(hit).withColumn("__lw_key", row_key(docs[id_col], text)).join(whole, "__lw_key")
+    changed = every.where(hit).join(whole, "__lw_key")
     between = F.split(F.col(text_col).cast("string"), PATTERN, -1)
-    joined = F.array_join(
-        F.zip_with(between, F.col("__lw_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
-    )
+    gaps = F.transform(between, lambda gap: F.aggregate("__lw_names", gap, lambda a, x: F.regexp_replace(a, x["pattern"], x["new"])))
+    joined = F.array_join(F.zip_with(gaps, F.col("__lw_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = changed.withColumn(text_col, joined)
     if length_col:
         changed = changed.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return docs.where(~hit).unionByName(changed.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return every.where(~hit).select(*own).unionByName(changed.select(*own))
