@@ -70,6 +70,41 @@ def audit_terms(t: Inputs):
     return _audit(t).drop("via")
 
 
+@query("audit_terms_whole", "Q23 T1 V1", """
+    WITH live AS (SELECT id, text_lower, category_slug FROM v_atoms WHERE status <> 'rejected'),
+    terms AS (
+      SELECT DISTINCT lower(p_name) AS term, 'core' AS term_type, 1 AS images FROM part
+      UNION ALL SELECT DISTINCT split_part(lower(p_name), ' ', 1), 'punk', 1 FROM part
+      UNION ALL SELECT 'near ' || id, 'artist', 1 + label FROM v_vectors
+      UNION ALL SELECT DISTINCT lower(p_type), 'camera_body', 9 FROM part),
+    exact AS (SELECT term, id, category_slug FROM (SELECT DISTINCT term FROM terms WHERE term_type <> 'camera_body') JOIN live ON text_lower = term),
+    found AS (SELECT term, id, category_slug FROM (SELECT DISTINCT term FROM terms WHERE term_type IN ('core', 'punk') AND term NOT IN (SELECT term FROM exact)) JOIN live
+      ON contains(' ' || text_lower || ' ', ' ' || term || ' ')),
+    sims AS (SELECT a.id AS q, b.id AS n, round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS score FROM v_vectors a, v_vectors b WHERE a.label >= 2),
+    near AS (SELECT 'near ' || q AS term, n AS id FROM sims QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, n) = 1 AND score >= 0.6),
+    hits AS (
+      SELECT *, 'exact' AS via FROM exact UNION ALL SELECT *, 'search' FROM found
+      UNION ALL SELECT near.term, live.id, category_slug, 'semantic' FROM near JOIN live ON live.id = near.id),
+    per AS (
+      SELECT t.term, t.term_type, min(via) AS via, count(*) AS atoms,
+        count(*) FILTER (category_slug IS NOT NULL AND category_slug NOT IN ('style.genre', 'style.medium', 'style.era', 'reference.person', 'reference.film')) AS odd
+      FROM terms t JOIN hits h USING (term) WHERE t.term_type <> 'camera_body' GROUP BY 1, 2)
+    SELECT t.term, t.term_type, t.images, CASE WHEN t.term_type = 'camera_body' THEN 'skipped' WHEN atoms > 0 THEN 'found' ELSE 'missing' END AS status, via,
+      CASE WHEN odd > 0 THEN 'classification_inconsistency' WHEN atoms > 1 THEN 'duplicate' END AS issue, coalesce(atoms, 0) AS atoms
+    FROM terms t LEFT JOIN per p ON p.term = t.term AND p.term_type = t.term_type""")
+def audit_terms_whole(t: Inputs):
+    """Known texts, their first words and terms with vectors: all three passes on the texts as they stand."""
+    rows = [
+        t.part.select(F.lower("p_name").alias("term"), F.lit("core").alias("term_type"), F.lit(1).alias("images")).distinct(),
+        t.part.select(F.split(F.lower("p_name"), " ")[0].alias("term"), F.lit("punk").alias("term_type"), F.lit(1).alias("images")).distinct(),
+        t.v_vectors.select(F.concat(F.lit("near "), "id").alias("term"), F.lit("artist").alias("term_type"), (1 + F.col("label")).cast("int").alias("images")),
+        t.part.select(F.lower("p_type").alias("term"), F.lit("camera_body").alias("term_type"), F.lit(9).alias("images")).distinct(),
+    ]
+    terms = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    term_vectors = t.v_vectors.select(F.concat(F.lit("near "), "id").alias("term"), "vec")
+    return pm.audit_terms(terms, t.v_atoms, term_vectors=term_vectors, vectors=t.v_vectors.select("id", "vec"))
+
+
 @query("vocab_audit_summary", "A25", f"""
     WITH {AUDIT} SELECT term_type, count(*) AS terms, count(*) FILTER (status = 'found') AS found, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'skipped') AS skipped, count(issue) AS issues FROM audit GROUP BY 1""")
 def vocab_audit_summary(t: Inputs):
