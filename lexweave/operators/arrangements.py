@@ -195,6 +195,15 @@ def board_positions(
     ).filter(F.col("coord").isNotNull())
 
 
+def boards_of_phrases(phrases: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(board, atom_id) of boards that are given as phrases: the terms their words resolve to.
+
+    ``phrases``: phrase_id, board; ``resolved`` as ``resolve_phrases`` gives it.
+    """
+    found = resolved.filter(F.col("atom_id").isNotNull()).select("phrase_id", "atom_id").distinct()
+    return found.join(phrases.select("phrase_id", "board").distinct(), "phrase_id").select("board", "atom_id").distinct()
+
+
 def center_of_mass(positions: DataFrame, low_until: int = 5, high_from: int = 16) -> DataFrame:
     """Mean, population spread and confidence band per (board, axis)."""
     return positions.groupBy("board", "axis_slug").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexweave.operators import arrangements as arr
 from lexweave.operators import curation as cu
 from lexweave.operators import manifests as mf
 from lexweave.operators import postings as ps
@@ -495,3 +496,22 @@ def board_ready(t: Inputs):
 def axis_manifest(t: Inputs):
     slugs = t.part.select(F.col("p_name").alias("slug")).unionByName(t.nation.select(F.col("n_name").alias("slug")))
     return cu.ingest_axis_manifest(slugs, t.v_atoms, t.v_memberships, axis="axis-half", pole="low", category="line.promo")
+
+
+@query("board_mass", "H5 R1", f"""
+    WITH {RESOLVED},
+    board AS (SELECT DISTINCT left(phrase_id, 2) AS board, atom_id FROM resolved WHERE atom_id IS NOT NULL),
+    positions AS (
+      SELECT b.board, m.axis_slug, CASE m.axis_slug WHEN 'axis-half' THEN a.hardness ELSE a.register END AS coord
+      FROM board b JOIN v_memberships m USING (atom_id) JOIN v_atoms a ON a.id = b.atom_id)
+    SELECT board, axis_slug, count(*) AS matched, round(round(avg(coord), 9), 4) AS mean, round(round(stddev_pop(coord), 9), 4) AS stdev,
+      CASE WHEN count(*) < 5 THEN 'low' WHEN count(*) < 16 THEN 'medium' ELSE 'high' END AS confidence
+    FROM positions WHERE coord IS NOT NULL GROUP BY 1, 2""")
+def board_mass(t: Inputs):
+    """Boards of phrases, resolved to terms and placed on the axes."""
+    axes = t.v_memberships.select("axis_slug").distinct().withColumn(
+        "harmonic_key", F.when(F.col("axis_slug") == "axis-half", "hardness").otherwise("register")
+    )
+    phrases = t.v_phrases.select("phrase_id", F.left("phrase_id", F.lit(2)).alias("board"))
+    board = arr.boards_of_phrases(phrases, _resolved(t))
+    return arr.center_of_mass(arr.board_positions(board, t.v_memberships, axes, t.v_atoms))
