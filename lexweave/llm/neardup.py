@@ -146,6 +146,32 @@ def linked(texts: list[str], names: list[int], side: np.ndarray | None, size: in
     return edges
 
 
+def compared(groups: DataFrame, keys: DataFrame, *, block: int) -> DataFrame:
+    """(node, root): the sets of nodes inside which all pairs are to be compared.
+
+    ``groups`` has (node, root) of the chained band hits, ``keys`` (node, band). A group is
+    compared as a whole where that is the cheaper way. Hits by chance chain groups whose
+    texts mostly have nothing in common; such a group of more than ``block`` texts is
+    compared bucket by bucket, so its work follows its hits and not its square. Buckets of
+    equal members are one set. Either way every pair that shares a band is compared.
+    """
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = cut_lineage(groups.join(small_enough(sizes, SMALL_ROWS), "root"))
+    if large.isEmpty():
+        return groups
+    hits = keys.join(small_enough(large, SMALL_ROWS), "node").distinct()
+    mix = F.xxhash64("node").cast("decimal(38,0)")
+    buckets = hits.groupBy("root", "band").agg(F.first("n").alias("n"), F.count("*").alias("m"), F.sum(mix).alias("mix"))
+    buckets = buckets.where("m > 1").groupBy("root", "m", "mix").agg(F.min("band").alias("band"), F.first("n").alias("n"))
+    work = F.sum(F.col("m").cast("double") * F.col("m"))
+    split = buckets.groupBy("root").agg(F.first("n").alias("n"), work.alias("work")).where("work < double(n) * n").select("root")
+    split, buckets = cut_lineage(split), cut_lineage(buckets.select("root", "band"))
+    whole = groups.join(small_enough(split, SMALL_ROWS), "root", "left_anti").select("node", "root")
+    chosen = buckets.join(small_enough(split, SMALL_ROWS), "root", "left_semi")
+    parts = hits.select("root", "band", "node").join(small_enough(chosen, SMALL_ROWS), ["root", "band"])
+    return whole.union(parts.select("node", F.xxhash64("root", "band").alias("root")))
+
+
 def verified_edges(members: DataFrame, *, size: int, threshold: float, block: int) -> DataFrame:
     """Spanning edges of similar texts inside each group; ``members`` has (node, root, text).
 
@@ -211,7 +237,7 @@ def near_duplicates(
     keys = marks.select("node", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     candidates = keys.join(shared, "band").where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
-    groups = cut_lineage(components(candidates))
+    groups = cut_lineage(compared(cut_lineage(components(candidates)), keys, block=block))
     members = (
         base.select("node", "text").join(small_enough(groups, SMALL_ROWS), "node").groupBy("node", "root").agg(F.first("text").alias("text"))
     )

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from lexweave.llm import words as W
-from lexweave.llm.neardup import dart_signatures, drop_near_duplicates, linked, near_duplicates
+from lexweave.llm.neardup import dart_signatures, compared, drop_near_duplicates, linked, near_duplicates
 
 SCHEMA = "doc_id long, text string, node string, root long, class_id long"
 
@@ -68,6 +68,36 @@ def test_blocks_leave_the_classes(spark):
         assert {r.doc_id: r.class_id for r in near_duplicates(docs, block=block).collect()} == want
 
 
+def test_chance_chains_are_compared_by_bucket(spark):
+    # neighbours at 0.74 share some band and chain; every tenth text has a true near copy
+    rows = [(i, " ".join(f"w{j}" for j in range(14 * i, 14 * i + 100))) for i in range(200)]
+    rows += [(1000 + i, t.replace(f"w{14 * i + 50} ", "x ")) for i, t in rows if i % 10 == 0]
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string")
+    want = classes_by_force(rows)
+    for block in (16, 512):
+        got = {r.doc_id: r.class_id for r in near_duplicates(docs, block=block).collect()}
+        assert got == want and len(set(want.values())) == 200
+
+
+def test_sets_to_compare(spark):
+    def sets(groups, keys, block):
+        g = spark.createDataFrame(groups, "node long, root long")
+        out = {}
+        for r in compared(g, spark.createDataFrame(keys, "node long, band long"), block=block).collect():
+            out.setdefault(r.root, []).append(r.node)
+        return sorted(sorted(x) for x in out.values())
+
+    chain = [(n, 0) for n in range(8)]
+    links = [(n, 100 + n) for n in range(7)] + [(n + 1, 100 + n) for n in range(7)] + [(3, 100 + 3), (0, 900)]
+    small, alike = [(20, 20), (21, 20)], [(n, 30) for n in range(30, 38)]
+    same = [(n, b) for n in range(30, 38) for b in (500, 501)]
+    part = [(n, 600 + b) for n in range(30, 38) for b in range(4) if n % 5 != b]
+    keys = [*links, (20, 300), (21, 300), *same, *part]
+    assert sets([*chain, *small, *alike], keys, 8) == [list(range(8)), [20, 21], list(range(30, 38))]
+    assert sets([*chain, *small, *alike], keys, 4) == [*[[n, n + 1] for n in range(7)], [20, 21], list(range(30, 38))]
+    assert sets([], [], 4) == []
+
+
 def test_agreement_is_weighted_similarity():
     doc = np.repeat([0, 1], 100)
     code = W.mix(np.concatenate([np.arange(100), np.arange(30, 130)]).astype(np.uint64))
