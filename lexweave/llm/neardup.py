@@ -61,7 +61,7 @@ def dart_signatures(
         j = 0
         flat = out.reshape(-1)
         while len(act):
-            h = W.mix(state[act] + np.uint64(j + 1) * W.BASE)
+            h = W.mix(state[act] + np.array([j + 1], np.uint64) * W.BASE)
             rank = rank - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
             below = rank < bound[cell_doc[act]]
             act, rank, h = act[below], rank[below], h[below]
