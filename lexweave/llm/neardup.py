@@ -146,10 +146,10 @@ def linked(texts: list[str], names: list[int], side: np.ndarray | None, size: in
     return edges
 
 
-def compared(groups: DataFrame, keys: DataFrame, *, block: int) -> DataFrame:
+def compared(groups: DataFrame, marks: DataFrame, *, block: int) -> DataFrame:
     """(node, root): the sets of nodes inside which all pairs are to be compared.
 
-    ``groups`` has (node, root) of the chained band hits, ``keys`` (node, band). A group is
+    ``groups`` has (node, root) of the chained band hits, ``marks`` (node, bands). A group is
     compared as a whole where that is the cheaper way. Hits by chance chain groups whose
     texts mostly have nothing in common; such a group of more than ``block`` texts is
     compared bucket by bucket, so its work follows its hits and not its square. Buckets of
@@ -159,7 +159,8 @@ def compared(groups: DataFrame, keys: DataFrame, *, block: int) -> DataFrame:
     large = cut_lineage(groups.join(small_enough(sizes, SMALL_ROWS), "root"))
     if large.isEmpty():
         return groups
-    hits = keys.join(small_enough(large, SMALL_ROWS), "node").distinct()
+    found = marks.join(small_enough(large, SMALL_ROWS), "node").dropDuplicates(["node"])
+    hits = found.select("node", "root", "n", F.explode(F.array_distinct("bands")).alias("band"))
     mix = F.xxhash64("node").cast("decimal(38,0)")
     buckets = hits.groupBy("root", "band").agg(F.first("n").alias("n"), F.count("*").alias("m"), F.sum(mix).alias("mix"))
     buckets = buckets.where("m > 1").groupBy("root", "m", "mix").agg(F.min("band").alias("band"), F.first("n").alias("n"))
@@ -237,7 +238,7 @@ def near_duplicates(
     keys = marks.select("node", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     candidates = keys.join(shared, "band").where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
-    groups = cut_lineage(compared(cut_lineage(components(candidates)), keys, block=block))
+    groups = cut_lineage(compared(cut_lineage(components(candidates)), marks, block=block))
     members = (
         base.select("node", "text").join(small_enough(groups, SMALL_ROWS), "node").groupBy("node", "root").agg(F.first("text").alias("text"))
     )

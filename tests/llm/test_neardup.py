@@ -83,7 +83,8 @@ def test_sets_to_compare(spark):
     def sets(groups, keys, block):
         g = spark.createDataFrame(groups, "node long, root long")
         out = {}
-        for r in compared(g, spark.createDataFrame(keys, "node long, band long"), block=block).collect():
+        marks = spark.createDataFrame([(n, [b for m, b in keys if m == n]) for n in {m for m, _ in keys}], "node long, bands array<long>")
+        for r in compared(g, marks.union(marks), block=block).collect():
             out.setdefault(r.root, []).append(r.node)
         return sorted(sorted(x) for x in out.values())
 
