@@ -17,9 +17,13 @@ from lexweave.streaming import streams as st
 
 
 def stream_of(t: Inputs, table: str) -> DataFrame:
-    """The parquet file of a table as a stream."""
-    schema = t.table(table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+    """The parquet file of a table, or the files of its folder, as a stream."""
+    whole = t.table(table)
+    stream = t.spark.readStream.schema(whole.schema)
+    # a stream reads folders only: that of the table, or the one its file lies in
+    if any(path.endswith(f"/{table}.parquet") for path in whole.inputFiles()):
+        return stream.option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+    return stream.parquet(f"{t.sf_dir}/{table}.parquet")
 
 
 def finished(t: Inputs, df: DataFrame, keys: list[str] | None = None) -> DataFrame:
