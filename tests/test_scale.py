@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave.operators import resolve
 from lexweave.plans.registry import Inputs
 from lexweave.plans.streams import stream_of
 
@@ -19,3 +20,25 @@ def test_a_stream_reads_a_file_or_a_folder(spark, tmp_path, files):
     sink = stream_of(Inputs(spark, str(tmp_path)), "events").writeStream.format("parquet").option("path", str(tmp_path / "out"))
     sink.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(9))
+
+
+def test_concepts_are_looked_for_inside_words(spark):
+    """Terms inside words, over blanks, short, empty and in words longer than a window; no join by the document alone."""
+    long = "".join(chr(97 + i * i % 23) for i in range(300))
+    texts = [
+        ("d", 1, "Unre lated"), ("d", 2, "A SCARLET\tbolt\nof x\U0001f600y"), ("d", 3, long), ("d", 4, None), ("d", 5, "  bolts  of steel"),
+        ("e", 7, "scar"), ("e", 9, "other"), (None, 1, "scarlet"), ("f", 1, None),
+    ]
+    terms = ["scar", "carle", "bolt", "bolt\nof", "bolts  of", "s of", "of", "o", "", " ", "\t", "\U0001f600y", long[60:75], long[150:290], "absent", "steel mill", None]
+    chunks = spark.createDataFrame([(*t, f"{t[0]}{t[1]}", f"h{t[1]}") for t in texts], "document_id string, chunk_index long, content string, chunk_id string, section_heading string")
+    vocabulary = spark.createDataFrame([(d, t, "w") for d in ("d", "e", "f", "none", None) for t in terms], "document_id string, term_lower string, atom_id string")
+    got = {(r.document_id, r.term_lower): (r.chunk_id, r.context) for r in resolve.link_concepts(vocabulary, chunks).collect()}
+    want = {}
+    for d in ("d", "e", "f"):
+        own = sorted((i, c) for x, i, c in texts if x == d)
+        for t in terms:
+            hit = [i for i, c in own if c is not None and t is not None and t in c.lower()]
+            want[d, t] = (f"{d}{hit[0]}", f"h{hit[0]}") if hit else (f"{d}{own[0][0]}", "page-level")
+    assert got == want
+    plan = resolve.link_concepts(vocabulary.where("term_lower = 'scar'"), chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "contains" in line and "gram" not in line]
