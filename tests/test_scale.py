@@ -42,3 +42,16 @@ def test_concepts_are_looked_for_inside_words(spark):
     assert got == want
     plan = resolve.link_concepts(vocabulary.where("term_lower = 'scar'"), chunks)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join" in line and "contains" in line and "gram" not in line]
+
+
+def test_tokens_are_moved_once(spark):
+    """A small vocabulary goes to the tokens; only the order within a phrase moves them."""
+    atoms = spark.createDataFrame([("a1", "red bolt", "confirmed"), ("a2", "bolt", "confirmed"), ("a3", "rust", "confirmed")], "id string, text_lower string, status string")
+    phrases = spark.createDataFrame([("p", "the Red bolt rusted"), ("q", "of the"), ("r", None)], "phrase_id string, phrase string")
+    out = resolve.resolve_phrases(phrases, atoms)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.phrase_id, r.pos, r.match_type, r.atom_id, r.match_key) for r in out.collect()} == {
+        ("p", 0, "exact", "a1", "bg:red bolt"), ("p", 1, "consumed", None, None), ("p", 2, "prefix", "a3", "stem:rusted"),
+        ("q", None, None, None, None), ("r", None, None, None, None),
+    }
+
