@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import resolve
+from lexweave.operators import postings, resolve
 from lexweave.plans.registry import Inputs
 from lexweave.plans.streams import stream_of
 
@@ -55,3 +55,30 @@ def test_tokens_are_moved_once(spark):
         ("q", None, None, None, None), ("r", None, None, None, None),
     }
 
+
+def copies(spark, n):
+    text = F.element_at(F.array(F.lit("red bolt"), F.lit("red steel bolt"), F.lit("blue nut")), (F.col("id") % 3 + 1).cast("int"))
+    atoms = spark.range(n).select(F.format_string("a%05d", "id").alias("id"), text.alias("text"), text.alias("text_lower"), F.lit("confirmed").alias("status"), F.lit("c").alias("collection_slug"))
+    word = F.element_at(F.array(F.lit("bolts"), F.lit("red bolts"), F.lit("red bolt"), F.lit("nowhere")), (F.col("id") % 4 + 1).cast("int"))
+    return spark.range(n).select(F.format_string("t%05d", "id").alias("term_id"), word.alias("term")), atoms
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Three texts and four terms are compared, however many rows say the same."""
+    terms, atoms = copies(spark, 600)
+    monkeypatch.setattr(postings, "PART_ROWS", 50)
+    met, _, texts = postings.phrase_groups(*postings.lists_for(terms, atoms))
+    assert met.count() <= 12 and texts.count() == 400
+    found = postings.text_search(terms, atoms)
+    assert found.count() == found.distinct().count() == 150 * 400 + 300 * 200
+    out = {r.term_id: r for r in resolve.match_vocabulary(terms, atoms).collect()}
+    assert len(out) == 600
+    assert out["t00000"].outcome == "ambiguous" and out["t00000"].candidates == ["a00000", "a00003", "a00006", "a00009", "a00012"]
+    assert out["t00002"].outcome == "exact" and out["t00002"].atom_id == "a00000" and out["t00003"].outcome == "new"
+
+
+def test_repeated_and_missing_ids_in_a_search(spark):
+    terms = spark.createDataFrame([("t", "red bolt"), ("t", "red bolt"), (None, "bolt"), ("u", "bolt"), ("v", "")], "term_id string, term string")
+    atoms = spark.createDataFrame([("a", "red", "c"), ("a", "my bolt", "c"), ("b", "red bolt", "c"), ("b", "red bolt", "c"), (None, "bolt", "c"), ("x", "bolt", "rejected"), ("y", None, "c")], "id string, text string, status string")
+    got = sorted((r.term_id, r.atom_id or "") for r in postings.text_search(terms, atoms).collect())
+    assert got == [("t", "a"), ("t", "b"), ("u", ""), ("u", "a"), ("u", "b")]
