@@ -1,9 +1,11 @@
 """Tables in many files, frequent keys and many copies: whole results without a row per pair."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import postings, resolve
+from lexweave.operators import arrangements, audits, joins, postings, resolve, vector_index
 from lexweave.plans.registry import Inputs
 from lexweave.plans.streams import stream_of
 
@@ -82,3 +84,45 @@ def test_repeated_and_missing_ids_in_a_search(spark):
     atoms = spark.createDataFrame([("a", "red", "c"), ("a", "my bolt", "c"), ("b", "red bolt", "c"), ("b", "red bolt", "c"), (None, "bolt", "c"), ("x", "bolt", "rejected"), ("y", None, "c")], "id string, text string, status string")
     got = sorted((r.term_id, r.atom_id or "") for r in postings.text_search(terms, atoms).collect())
     assert got == [("t", "a"), ("t", "b"), ("u", ""), ("u", "a"), ("u", "b")]
+
+
+def test_siblings_without_a_row_per_pair_moved(spark, monkeypatch):
+    monkeypatch.setattr(audits, "PACK_ROWS", 3)
+    monkeypatch.setattr(audits, "PART_ROWS", 4)
+    edges = spark.createDataFrame([("a1", "a2"), ("a1", "a9"), ("a3", "a5")], "atom_a_id string, atom_b_id string")
+    own = [(f"a{i}", "even" if i % 2 == 0 else "odd") for i in range(1, 14)] + [("a4", "even"), ("a6", "odd"), ("a0", None), (None, "odd")]
+    start = [f"a{i}" for i in range(0, 10)] + ["a3", "none", None]
+    siblings = spark.createDataFrame(own, "id string, category_slug string")
+    out = audits.neighbourhood(edges, spark.createDataFrame([(s,) for s in start], "id string"), 1, siblings)
+    near = {("a1", "a2"), ("a2", "a1"), ("a1", "a9"), ("a9", "a1"), ("a3", "a5"), ("a5", "a3")}
+    want = [(s, x) for s in start if s for i, c in own if i == s and c for x, d in own if d == c and x != s and (s, x) not in near]
+    text = lambda pairs: sorted((s, x or "") for s, x in pairs)
+    assert text((r.start_id, r.id) for r in out.where("hops IS NULL").collect()) == text(want)
+    assert {(r.start_id, r.id) for r in out.where("hops = 1").collect()} == near
+
+
+def test_short_tables_are_dealt_over_the_tasks(spark):
+    """Picks and terms in one file are worked on by all cores; the same behaviour twice warns twice."""
+    picks = spark.range(40).coalesce(1).select(F.format_string("a%d", "id").alias("atom_id"), F.lit("c").alias("category_slug"))
+    rules = [("p", None, None, "slow", None, "warning")] * 2 + [("p", None, None, "odd", "m", "breaking"), ("q", None, None, "no", None, "info")]
+    out = joins.provider_warnings(picks, spark.createDataFrame(rules, "provider string, atom_id string, atom_category string, behavior string, render_mode string, severity string"), "p", "m")
+    assert sorted((r.behavior, r["count"]) for r in out.groupBy("behavior").count().collect()) == [("odd", 40), ("slow", 80)]
+    assert "RoundRobinPartitioning" in out._jdf.queryExecution().executedPlan().toString()
+    words = [F.lit("neutral").alias(d) for d in arrangements.DIMENSIONS]
+    terms = picks.select(F.col("atom_id").alias("id"), F.array(F.lit("t")).alias("tags"), *words)
+    tagged = arrangements.legacy_similarity_tags(terms, spark.range(2).select(F.format_string("s%d", "id").alias("slug"), *words))
+    assert "RoundRobinPartitioning" in tagged._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r.tags) for r in tagged.collect()} == {("t", "s0", "s1")}
+
+
+def test_cells_are_written_in_small_batches(spark):
+    """A row that goes to many cells is copied for each, so few rows go at a time."""
+    centroids = np.eye(512)
+    rows = spark.range(600).coalesce(1).select(F.col("id").cast("string").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: ((i + F.col("id")) % 7).cast("double")).alias("vec"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    found = vector_index._in_cells(rows, centroids, 400)
+    assert found.count() == 600 * 400 and found.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 64 << 20
