@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.maths import DIMENSIONS, NEUTRAL, squared_gap
-from lexweave.functions.sizing import attach_packed
+from lexweave.functions.sizing import attach_packed, spread
 
 # Fixed values of the tagger.
 MAX_DISTANCE = 0.8
@@ -151,7 +151,7 @@ def legacy_similarity_tags(
 ) -> DataFrame:
     """Tag list of each term joined with the profiles at or over ``threshold``."""
     profiles = arrangements.select("slug", *DIMENSIONS)
-    packed, single = attach_packed(atoms.select("id", "tags", *DIMENSIONS), profiles, "profiles")
+    packed, single = attach_packed(spread(atoms.select("id", "tags", *DIMENSIONS)), profiles, "profiles")
     own = {d: F.col(d) for d in DIMENSIONS}
     hits = F.transform(
         F.filter(
