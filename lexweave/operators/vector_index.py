@@ -29,6 +29,8 @@ TUNE_QUERIES = 256
 #: Most centroids; they are sent to every task.
 MAX_CELLS = 4_096
 BLOCK_ROWS = 20_000
+#: Bytes of vectors, about, that a task files in cells at a time.
+BATCH_BYTES = 16 << 20
 
 
 @dataclass
@@ -72,12 +74,16 @@ def _in_cells(rows: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
                 part = batch.slice(lo, step)
                 near = _matrix(pa.table({"vec": part.column(1)})).astype(np.float32) @ shared.value.T
                 order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                take = pa.array(np.repeat(np.arange(part.num_rows), probes))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(order.ravel().astype(np.int32)),
-                     pa.array(np.tile(np.arange(probes, dtype=np.int32), part.num_rows))],
-                    names=["id", "vec", "cell", "place"],
-                )
+                place = np.arange(probes, dtype=np.int32)
+                # a row is copied for each of its cells: few rows at a time, and many cells of one row in turn
+                at, most = np.repeat(np.arange(part.num_rows), probes), max(1, BATCH_BYTES // (8 * shared.value.shape[1]))
+                for begin in range(0, len(at), most):
+                    take = pa.array(at[begin : begin + most])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(take), part.column(1).take(take), pa.array(order.ravel()[begin : begin + most].astype(np.int32)),
+                         pa.array(np.resize(np.roll(place, -(begin % probes)), len(take)))],
+                        names=["id", "vec", "cell", "place"],
+                    )
 
     return rows.mapInArrow(run, "id string, vec array<double>, cell int, place int")
 
