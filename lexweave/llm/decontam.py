@@ -1,8 +1,8 @@
 """Benchmark passages in documents, found in a latent semantic space and verified.
 
 Word frequencies are counted over all documents. TF-IDF rows of the benchmark's
-passages and of a bounded sample of documents are factored by a distributed randomised
-SVD. Every window of every document is then projected, its cosine with all benchmark
+passages and of every window of all documents, met in one pass, are factored by a
+distributed randomised SVD. Every window of every document is then projected, its cosine with all benchmark
 passages taken in blocks, and the nearest passages verified on the words themselves:
 by the longest common subsequence and, where that leaves a paraphrase, by the answer.
 Beside the nearest, every passage is verified that shares enough words with a window for
@@ -30,10 +30,7 @@ BITS = 15
 BLOCK = 32  # words; a window is two blocks
 RANK = 96
 EXTRA = 8
-#: Documents, in expectation, whose windows take part in the factorisation, and their
-#: weight in it against that of the benchmark's passages.
-FIT_DOCS = 1000
-FIT_TASKS = 8
+#: Weight of the windows of the documents in the factorisation against that of the benchmark's passages.
 CORPUS_WEIGHT = 0.2
 #: Benchmark passages, about, that are held and compared at a time; a row stays whole.
 ITEM_ROWS = 20_000
@@ -145,52 +142,123 @@ def tfidf_rows(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "f array<long>, x array<double>")
 
 
-def product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
-    """A'W(A right) for the sparse rows A of weights W, summed in the tasks and then by feature in Spark."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(right.astype(np.float32))
-    width = right.shape[1]
+def _matrix_of(rows: Iterable[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), "<f4").reshape(-1, width)
+
+
+def _rows_of(matrix: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * (4 * matrix.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix.astype("<f4").tobytes())])
+
+
+def _some_rows(matrix: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(matrix.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(some), _rows_of(matrix[some])], names=["f", "v"])
+
+
+def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The matrix of rows (f, v) summed by f in Spark."""
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        own, to = np.unique(parts["f"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(own), shape[1]))
+        np.add.at(total, to, _matrix_of(parts["v"], shape[1]))
+        return pd.DataFrame({"f": own, "v": _rows_of(total).to_pylist()})
+
+    out = np.zeros(shape, np.float32)
+    for batch in parts.groupBy(F.col("f") % 64).applyInPandas(add, "f long, v binary").toArrow().to_batches():
+        if batch.num_rows:
+            out[batch.column(0).to_numpy()] = _matrix_of(batch.column(1).to_pylist(), shape[1])
+    return out
 
-    def rows_of(matrix: np.ndarray) -> pa.Array:
-        offsets = np.arange(len(matrix) + 1, dtype=np.int32) * (4 * width)
-        return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix.astype("<f4").tobytes())])
 
-    def matrix_of(rows: Iterable[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(rows), "<f4").reshape(-1, width)
+def product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
+    """A'W(A right) for the sparse rows A of weights W, summed in the tasks and then by feature in Spark."""
+    shared = rows.sparkSession.sparkContext.broadcast(right.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((1 << BITS, width))
+        out = np.zeros((1 << BITS, right.shape[1]))
         for batch in batches:
             for f, x, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 f, x = np.array(f, np.int64), np.array(x)
                 out[f] += np.outer(w * x, x @ shared.value[f])
-        some = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), rows_of(out[some])], names=["f", "v"])
+        yield _some_rows(out)
+
+    total = _summed(rows.mapInArrow(run, "f long, v binary"), (1 << BITS, right.shape[1]))
+    shared.destroy()
+    return total
 
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        own, to = np.unique(parts["f"].to_numpy(), return_inverse=True)
-        total = np.zeros((len(own), width))
-        np.add.at(total, to, matrix_of(parts["v"]))
-        return pd.DataFrame({"f": own, "v": rows_of(total).to_pylist()})
 
-    summed = rows.mapInArrow(run, "f long, v binary").groupBy(F.col("f") % 64).applyInPandas(add, "f long, v binary").toArrow()
+def corpus_product(texts: DataFrame, idf: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, int]:
+    """A'(A right) and the rows of A, for every window of every text, in one pass.
+
+    A row holds the inverse document frequencies of a window's words over their norm. A
+    window is a sum of blocks, so both factors are worked out by block. Only matrices leave
+    the tasks, whose number does not grow with the texts.
+    """
+    sc = texts.sparkSession.sparkContext
+    shared, width = sc.broadcast((right.astype(np.float32), idf.astype(np.float32))), right.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighted, idf = shared.value
+        # an empty place of a block is a word without weight
+        idf, right = np.append(idf, np.float32(0)), np.vstack([weighted * idf[:, None], np.zeros((1, width), np.float32)])
+        out, n = np.zeros(((1 << BITS) + 1, width)), 0
+        for batch in batches:
+            for lo, hi in W.slices(batch.column(0), 1 << 18):
+                w = hashed(batch.column(0).slice(lo, hi - lo))
+                at, doc, head = blocks_of(w)
+                if not len(doc):
+                    continue
+                f = feature(w.hash)
+                held = np.append(f, 1 << BITS)[at]
+                sums, squares = right[held].sum(axis=1), (idf[held] ** 2).sum(axis=1)
+                lead, pair = windows_of(doc)
+                after = np.minimum(lead + 1, len(doc) - 1)
+                along = sums[lead] + np.where(pair[:, None], sums[after], 0)
+                along /= np.maximum(squares[lead] + np.where(pair, squares[after], 0), 1e-12)[:, None]
+                back = np.zeros_like(sums)
+                back[lead] += along
+                back[lead[pair] + 1] += along[pair]
+                # occurrences by block and word, as a matrix of few blocks
+                for begin in range(0, len(doc), 1024):
+                    own, to = np.unique(held[begin : begin + 1024], return_inverse=True)
+                    cells = np.arange(len(held[begin : begin + 1024]))[:, None] * len(own) + to.reshape(-1, BLOCK)
+                    count = np.bincount(cells.ravel(), minlength=len(held[begin : begin + 1024]) * len(own)).reshape(-1, len(own))
+                    out[own] += idf[own, None] * (count.T.astype(np.float32) @ back[begin : begin + 1024])
+                n += len(lead)
+        out[-1] = n
+        yield _some_rows(out)
+
+    parts = texts.coalesce(4 * sc.defaultParallelism).mapInArrow(run, "f long, v binary")
+    total = _summed(parts, ((1 << BITS) + 1, width))
     shared.destroy()
-    out = np.zeros((1 << BITS, width), np.float32)
-    for batch in summed.to_batches():
-        if batch.num_rows:
-            out[batch.column(0).to_numpy()] = matrix_of(batch.column(1).to_pylist())
-    return out
+    return total[:-1], int(total[-1, 0])
 
 
-def latent_basis(rows: DataFrame, *, rank: int = RANK, extra: int = EXTRA, seed: int = 3) -> np.ndarray:
-    """The ``rank`` leading right singular vectors of the sparse rows, by a randomised range finder.
+def corpus_factor(texts: DataFrame, idf: np.ndarray, *, rank: int = RANK, extra: int = EXTRA, seed: int = 3) -> np.ndarray:
+    """C of rank ``rank`` + ``extra`` with CC' near A'A / n, for the n windows A of all texts, by one pass (Nystrom)."""
+    start, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((1 << BITS, rank + extra), np.float32))
+    there, n = corpus_product(texts, idf, start)
+    core = (start.T @ there).astype(np.float64)
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    good = value > 1e-6 * max(value.max(), 1e-12)
+    return there @ (vector[:, good] / np.sqrt(value[good] * max(n, 1))).astype(np.float32)
+
+
+def latent_basis(rows: DataFrame, corpus: np.ndarray | None = None, *, rank: int = RANK, extra: int = EXTRA, seed: int = 3) -> np.ndarray:
+    """The ``rank`` leading right singular vectors of the sparse rows over ``corpus``', by a randomised range finder.
 
     One power step; only matrices of (hashed words) x (rank + extra) leave the tasks.
     """
-    start = np.random.default_rng(seed).standard_normal((1 << BITS, rank + extra), np.float32)
-    basis, _ = np.linalg.qr(product(rows, start))
-    basis, _ = np.linalg.qr(product(rows, basis))
-    small = basis.T @ product(rows, basis)
+
+    def times(right: np.ndarray) -> np.ndarray:
+        own = product(rows, right)
+        return own if corpus is None else own + corpus @ (corpus.T @ right)
+
+    basis, _ = np.linalg.qr(times(np.random.default_rng(seed).standard_normal((1 << BITS, rank + extra), np.float32)))
+    basis, _ = np.linalg.qr(times(basis))
+    small = basis.T @ times(basis)
     value, vector = np.linalg.eigh((small + small.T) / 2)
     return basis @ vector[:, np.argsort(-value)[:rank]]
 
@@ -414,16 +482,14 @@ def finders(docs: DataFrame, benchmark: DataFrame, *, id_col: str, item_col: str
     texts = docs.select(text_of(docs, text_col).alias("text"))
     seen, n = frequencies(texts)
     idf = np.log((n + 1) / (seen + 1)) + 0.1
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_DOCS / max(n, 1)))
-    sample = cut_lineage(tfidf_rows(texts.where(chosen), idf).repartition(FIT_TASKS))
-    windows = sample.count()
+    factor = corpus_factor(texts, idf)
     long = F.ceil(F.size(F.split(text_of(benchmark, item_text_col), r"\s+")) / PASSAGE)
     parts = -(-(benchmark.agg(F.sum(F.greatest(long, F.lit(1)))).first()[0] or 0) // item_rows)
     for p in range(parts):
         own = benchmark if parts == 1 else benchmark.where(F.pmod(F.xxhash64(item_col, item_text_col), F.lit(parts)) == p)
         passages = own.select(text_of(own, item_text_col).alias("text"))
         asked = cut_lineage(tfidf_rows(passages, idf).withColumn("w", F.lit(1.0)))
-        basis = latent_basis(asked.union(sample.withColumn("w", F.lit(CORPUS_WEIGHT * asked.count() / max(1, windows)))))
+        basis = latent_basis(asked, np.float32(np.sqrt(CORPUS_WEIGHT * asked.count())) * factor)
         yield spark.sparkContext.broadcast(Finder(basis, idf, read_items(own, item_col, item_text_col, answer_col, rules), rules))
 
 

@@ -189,3 +189,25 @@ def test_short_items_in_long_texts(spark):
     want, short = leaks_by_force(docs, items), {i for i, t in items if len(t.split()) < D.VERBATIM}
     assert {(d, d) for d, _ in docs} <= got <= want
     assert {p for p in got if p[1] in short} == {p for p in want if p[1] in short}
+
+
+def test_all_windows_are_factored(spark):
+    """The corpus part is a pass over every window of every text."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, n)) for n in (0, 1, 31, 32, 33, 70, 200, 1000)]
+    df = spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(4)
+    idf = rng.uniform(0.5, 2, 1 << D.BITS)
+    right = rng.standard_normal((1 << D.BITS, 6)).astype(np.float32)
+    got, n = D.corpus_product(df, idf, right)
+    want, windows = np.zeros_like(right, np.float64), 0
+    for t in texts:
+        f = D.feature(D.hashed(pa.array([t])).hash)
+        blocks = [f[i : i + D.BLOCK] for i in range(0, len(f), D.BLOCK)]
+        for w in [np.concatenate(p) for p in zip(blocks, blocks[1:])] or blocks:
+            x = np.zeros(1 << D.BITS)
+            np.add.at(x, w, idf[w])
+            want += 3 * np.outer(x, x @ right) / (idf[w] ** 2).sum()
+            windows += 3
+    assert n == windows and np.allclose(got, want, atol=1e-3)
+    factor = D.corpus_factor(df, idf, rank=64, extra=8)
+    assert factor.shape == (1 << D.BITS, 72) or factor.shape[1] <= 72
