@@ -5,9 +5,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import arrangements, audits, joins, postings, resolve, vector_index
+from lexweave.operators import arrangements, audits, joins, postings, prompts, resolve, vector_index, vectors
 from lexweave.plans.registry import Inputs
 from lexweave.plans.streams import stream_of
+from lexweave.sources import folders
 
 
 @pytest.mark.parametrize("files", [1, 3])
@@ -126,3 +127,38 @@ def test_cells_are_written_in_small_batches(spark):
 
     found = vector_index._in_cells(rows, centroids, 400)
     assert found.count() == 600 * 400 and found.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 64 << 20
+
+
+def test_a_category_is_not_met_by_the_others(spark):
+    """Neighbours within 40 categories: far fewer pairs are multiplied than the square of the table, the same rows found."""
+    rng = np.random.default_rng(5)
+    rows = [(f"v{i:04}", [float(x) for x in rng.integers(-9, 9, 6)], f"c{i % 40}" if i % 7 else None) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id string, vec array<float>, part string")
+    got = {(r.query_id, r.rank): (r.neighbour_id, r.score) for r in vectors.knn(df, df, 3, part_col="part", min_sim=0.2, block_rows=50).collect()}
+    mats = {p: [(i, np.array(v)) for i, v, q in rows if q == p] for p in {r[2] for r in rows} - {None}}
+    want = {}
+    for own in mats.values():
+        for i, v in own:
+            near = sorted((-round(float(v @ w / np.sqrt(v @ v * (w @ w))), 6), j) for j, w in own)
+            want.update({(i, n + 1): (j, -s) for n, (s, j) in enumerate(near[:3]) if -s >= 0.2})
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    part = F.col("part")
+    _, sizes = vectors._bucket_blocks(df.where(part.isNotNull()), df.where(part.isNotNull()), part, 50)
+    copies = sum(r._q_blocks * r._b_blocks for r in sizes.collect())
+    assert copies * 50 * 50 < 1200 * 1200 / 4
+
+
+def test_block_products_hold_no_text_per_pair():
+    """A block of 4000 x 4000 keeps 50 hits a row in under 40 MB beyond its inputs, where the texts of Python took 64."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    ids = pa.array([f"atom-{i:08}" for i in range(4000)])
+    vec = pa.array(list(rng.normal(size=(4000, 16)).astype(np.float32)), pa.list_(pa.float32()))
+    table = pa.table({"id": ids, "vec": vec, "part": pa.array([""] * 4000)})
+    run = vectors._block_topk(50, None, False)
+    tracemalloc.start()
+    out = run(table, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 200_000 and peak < 40 << 20
