@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.maths import DIMENSIONS, profile_similarity
+from lexweave.functions.sizing import broadcast_if_small
 from lexweave.session import cut_lineage
 
 # Fixed values of slot scoring.
@@ -64,27 +65,37 @@ def weighted_pick(cands: DataFrame, group: list[str], score: str, seed: int, top
     )
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    """The two ends of a pair in text order, a null last."""
+    ends = F.array_sort(F.array(a, b))
+    return [ends[0].alias("one"), ends[1].alias("other")]
+
+
+def from_both_ends(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``pairs`` (one, other) as (atom_id, chosen_id) of either end, where ``chosen`` has the chosen_id."""
+    one, other = F.col("one"), F.col("other")
+    ends = F.array_distinct(F.array(F.struct(one.alias("atom_id"), other.alias("chosen_id")), F.struct(other.alias("atom_id"), one.alias("chosen_id"))))
+    rows = pairs.withColumn("e", F.explode(ends)).select("e.atom_id", "e.chosen_id", *[c for c in pairs.columns if c not in ("one", "other")])
+    return rows.join(chosen, "chosen_id", "left_semi")
+
+
 def pair_affinity(relations: DataFrame) -> DataFrame:
-    """Strength times confidence of compositional pairs, read from both ends, the
-    best per (candidate, chosen, context)."""
+    """Strength times confidence of compositional pairs (one, other), the best per context; it holds from both ends."""
     rows = relations.filter(F.col("relation_type") == "compositional")
-    a, b = F.col("source_atom_id"), F.col("target_atom_id")
-    ends = F.array(F.struct(a.alias("atom_id"), b.alias("chosen_id")), F.struct(b.alias("atom_id"), a.alias("chosen_id")))
     return (
-        rows.select(F.explode(ends).alias("e"), "context", (F.col("strength") * F.col("confidence")).alias("affinity"))
-        .groupBy("e.atom_id", "e.chosen_id", F.coalesce("context", F.lit("")).alias("context"))
+        rows.select(*_pair("source_atom_id", "target_atom_id"), F.coalesce("context", F.lit("")).alias("context"), (F.col("strength") * F.col("confidence")).alias("affinity"))
+        .groupBy("one", "other", "context")
         .agg(F.max("affinity").alias("affinity"))
     )
 
 
 def pair_resonance(edges: DataFrame) -> DataFrame:
-    """Summed strength of resonating edges of a pair, read from both ends."""
+    """Summed strength of the resonating edges of a pair (one, other); it holds from both ends, and an edge to itself has both."""
     rows = edges.filter(F.col("relationship_type").isin("resonates", "evokes"))
-    a, b = F.col("atom_a_id"), F.col("atom_b_id")
-    ends = F.array(F.struct(a.alias("atom_id"), b.alias("chosen_id")), F.struct(b.alias("atom_id"), a.alias("chosen_id")))
-    return rows.select(F.explode(ends).alias("e"), "strength").groupBy("e.atom_id", "e.chosen_id").agg(
+    twice = F.when(F.col("one").eqNullSafe(F.col("other")), 2).otherwise(1)
+    return rows.select(*_pair("atom_a_id", "atom_b_id"), "strength").groupBy("one", "other").agg(
         F.sum("strength").alias("resonance")
-    )
+    ).withColumn("resonance", F.col("resonance") * twice)
 
 
 def opposed_contexts(relations: DataFrame) -> DataFrame:
@@ -106,27 +117,33 @@ def candidate_pools(atoms: DataFrame) -> DataFrame:
     )
 
 
+def pool_facts(pools: DataFrame, exemplars: DataFrame, opposed: DataFrame) -> DataFrame:
+    """``pools`` with what is known of each term: ``shares`` by template and slot, ``against``, the contexts that oppose it.
+
+    Both are joined once here, not to the candidates of every round.
+    """
+    shares = exemplars.groupBy("atom_id").agg(F.collect_list(F.struct("template", "slot_name", "exemplar_score")).alias("shares"))
+    against = opposed.groupBy("atom_id").agg(F.collect_set("context").alias("against"))
+    return pools.join(shares, "atom_id", "left").join(against, "atom_id", "left")
+
+
 #: What a slot's scores depend on besides the request's own picks and intents.
 LIST_KEY = ["template", "slot_name", "category_filter", "pool", "arrangement", "mode_context", "has_intent"]
 #: Rows of a slot's list that are kept at first; twice as many whenever a request needs more.
 LIST_ROWS = 64
 
 
-def fixed_scores(keys: DataFrame, pools: DataFrame, exemplars: DataFrame, profiles: DataFrame, opposed: DataFrame, *, by: list[str]) -> DataFrame:
+def fixed_scores(keys: DataFrame, facts: DataFrame, profiles: DataFrame, *, by: list[str]) -> DataFrame:
     """``keys`` with candidate terms: ``fixed``, their score without picks and intents, and ``bad``, whether a context opposes them.
 
     ``keys`` have the columns LIST_KEY; they meet the pools on ``by``, which is the category
     and pool alone, or these and a term.
     """
     arr = profiles.select(F.col("slug").alias("arrangement"), *[F.col(d).alias(f"arr_{d}") for d in PROFILE], F.lit(True).alias("_profiled"))
-    against = opposed.withColumn("_opposed", F.lit(True))
-    by_profile = against.select("atom_id", F.col("context").alias("arrangement"), F.col("_opposed").alias("_o1"))
-    by_mode = against.select("atom_id", F.col("context").alias("mode_context"), F.col("_opposed").alias("_o2"))
-    rows = (
-        keys.join(pools.withColumnRenamed("category_slug", "category_filter"), by)
-        .join(exemplars, ["template", "slot_name", "atom_id"], "left").join(arr, "arrangement", "left")
-        .join(by_profile, ["atom_id", "arrangement"], "left").join(by_mode, ["atom_id", "mode_context"], "left")
-    )
+    rows = keys.join(facts.withColumnRenamed("category_slug", "category_filter"), by).join(arr, "arrangement", "left")
+    own = F.filter("shares", lambda s: (s["template"] == F.col("template")) & (s["slot_name"] == F.col("slot_name")))
+    share = F.get(own, F.lit(0))["exemplar_score"]
+    opposes = lambda context: F.coalesce(F.array_contains("against", F.col(context)), F.lit(False))
     profiled = F.coalesce("_profiled", F.lit(False))
     weight = {k: F.when(profiled, WEIGHTS_WITH_PROFILE[k]).otherwise(WEIGHTS_PLAIN[k]) for k in WEIGHTS_PLAIN}
     moved = F.when(F.col("has_intent"), 0.0).otherwise(weight["semantic"])
@@ -136,20 +153,20 @@ def fixed_scores(keys: DataFrame, pools: DataFrame, exemplars: DataFrame, profil
     harmonic = F.when(
         profiled, profile_similarity({d: F.col(d) for d in PROFILE}, {d: F.col(f"arr_{d}") for d in PROFILE})
     ).otherwise(0.0)
-    fixed = (weight["exemplar"] + moved) * F.coalesce("exemplar_score", F.lit(0.0)) + weight["harmonic"] * harmonic + weight["tier"] * tier
+    fixed = (weight["exemplar"] + moved) * F.coalesce(share, F.lit(0.0)) + weight["harmonic"] * harmonic + weight["tier"] * tier
     return rows.select(
-        *keys.columns, *[c for c in ("atom_id",) if c not in keys.columns], fixed.alias("fixed"), F.coalesce("_o1", "_o2", F.lit(False)).alias("bad"),
+        *keys.columns, *[c for c in ("atom_id",) if c not in keys.columns], fixed.alias("fixed"), (opposes("arrangement") | opposes("mode_context")).alias("bad"),
         weight["resonance"].alias("w_resonance"), F.when(F.col("has_intent"), weight["semantic"]).otherwise(0.0).alias("w_intent"),
     )
 
 
-def ranked_lists(keys: DataFrame, pools: DataFrame, exemplars: DataFrame, profiles: DataFrame, opposed: DataFrame, most: int) -> DataFrame:
+def ranked_lists(keys: DataFrame, facts: DataFrame, profiles: DataFrame, most: int) -> DataFrame:
     """(list, pos, chunk, atom_id, fixed, bad): the best ``most`` terms of every key, opposed ones last.
 
     Chunk c holds the places from 2**(c - 1) on, so whoever needs n rows reads less than 2 n.
     The literal limit cuts each list in the map tasks.
     """
-    rows = fixed_scores(keys, pools, exemplars, profiles, opposed, by=["category_filter", "pool"])
+    rows = fixed_scores(keys, facts, profiles, by=["category_filter", "pool"])
     order = Window.partitionBy("list").orderBy("bad", F.desc(F.round("fixed", 9)), "atom_id")
     placed = rows.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most)
     return placed.select("list", "pos", F.length(F.bin("pos")).alias("chunk"), "atom_id", "fixed", "bad")
@@ -157,10 +174,13 @@ def ranked_lists(keys: DataFrame, pools: DataFrame, exemplars: DataFrame, profil
 
 def own_terms(asked: DataFrame, chosen: DataFrame, intents: DataFrame, affinity: DataFrame, resonance: DataFrame) -> DataFrame:
     """(request_id, atom_id, resonance, boost, intent_score): the terms whose scores the request itself moves."""
-    picks = asked.select("request_id", "arrangement").distinct().join(
-        chosen.select("request_id", F.col("atom_id").alias("chosen_id")), "request_id"
+    picks = cut_lineage(
+        asked.select("request_id", "arrangement").distinct().join(chosen.select("request_id", F.col("atom_id").alias("chosen_id")), "request_id")
     )
+    # few terms are chosen, so their ids go to the pairs
+    ids = broadcast_if_small(picks.select("chosen_id").distinct())
     none = F.lit(None).cast("double")
+    affinity, resonance = (from_both_ends(pairs, ids) for pairs in (affinity, resonance))
     res = picks.join(resonance, "chosen_id").select("request_id", "atom_id", "resonance", none.alias("boost"), none.alias("intent_score"))
     fits = (F.col("context") == "") | (F.col("context") == F.col("arrangement"))
     boost = picks.join(affinity, "chosen_id").filter(fits).select("request_id", "atom_id", none.alias("resonance"), (F.col("affinity") * BOOST_CAP).alias("boost"), none.alias("intent_score"))
@@ -178,8 +198,8 @@ class SlotLists:
     and intents move, and needs as many rows of the list as those and its picks can hide.
     """
 
-    def __init__(self, plan: DataFrame, pools: DataFrame, exemplars: DataFrame, profiles: DataFrame, opposed: DataFrame, list_rows: int = LIST_ROWS):
-        self.sources = pools, exemplars, profiles, opposed
+    def __init__(self, plan: DataFrame, facts: DataFrame, profiles: DataFrame, list_rows: int = LIST_ROWS):
+        self.sources = facts, profiles
         asked = plan.filter(F.col("seed_id").isNull() & F.col("guidance").isNull())
         self.keys = cut_lineage(asked.select(*LIST_KEY).distinct().withColumn("list", list_of()))
         self.most, self.lists = list_rows, None
@@ -269,16 +289,14 @@ def fill_slots(
             "request_id",
         )
     )
-    best = exemplars.withColumn("_max", F.max("frequency").over(Window.partitionBy("template", "slot_name")))
-    shares = best.select("template", "slot_name", "atom_id", (F.col("frequency") / F.col("_max")).alias("exemplar_score"))
-    # one row per (template, slot, term)
-    shares = shares.groupBy("template", "slot_name", "atom_id").agg(F.max("exemplar_score").alias("exemplar_score"))
+    # one row per (template, slot, term); the largest of a slot is a row per slot, so no slot lies in one task
+    shown = cut_lineage(exemplars.groupBy("template", "slot_name", "atom_id").agg(F.max("frequency").alias("frequency")))
+    best = broadcast_if_small(shown.groupBy("template", "slot_name").agg(F.max("frequency").alias("_max")))
+    shares = shown.join(best, ["template", "slot_name"]).select("template", "slot_name", "atom_id", (F.col("frequency") / F.col("_max")).alias("exemplar_score"))
     # every round reads these, so each is worked out once
-    shares, pools, intents, profiles = (cut_lineage(df) for df in (shares, candidate_pools(atoms), intents, profiles))
-    affinity, resonance, opposed = (
-        cut_lineage(df) for df in (pair_affinity(relations), pair_resonance(edges), opposed_contexts(relations))
-    )
-    lists = SlotLists(plan, pools, shares, profiles, opposed, list_rows)
+    facts = cut_lineage(pool_facts(candidate_pools(atoms), shares, opposed_contexts(relations)))
+    intents, profiles, affinity, resonance = (cut_lineage(df) for df in (intents, profiles, pair_affinity(relations), pair_resonance(edges)))
+    lists = SlotLists(plan, facts, profiles, list_rows)
     none = F.lit(None).cast("array<struct<atom_id:string,score:double>>")
     filled = None
     schema = "request_id string, slot_name string, atom_id string, guidance string, score double, alternatives array<struct<atom_id:string,score:double>>"
