@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from lexweave.session import cut_lineage
 
+#: Rows of a partition that one task writes.
+WRITE_ROWS = 500_000
+
 
 def _path(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -43,7 +46,8 @@ def upsert_parts(
     Only the partitions that ``new`` has rows of are read and written: ``merge`` gets their
     old rows and the new ones. They are staged and put in place when the job commits, so a
     run that fails leaves the old table, and the files of the others keep their names. A
-    null ``part`` is a partition like any other.
+    null ``part`` is a partition like any other. A partition of many rows is dealt over
+    tasks that write about WRITE_ROWS each.
     """
     spark = new.sparkSession
     new = cut_lineage(new)
@@ -56,7 +60,10 @@ def upsert_parts(
         old = spark.read.schema(new.schema).parquet(folder).where(here | F.col(part).isNull() if None in touched else here)
         rows = cut_lineage(merge(old, new))
     if touched:
-        rows.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(folder)
+        salts = -(-rows.count() // WRITE_ROWS)
+        salt = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]), F.lit(max(1, salts)))
+        dealt = rows.withColumn("_salt", salt).repartition(len(touched) * max(1, salts), part, "_salt").drop("_salt")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(folder)
     return sorted(str(v) for v in touched)
 
 
