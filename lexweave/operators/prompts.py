@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.text import let, strip, text_key, words
 from lexweave.operators.postings import text_search
 from lexweave.operators.vectors import is_chunk_id, knn
+from lexweave.session import cut_lineage
 
 # Words and patterns of the term types.
 COLOR_WORDS = (
@@ -122,6 +123,8 @@ def audit_terms(
     frequent terms; each pass sees what the ones before left. Issues: several terms
     of one text, and a category the type does not expect.
     """
+    # every pass reads the terms, so they are worked out once
+    terms = cut_lineage(terms)
     live = atoms.filter(F.col("status") != "rejected")
     asked = terms.filter(~F.col("term_type").isin(SKIPPED_TYPES))
     exact = asked.select("term").distinct().join(live.select(F.col("text_lower").alias("term"), "id", "category_slug"), "term").select(

@@ -164,97 +164,32 @@ def test_block_products_hold_no_text_per_pair():
     assert out.num_rows == 200_000 and peak < 40 << 20
 
 
-def test_a_category_is_not_met_by_the_others(spark):
-    """Neighbours within 40 categories: far fewer pairs are multiplied than the square of the table, the same rows found."""
-    rng = np.random.default_rng(5)
-    rows = [(f"v{i:04}", [float(x) for x in rng.integers(-9, 9, 6)], f"c{i % 40}" if i % 7 else None) for i in range(1200)]
-    df = spark.createDataFrame(rows, "id string, vec array<float>, part string")
-    got = {(r.query_id, r.rank): (r.neighbour_id, r.score) for r in vectors.knn(df, df, 3, part_col="part", min_sim=0.2, block_rows=50).collect()}
-    mats = {p: [(i, np.array(v)) for i, v, q in rows if q == p] for p in {r[2] for r in rows} - {None}}
-    want = {}
-    for own in mats.values():
-        for i, v in own:
-            near = sorted((-round(float(v @ w / np.sqrt(v @ v * (w @ w))), 6), j) for j, w in own)
-            want.update({(i, n + 1): (j, -s) for n, (s, j) in enumerate(near[:3]) if -s >= 0.2})
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
-    part = F.col("part")
-    _, sizes = vectors._bucket_blocks(df.where(part.isNotNull()), df.where(part.isNotNull()), part, 50)
-    copies = sum(r._q_blocks * r._b_blocks for r in sizes.collect())
-    assert copies * 50 * 50 < 1200 * 1200 / 4
-
-
-def test_block_products_hold_no_text_per_pair():
-    """A block of 4000 x 4000 keeps 50 hits a row in under 40 MB beyond its inputs, where the texts of Python took 64."""
-    import tracemalloc
-
-    rng = np.random.default_rng(7)
-    ids = pa.array([f"atom-{i:08}" for i in range(4000)])
-    vec = pa.array(list(rng.normal(size=(4000, 16)).astype(np.float32)), pa.list_(pa.float32()))
-    table = pa.table({"id": ids, "vec": vec, "part": pa.array([""] * 4000)})
-    run = vectors._block_topk(50, None, False)
-    tracemalloc.start()
-    out = run(table, table)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert out.num_rows == 200_000 and peak < 40 << 20
-
-
-def test_no_slot_of_exemplars_lies_in_one_task(spark):
-    """A fill without a window over all exemplars of a slot; pairs are kept once and read from both ends."""
-    E = lambda rows, schema: spark.createDataFrame(rows, schema)
-    edges = E([("a", "b", "evokes", 0.5), ("b", "a", "resonates", 0.25), ("c", "c", "evokes", 0.5), ("a", None, "evokes", 1.0), ("a", "d", "opposes", 9.0)], "atom_a_id string, atom_b_id string, relationship_type string, strength double")
-    pairs = templates.pair_resonance(edges)
-    assert sorted((r.one, r.other or "", r.resonance) for r in pairs.collect()) == [("a", "", 1.0), ("a", "b", 0.75), ("c", "c", 1.0)]
-    chosen = E([("a",), ("c",)], "chosen_id string")
-    assert sorted((r.atom_id or "", r.chosen_id, r.resonance) for r in templates.from_both_ends(pairs, chosen).collect()) == [("", "a", 1.0), ("b", "a", 0.75), ("c", "c", 1.0)]
-    relations = E([("a", "b", "compositional", 1.0, 0.5, None), ("b", "a", "compositional", 1.0, 0.75, None), ("a", "b", "compositional", 1.0, 0.25, "x")], "source_atom_id string, target_atom_id string, relation_type string, strength double, confidence double, context string")
-    assert sorted(tuple(r) for r in templates.pair_affinity(relations).collect()) == [("a", "b", "", 0.75), ("a", "b", "x", 0.25)]
-    dims = ", ".join(f"{d} double" for d in templates.PROFILE)
-    pools = E([("a", "c", "visual", 1, *[0.5] * len(templates.PROFILE)), ("b", "c", "visual", 2, *[0.5] * len(templates.PROFILE))], f"atom_id string, category_slug string, pool string, tier int, {dims}")
-    shares = E([("t", "s", "a", 1.0), ("u", "s", "a", 0.5)], "template string, slot_name string, atom_id string, exemplar_score double")
-    facts = templates.pool_facts(pools, shares, E([("b", "p"), ("b", "q")], "atom_id string, context string"))
-    keys = E([("u", "s", "c", "visual", "p", None, False), ("t", "s", "c", "visual", None, "q", False), ("t", "z", "c", "visual", None, None, False)], "template string, slot_name string, category_filter string, pool string, arrangement string, mode_context string, has_intent boolean")
-    got = templates.fixed_scores(keys, facts, E([], f"slug string, {dims}"), by=["category_filter", "pool"])
-    assert sorted((r.template, r.slot_name, r.atom_id, round(r.fixed, 6), r.bad) for r in got.collect()) == [
-        ("t", "s", "a", 0.7, False), ("t", "s", "b", 0.12, True), ("t", "z", "a", 0.2, False), ("t", "z", "b", 0.12, False), ("u", "s", "a", 0.45, False), ("u", "s", "b", 0.12, True),
-    ]
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert sum("Join" in line for line in plan.splitlines()) <= 4
-
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "WRITE_ROWS", 100)
+    rows = spark.range(1000).select(F.col("id").alias("n"), F.when(F.col("id") < 950, "big").when(F.col("id") < 990, "small").alias("kind"), F.create_map(F.lit("k"), "id").alias("m"))
+    folder = str(tmp_path / "parts")
+    for _ in range(2):
+        folders.upsert_parts(rows, folder, "kind", lambda old, new: old.unionByName(new).groupBy("n", "kind").agg(F.first("m").alias("m")))
+        held = spark.read.parquet(folder).select("n", F.input_file_name().alias("f"), "kind")
+        assert held.count() == 1000
+        most = held.groupBy("f").count().agg(F.max("count")).first()[0]
+        assert most <= 250, most
 
-def test_a_category_is_not_met_by_the_others(spark):
-    """Neighbours within 40 categories: far fewer pairs are multiplied than the square of the table, the same rows found."""
-    rng = np.random.default_rng(5)
-    rows = [(f"v{i:04}", [float(x) for x in rng.integers(-9, 9, 6)], f"c{i % 40}" if i % 7 else None) for i in range(1200)]
-    df = spark.createDataFrame(rows, "id string, vec array<float>, part string")
-    got = {(r.query_id, r.rank): (r.neighbour_id, r.score) for r in vectors.knn(df, df, 3, part_col="part", min_sim=0.2, block_rows=50).collect()}
-    mats = {p: [(i, np.array(v)) for i, v, q in rows if q == p] for p in {r[2] for r in rows} - {None}}
-    want = {}
-    for own in mats.values():
-        for i, v in own:
-            near = sorted((-round(float(v @ w / np.sqrt(v @ v * (w @ w))), 6), j) for j, w in own)
-            want.update({(i, n + 1): (j, -s) for n, (s, j) in enumerate(near[:3]) if -s >= 0.2})
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
-    part = F.col("part")
-    _, sizes = vectors._bucket_blocks(df.where(part.isNotNull()), df.where(part.isNotNull()), part, 50)
-    copies = sum(r._q_blocks * r._b_blocks for r in sizes.collect())
-    assert copies * 50 * 50 < 1200 * 1200 / 4
 
+def test_shared_passes_are_worked_out_once(spark):
+    """The terms of an audit and the neighbours of a pass are read by many steps, but made once."""
+    seen = spark.sparkContext.accumulator(0)
 
-def test_block_products_hold_no_text_per_pair():
-    """A block of 4000 x 4000 keeps 50 hits a row in under 40 MB beyond its inputs, where the texts of Python took 64."""
-    import tracemalloc
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
 
-    rng = np.random.default_rng(7)
-    ids = pa.array([f"atom-{i:08}" for i in range(4000)])
-    vec = pa.array(list(rng.normal(size=(4000, 16)).astype(np.float32)), pa.list_(pa.float32()))
-    table = pa.table({"id": ids, "vec": vec, "part": pa.array([""] * 4000)})
-    run = vectors._block_topk(50, None, False)
-    tracemalloc.start()
-    out = run(table, table)
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert out.num_rows == 200_000 and peak < 40 << 20
+    terms = spark.createDataFrame([(t, "core", 3) for t in ("red bolt", "bolt", "rust")], "term string, term_type string, images int").withColumn("term", counted("term"))
+    atoms = spark.createDataFrame([("a1", "red bolt", "red bolt", "confirmed", "style.genre")], "id string, text string, text_lower string, status string, category_slug string")
+    out = prompts.audit_terms(terms, atoms).collect()
+    assert {(r.term, r.status, r.via) for r in out} == {("red bolt", "found", "exact"), ("bolt", "found", "search"), ("rust", "missing", None)}
+    assert seen.value == 3
 
 
 def test_no_slot_of_exemplars_lies_in_one_task(spark):
@@ -278,15 +213,3 @@ def test_no_slot_of_exemplars_lies_in_one_task(spark):
     ]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join" in line for line in plan.splitlines()) <= 4
-
-
-def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(folders, "WRITE_ROWS", 100)
-    rows = spark.range(1000).select(F.col("id").alias("n"), F.when(F.col("id") < 950, "big").when(F.col("id") < 990, "small").alias("kind"), F.create_map(F.lit("k"), "id").alias("m"))
-    folder = str(tmp_path / "parts")
-    for _ in range(2):
-        folders.upsert_parts(rows, folder, "kind", lambda old, new: old.unionByName(new).groupBy("n", "kind").agg(F.first("m").alias("m")))
-        held = spark.read.parquet(folder).select("n", F.input_file_name().alias("f"), "kind")
-        assert held.count() == 1000
-        most = held.groupBy("f").count().agg(F.max("count")).first()[0]
-        assert most <= 250, most
