@@ -11,6 +11,7 @@ from lexweave.functions.maths import cosine
 from lexweave.functions.sizing import attach_packed
 from lexweave.operators.edges import edge_degree, isolated_edges
 from lexweave.operators.vectors import is_chunk_id, knn
+from lexweave.session import cut_lineage
 
 # Neighbour counts, vote counts and similarity bands.
 TAG_NEIGHBOURS = 15
@@ -42,6 +43,8 @@ def propagate_tags(
     near = knn(vectors if queries is None else queries, vectors, k, min_sim=min_sim).filter(
         (F.col("query_id") != F.col("neighbour_id")) & ~is_chunk_id("neighbour_id")
     )
+    # read by the votes and by their number
+    near = cut_lineage(near)
     size = near.groupBy("query_id").agg(F.count("*").alias("neighbours"))
     tags = atom_tags.select(F.col("atom_id").alias("neighbour_id"), "tag_id")
     return (
@@ -172,12 +175,13 @@ def connectivity_pass(
 ) -> DataFrame:
     """Counters of one pass over ``batch`` (ids): what would be written, by kind.
 
-    Rows that are already present do not count, as with an insert-or-ignore.
+    Rows that are already present do not count, as with an insert-or-ignore. What more than
+    one counter reads is worked out once.
     """
-    degree = edge_degree(edges)
-    flags = needs_work(batch, vectors, atom_tags, memberships, degree, min_edges)
-    work = vectors.join(flags.filter(F.col("outcome") == "processed").select("id"), "id", "left_semi")
-    tags = propagate_tags(vectors, atom_tags, queries=work, min_sim=tag_sim)
+    degree = cut_lineage(edge_degree(edges))
+    flags = cut_lineage(needs_work(batch, vectors, atom_tags, memberships, degree, min_edges))
+    work = cut_lineage(vectors.join(flags.filter(F.col("outcome") == "processed").select("id"), "id", "left_semi"))
+    tags = cut_lineage(propagate_tags(vectors, atom_tags, queries=work, min_sim=tag_sim))
     poles = score_memberships(
         work,
         centroids(memberships, vectors),
@@ -186,6 +190,7 @@ def connectivity_pass(
         band_low=band_low,
         band_high=band_high,
     )
+    poles = cut_lineage(poles)
     # only the lonely terms of the batch look for edges, but against every vector
     busy = degree.filter(F.col("degree") >= min_edges).select("id")
     lonely = work.join(busy, "id", "left_anti")

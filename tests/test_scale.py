@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import arrangements, audits, joins, postings, prompts, resolve, templates, vector_index, vectors
+from lexweave.operators import arrangements, audits, connectivity, joins, postings, prompts, resolve, templates, vector_index, vectors
 from lexweave.plans.registry import Inputs
 from lexweave.plans.streams import stream_of
 from lexweave.sources import folders
@@ -213,3 +213,15 @@ def test_no_slot_of_exemplars_lies_in_one_task(spark):
     ]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join" in line for line in plan.splitlines()) <= 4
+
+
+def test_neighbours_of_a_pass_are_found_once(spark):
+    """Applied and ambiguous tags, and the number of neighbours, come from one search; only that for edges is left in the plan."""
+    rows = spark.createDataFrame([(f"v{i}", [1.0, i / 10]) for i in range(8)], "id string, vec array<float>")
+    tags = spark.createDataFrame([(f"v{i}", "t") for i in range(5)], "atom_id string, tag_id string")
+    poles = spark.createDataFrame([(f"v{i}", "x", "low" if i < 4 else "high") for i in range(8)], "atom_id string, axis_slug string, pole string")
+    edges = spark.createDataFrame([], "atom_a_id string, atom_b_id string, relationship_type string, arrangement_scope string, provenance string")
+    out = connectivity.connectivity_pass(rows.select("id"), rows, tags, poles, edges)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("CoGroups") == 1
+    got = {r.counter: r.n for r in out.collect()}
+    assert got["atoms_processed"] == 8 and got["tags_applied"] == 3 and got["edges_created"] == 28
