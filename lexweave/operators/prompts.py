@@ -33,6 +33,8 @@ QUALITY_PATTERNS = [
     r"\buhd image\b", r"\b\d+k uhd\b", r"\b\d+k resolution\b",
     r"\b\d{3,4}x\d{3,4}\b", r"\bhyperrealistic\b", r"\bultra hd\b",
 ]
+#: Every text that a quality pattern matches holds one of these.
+QUALITY_MARKS = ["uhd", "32k", "8k", "4k", "hdr", "detail", "realistic", "k resolution", "x", "ultra hd"]
 RENDERING_ENGINES = [
     "unreal engine", "octane render", "cinema 4d", "v-ray", "blender",
     "unity engine", "cryengine", "ray tracing",
@@ -46,6 +48,7 @@ EXPECTED_CATEGORIES = {
 }
 SKIPPED_TYPES = ["film_stock", "camera_body", "quality_booster", "rendering_engine"]
 SEARCHED_TYPES = ["core", "punk", "wave"]
+STYLE = "in the style of"
 ARTIST = r"(?i)in the style of\s+([^,]+)"
 
 
@@ -67,7 +70,7 @@ def _kind(s: Column) -> Column:
         .when(ends("punk"), "punk")
         .when(ends("wave"), "wave")
         .when(_some(s, RENDERING_ENGINES), "rendering_engine")
-        .when(F.rlike(s, F.lit("|".join(QUALITY_PATTERNS))), "quality_booster")
+        .when(_some(s, QUALITY_MARKS) & F.rlike(s, F.lit("|".join(QUALITY_PATTERNS))), "quality_booster")
         .when(_some(s, FILM_STOCKS), "film_stock")
         .when(_some(s, CAMERA_BODIES), "camera_body")
         .when(colors, "color_pair")
@@ -98,13 +101,13 @@ def extract_terms(prompts: DataFrame) -> DataFrame:
 
     styles = F.regexp_extract_all("prompt", F.lit(ARTIST), F.lit(1))
     artists = F.transform(F.transform(styles, typed_term), artist)
-    parts = F.filter(F.split("prompt", ","), lambda s: ~F.rlike(strip(s), F.lit(r"(?i)^in the style of")))
+    parts = F.filter(F.split("prompt", ","), lambda s: F.lower(F.left(strip(s), F.lit(len(STYLE)))) != STYLE)
     typed = F.filter(
         F.concat(artists, F.transform(parts, typed_term)), lambda t: t["term_type"].isNotNull() & (F.length(t["term"]) >= 2)
     )
-    return prompts.select("prompt_id", "image_id", F.explode(typed).alias("t")).select(
-        "prompt_id", "image_id", "t.term", "t.term_type"
-    )
+    # an inner explode makes Spark type every segment again in a filter on the array's size
+    rows = prompts.select("prompt_id", "image_id", F.explode_outer(typed).alias("t")).filter(F.col("t.term_type").isNotNull())
+    return rows.select("prompt_id", "image_id", "t.term", "t.term_type")
 
 
 def audit_terms(

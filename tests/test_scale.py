@@ -215,6 +215,16 @@ def test_no_slot_of_exemplars_lies_in_one_task(spark):
     assert sum("Join" in line for line in plan.splitlines()) <= 4
 
 
+def test_segments_are_typed_once(spark):
+    """No filter types the segments a second time; texts of every quality pattern keep their type."""
+    marked = ["uhd", "32k", "8K", "4k", "hdr", "high detail", "ultra detailed", "photorealistic", "uhd image", "12k uhd", "6k resolution", "800x600", "hyperrealistic", "ultra hd"]
+    rows = [(f"p{i}", i, f"red bolt, {m} scene, IN THE STYLE OF Someone, in the style") for i, m in enumerate(marked)] + [("q", 99, "plain, 8kg, box"), ("n", 100, None)]
+    out = prompts.extract_terms(spark.createDataFrame(rows, "prompt_id string, image_id int, prompt string"))
+    assert "size(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {(f"p{i}", f"{m.lower()} scene", "quality_booster") for i, m in enumerate(marked)} | {(f"p{i}", "someone", "artist") for i in range(len(marked))}
+    assert {(r.prompt_id, r.term, r.term_type) for r in out.collect()} == want
+
+
 def test_neighbours_of_a_pass_are_found_once(spark):
     """Applied and ambiguous tags, and the number of neighbours, come from one search; only that for edges is left in the plan."""
     rows = spark.createDataFrame([(f"v{i}", [1.0, i / 10]) for i in range(8)], "id string, vec array<float>")
