@@ -170,5 +170,6 @@ def creators(films: DataFrame) -> tuple[DataFrame, DataFrame]:
         "film_id", F.trim("p.name").alias("name"), F.col("p.role").alias("role")
     ).filter(F.col("name") != "")
     rows = rows.withColumn("creator_id", sha_key(F.lower("name"), "role"))
-    people = rows.groupBy("creator_id").agg(F.min("name").alias("name"), F.min("role").alias("role"))
+    # a task holds distinct rows, not all rows, where minima of texts would be sorted
+    people = rows.select("creator_id", "name", "role").distinct().groupBy("creator_id").agg(F.min("name").alias("name"), F.min("role").alias("role"))
     return people, rows.select("film_id", "creator_id").distinct()
