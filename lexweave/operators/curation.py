@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.maths import DIMENSIONS
+from lexweave.functions.sizing import tasks_for
 from lexweave.functions.text import sha_key, text_key
 from lexweave.operators.joins import resolve_edge_names
 from lexweave.operators.predicates import AtomFilter, CANDIDATE_SCHEMA
@@ -236,7 +237,8 @@ def review_candidates(
     needs both names; a term keeps its category only when that exists. Rows that
     were reviewed before fail.
     """
-    rows = actions.join(candidates, "id", "left").withColumn("d", F.from_json("candidate_data", CANDIDATE_SCHEMA))
+    tasks = tasks_for(actions, candidates)
+    rows = actions.repartition(tasks, "id").join(candidates.repartition(tasks, "id"), "id", "left").withColumn("d", F.from_json("candidate_data", CANDIDATE_SCHEMA))
     pending = F.coalesce(F.col("status") == "pending", F.lit(False))
     approve = F.col("action") == "approve"
     new_atoms = rows.filter(pending & approve & (F.col("candidate_type") == "atom")).select(
@@ -245,7 +247,7 @@ def review_candidates(
     pool = atoms.select("id", "text_lower").unionByName(new_atoms)
     cats = categories.select(F.col("slug").alias("_cat"), F.lit(True).alias("_known"))
     rows = rows.withColumns({"_cat": F.col("d.suggested_category"), "source_name": F.col("d.source_name"), "target_name": F.col("d.target_name")})
-    rows = resolve_edge_names(rows.join(cats, "_cat", "left"), pool)
+    rows = resolve_edge_names(rows.join(cats, "_cat", "left"), pool, tasks=tasks)
     edge = F.col("candidate_type") == "correspondence"
     error = (
         F.when(F.col("candidate_type").isNull(), "not_found")

@@ -200,14 +200,21 @@ def relations_touching(relations: DataFrame, slugs: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
-def resolve_edge_names(candidates: DataFrame, atoms: DataFrame) -> DataFrame:
+def resolve_edge_names(candidates: DataFrame, atoms: DataFrame, *, tasks: int | None = None) -> DataFrame:
     """Named edges (source_name, target_name) with both ids and a status that says
-    which side is unknown."""
+    which side is unknown; looked up in ``tasks`` tasks, if given. Rows without a name are dealt evenly."""
     best = atoms.groupBy("text_lower").agg(F.min("id").alias("id"))
     out = candidates.withColumn("_s", text_key("source_name")).withColumn("_t", text_key("target_name"))
-    out = out.join(best.select(F.col("text_lower").alias("_s"), F.col("id").alias("source_id")), "_s", "left")
-    out = out.join(best.select(F.col("text_lower").alias("_t"), F.col("id").alias("target_id")), "_t", "left")
-    return out.drop("_s", "_t").withColumn(
+    # rows without a name are dealt evenly, and what they meet does not count
+    place = F.concat(F.lit("\0"), F.xxhash64(*[c for c, kind in candidates.dtypes if "map<" not in kind]).cast("string"))
+    for key, found in (("_s", "source_id"), ("_t", "target_id")):
+        out = out.withColumn("_key", F.coalesce(key, place))
+        known = best.select(F.col("text_lower").alias("_key"), F.col("id").alias(found))
+        if tasks:
+            out, known = out.repartition(tasks, "_key"), known.repartition(tasks, "_key")
+        out = out.join(known, "_key", "left")
+        out = out.withColumn(found, F.when(F.col(key).isNotNull(), F.col(found)))
+    return out.drop("_s", "_t", "_key").withColumn(
         "resolution",
         F.when(F.col("source_id").isNull() & F.col("target_id").isNull(), "both_unknown")
         .when(F.col("source_id").isNull(), "source_unknown")

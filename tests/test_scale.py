@@ -5,7 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import arrangements, audits, connectivity, joins, postings, prompts, resolve, templates, vector_index, vectors
+from lexweave.functions import sizing
+from lexweave.operators import arrangements, audits, connectivity, joins, lifecycle, postings, prompts, resolve, templates, vector_index, vectors
+from lexweave.plans import rollups
 from lexweave.plans.registry import Inputs
 from lexweave.plans.streams import stream_of
 from lexweave.sources import folders
@@ -235,3 +237,36 @@ def test_neighbours_of_a_pass_are_found_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("CoGroups") == 1
     got = {r.counter: r.n for r in out.collect()}
     assert got["atoms_processed"] == 8 and got["tags_applied"] == 3 and got["edges_created"] == 28
+
+
+def most_in_a_task(df):
+    """Rows of the fullest partition and of all."""
+    sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    return max(sizes), sum(sizes)
+
+
+def test_creators_of_many_films(spark, tmp_path, monkeypatch):
+    """The tasks that hold the people of films grow in number with the lines; names count once for a creator."""
+    monkeypatch.setattr(sizing, "TASK_ROWS", 50)
+    spark.range(2000).select((F.col("id") % 500).alias("l_orderkey"), (F.col("id") % 7).alias("l_suppkey"), (F.col("id") % 2 + 1).cast("int").alias("l_linenumber")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = rollups.creators(Inputs(spark, str(tmp_path)))
+    want = {(f"Supplier {s}", r): len({i % 500 for i in range(2000) if i % 7 == s and (i % 2 == 0) == (r == "director")}) for s in range(7) for r in ("director", "cast")}
+    assert {(r.name, r.role): r.films for r in out.collect()} == want
+    assert "hashpartitioning(l_orderkey" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 40), REPARTITION_BY_NUM" in plan
+    people, links = lifecycle.creators(spark.createDataFrame([(1, [(" Bo", "cast"), ("bo", "cast"), ("", "cast")]), (1, [("BO ", "cast")])], "film_id int, people array<struct<name:string,role:string>>"))
+    assert [(r.name, r.role) for r in people.collect()] == [("BO", "cast")] and links.count() == 1
+
+
+def test_names_that_are_missing_are_dealt_evenly(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") < 10, F.concat(F.lit("N"), "id")).alias("source_name"), F.when(F.col("id") == 3, "n4").alias("target_name"))
+    atoms = spark.createDataFrame([("a4", "n4"), ("b4", "n4"), ("a3", "n3"), ("x", None), ("z", "\0")], "id string, text_lower string")
+    with_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.resolve_edge_names(rows, atoms, tasks=20)
+        most, n = most_in_a_task(out)
+        found = {r.id: (r.source_id, r.target_id, r.resolution) for r in out.where("resolution <> 'both_unknown'").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
+    assert n == 4000 and most < 500
+    assert found == {3: ("a3", "a4", "resolved"), 4: ("a4", None, "target_unknown")}
