@@ -39,6 +39,10 @@ VERBATIM = 8
 #: Words of the passages that are counted by a product of matrices, and up to which count.
 COMMON = 128
 LEVELS = 4
+#: Hashed words, those in the most documents, to which rows are added by a product of matrices.
+OFTEN = 256
+#: Hashed words of a matrix that leave a task in one batch.
+SOME = 4096
 
 
 @dataclass
@@ -114,6 +118,11 @@ def blocks_of(words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(at < first[doc + 1][:, None], at, -1), doc, head
 
 
+def block_of(words: W.Words, head: np.ndarray) -> np.ndarray:
+    """Block of each word; ``head`` as ``blocks_of`` gives it."""
+    return head[words.doc] + (np.arange(len(words.doc)) - words.first()[words.doc]) // BLOCK
+
+
 def windows_of(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First block of each window and whether a second one follows: neighbours, or a lone block."""
     pair = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.zeros(0, bool)
@@ -151,9 +160,41 @@ def _rows_of(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix.astype("<f4").tobytes())])
 
 
-def _some_rows(matrix: np.ndarray) -> pa.RecordBatch:
-    some = np.flatnonzero(matrix.any(axis=1))
-    return pa.RecordBatch.from_arrays([pa.array(some), _rows_of(matrix[some])], names=["f", "v"])
+def _some_rows(matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(matrix), SOME):
+        some = lo + np.flatnonzero(matrix[lo : lo + SOME].any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), _rows_of(matrix[some])], names=["f", "v"])
+
+
+def summed_blocks(matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows of ``matrix`` of each block of hashed words, summed; few blocks at a time stay in the cache."""
+    out = np.zeros((len(at), matrix.shape[1]), matrix.dtype)
+    for lo in range(0, len(at), 128):
+        matrix.take(at[lo : lo + 128], axis=0).sum(axis=1, out=out[lo : lo + 128])
+    return out
+
+
+class WordSums:
+    """Rows by block of words, summed by hashed word.
+
+    The ``OFTEN`` words of the lowest inverse document frequency, a good part of all
+    occurrences, are counted by block and multiplied; the others are added one by one.
+    """
+
+    def __init__(self, idf: np.ndarray):
+        self.words = np.argsort(idf, kind="stable")[:OFTEN]
+        self.place = np.full(len(idf), -1)
+        self.place[self.words] = np.arange(len(self.words))
+
+    def add(self, f: np.ndarray, block: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+        """Add ``rows``, one for each block, to the columns of ``out``, one for each hashed word, where ``f`` are the words and ``block`` their blocks."""
+        at = self.place[f]
+        often, width = at >= 0, len(self.words)
+        count = np.bincount(block[often] * width + at[often], minlength=len(rows) * width).reshape(-1, width)
+        out[:, self.words] += rows.T @ count.astype(np.float32)
+        f, block = f[~often], block[~often]
+        for own, total in zip(np.ascontiguousarray(rows.T), out):
+            total += np.bincount(f, own.take(block), minlength=len(total))
 
 
 def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -182,7 +223,7 @@ def product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
             for f, x, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 f, x = np.array(f, np.int64), np.array(x)
                 out[f] += np.outer(w * x, x @ shared.value[f])
-        yield _some_rows(out)
+        yield from _some_rows(out)
 
     total = _summed(rows.mapInArrow(run, "f long, v binary"), (1 << BITS, right.shape[1]))
     shared.destroy()
@@ -201,18 +242,19 @@ def corpus_product(texts: DataFrame, idf: np.ndarray, right: np.ndarray) -> tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted, idf = shared.value
+        words = WordSums(idf)
         # an empty place of a block is a word without weight
-        idf, right = np.append(idf, np.float32(0)), np.vstack([weighted * idf[:, None], np.zeros((1, width), np.float32)])
-        out, n = np.zeros(((1 << BITS) + 1, width)), 0
+        square, right = np.append(idf**2, np.float32(0)), np.vstack([weighted * idf[:, None], np.zeros((1, width), np.float32)])
+        out, n = np.zeros((width, 1 << BITS)), 0
         for batch in batches:
-            for lo, hi in W.slices(batch.column(0), 1 << 18):
+            for lo, hi in W.slices(batch.column(0)):
                 w = hashed(batch.column(0).slice(lo, hi - lo))
                 at, doc, head = blocks_of(w)
                 if not len(doc):
                     continue
                 f = feature(w.hash)
                 held = np.append(f, 1 << BITS)[at]
-                sums, squares = right[held].sum(axis=1), (idf[held] ** 2).sum(axis=1)
+                sums, squares = summed_blocks(right, held), square[held].sum(axis=1)
                 lead, pair = windows_of(doc)
                 after = np.minimum(lead + 1, len(doc) - 1)
                 along = sums[lead] + np.where(pair[:, None], sums[after], 0)
@@ -220,15 +262,12 @@ def corpus_product(texts: DataFrame, idf: np.ndarray, right: np.ndarray) -> tupl
                 back = np.zeros_like(sums)
                 back[lead] += along
                 back[lead[pair] + 1] += along[pair]
-                # occurrences by block and word, as a matrix of few blocks
-                for begin in range(0, len(doc), 1024):
-                    own, to = np.unique(held[begin : begin + 1024], return_inverse=True)
-                    cells = np.arange(len(held[begin : begin + 1024]))[:, None] * len(own) + to.reshape(-1, BLOCK)
-                    count = np.bincount(cells.ravel(), minlength=len(held[begin : begin + 1024]) * len(own)).reshape(-1, len(own))
-                    out[own] += idf[own, None] * (count.T.astype(np.float32) @ back[begin : begin + 1024])
+                words.add(f, block_of(w, head), back, out)
                 n += len(lead)
-        out[-1] = n
-        yield _some_rows(out)
+        for lo in range(0, 1 << BITS, SOME):
+            for rows in _some_rows(out[:, lo : lo + SOME].T * idf[lo : lo + SOME, None]):
+                yield rows.set_column(0, "f", pa.array(rows.column(0).to_numpy() + lo))
+        yield pa.RecordBatch.from_arrays([pa.array([1 << BITS]), _rows_of(np.full((1, width), n))], names=["f", "v"])
 
     parts = texts.coalesce(4 * sc.defaultParallelism).mapInArrow(run, "f long, v binary")
     total = _summed(parts, ((1 << BITS) + 1, width))
@@ -356,7 +395,8 @@ class SharedWords:
         self.n = len(passages)
         size = np.array([len(p) for p in passages], np.int64)
         self.need = np.where(size < VERBATIM, np.inf, np.ceil(min(rules.paraphrase, rules.same) * size - 1e-9)).astype(np.float32)
-        own = np.flatnonzero(size >= VERBATIM)
+        self.is_short = size < VERBATIM
+        own = np.flatnonzero(~self.is_short)
         col, code, count = W.multiset(np.repeat(own, size[own]), np.concatenate([passages[j] for j in own] or [np.zeros(0, np.uint64)]))
         self.words, word = np.unique(code, return_inverse=True)
         held = np.bincount(word, minlength=len(self.words))
@@ -423,7 +463,7 @@ class Finder:
 
     def __init__(self, basis: np.ndarray, idf: np.ndarray, items: Items, rules: Rules):
         self.items, self.rules = items, rules
-        self.project = np.vstack([(basis * idf[:, None]), np.zeros(basis.shape[1])]).astype(np.float32)
+        self.project = np.ascontiguousarray(np.vstack([(basis * idf[:, None]), np.zeros(basis.shape[1])]), np.float32)
         self.square = np.append(idf**2, 0).astype(np.float32)
         q = np.array([self.project[feature(w)].sum(axis=0) for w in items.words]).reshape(len(items.words), basis.shape[1])
         self.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -437,7 +477,7 @@ class Finder:
         if not len(doc) or not self.items.rows:
             return []
         f = np.append(feature(words.hash), 1 << BITS)[at]
-        sums, squares = self.project[f].sum(axis=1), self.square[f].sum(axis=1)
+        sums, squares = summed_blocks(self.project, f), self.square[f].sum(axis=1)
         lead, pair = windows_of(doc)
         vector = sums[lead] + np.where(pair[:, None], sums[np.minimum(lead + 1, len(sums) - 1)], 0)
         size = np.sqrt(squares[lead] + np.where(pair, squares[np.minimum(lead + 1, len(sums) - 1)], 0))
@@ -446,7 +486,7 @@ class Finder:
         # the cosine from which on both rules hold
         least = np.maximum(self.rules.cosine, self.rules.part * size / np.maximum(along, 1e-9))
         first = words.first()
-        block = head[words.doc] + (np.arange(len(words.doc)) - first[words.doc]) // BLOCK
+        block = block_of(words, head)
         known = self.shared.known(words, block)
         # the blocks of the words that are verified
         opens, closes = np.maximum(lead - 1, head[doc[lead]]), np.minimum(lead + 3, np.append(head, len(doc))[doc[lead] + 1])
@@ -456,8 +496,10 @@ class Finder:
         step = max(1, 4_000_000 // len(self.queries))
         for lo in range(0, len(vector), step):
             cosine = vector[lo : lo + step] @ self.queries.T
-            near = cosine >= least[lo : lo + step, None]
-            more = self.shared.enough(*known, opens[lo : lo + step], closes[lo : lo + step]) & ~near
+            enough = self.shared.enough(*known, opens[lo : lo + step], closes[lo : lo + step])
+            # without enough shared words no common subsequence is long enough
+            near = (cosine >= least[lo : lo + step, None]) & (enough | self.shared.is_short)
+            more = enough & ~near
             here = (stands >= lo) & (stands < lo + step)
             near[stands[here] - lo, passage[here]] = True
             near |= more

@@ -211,3 +211,30 @@ def test_all_windows_are_factored(spark):
     assert n == windows and np.allclose(got, want, atol=1e-3)
     factor = D.corpus_factor(df, idf, rank=64, extra=8)
     assert factor.shape == (1 << D.BITS, 72) or factor.shape[1] <= 72
+
+
+def test_rows_are_summed_by_word():
+    """Frequent and other words alike, a word many times in a block, an empty block."""
+    rng = np.random.default_rng(0)
+    idf = rng.random(1 << D.BITS)
+    f, block = rng.integers(0, 1 << D.BITS, 900) % 40 * 800, np.sort(rng.integers(0, 30, 900))
+    f[:300] = np.argsort(idf)[:300]
+    rows, out, want = rng.random((31, 5)).astype(np.float32), np.zeros((5, 1 << D.BITS)), np.zeros((1 << D.BITS, 5))
+    np.add.at(want, f, rows[block])
+    D.WordSums(idf).add(f, block, rows, out)
+    assert np.allclose(out.T, want, atol=1e-4)
+    parts = list(D._some_rows(want))
+    assert max(p.num_rows for p in parts) <= D.SOME and len(parts) == (1 << D.BITS) // D.SOME
+    assert np.concatenate([p.column(0).to_numpy() for p in parts]).tolist() == np.flatnonzero(want.any(axis=1)).tolist()
+
+
+def test_only_passages_with_enough_shared_words_are_verified(monkeypatch):
+    """All are near in a space of one direction; one shares its words."""
+    said = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(20)]
+    items = D.Items(pa.array(range(20)), list(range(20)), [D.hashed(pa.array([t])).hash for t in said], [D.hashed(pa.array([t])).hash[-6:] for t in said])
+    met, found_in = [], D.Passage.found_in
+    monkeypatch.setattr(D.Passage, "found_in", lambda self, *a: met.append(self) or found_in(self, *a))
+    finder = D.Finder(np.ones((1 << D.BITS, 1)), np.ones(1 << D.BITS), items, Rules())
+    out = finder(pa.array(["other " * 70 + said[7], "nothing of it " * 20]))
+    assert {(d, j, s) for d, j, s, *_ in out} == {(0, 7, 1.0)}
+    assert met and all(p is finder.passages[7] for p in met)
