@@ -2,6 +2,7 @@
 
 import random
 
+from lexweave.operators import audits
 from lexweave.operators.audits import neighbourhood
 from lexweave.operators.clusters import least_label, name_clusters
 from lexweave.operators.curation import bucket_concepts
@@ -47,3 +48,28 @@ def test_neighbourhood_of_hubs(spark):
         assert {tuple(r) for r in neighbourhood(frame, start, 3, split=split).collect()} == want
     bound = {tuple(r) for r in neighbourhood(frame, start, 2, max_degree=50, split=20).collect()}
     assert ("s", "hub", 1, True) in bound and ("s", "h001", 1, False) in bound and not any(r[0] == "s" and r[1] == "h002" for r in bound)
+
+
+def test_paths_are_not_moved_as_rows(spark, monkeypatch):
+    """The starts of a term move in lists; they are told apart where the lists meet."""
+    monkeypatch.setattr(audits, "PACK_ROWS", 3)
+    monkeypatch.setattr(audits, "PATHS", 40)
+    rng = random.Random(5)
+    edges = [(f"m{rng.randrange(12)}", f"n{rng.randrange(60)}") for _ in range(300)] + [("m1", "m1"), ("m2", None), ("n3", None)]
+    asked = [f"n{i}" for i in range(0, 60, 2)] + ["m1", "n4", "none", None]
+    frame = spark.createDataFrame(edges, "atom_a_id string, atom_b_id string")
+    graph = {}
+    for a, b in edges:
+        graph.setdefault(a, set()).add(b)
+        graph.setdefault(b, set()).add(a)
+    want = {(None, None, 0)}
+    for s in filter(None, asked):
+        one = graph.get(s, set()) - {s}
+        # nothing is reached from a null id, which is told apart from no other
+        two = {m for x in one if x for m in graph[x] if m is None or m not in one | {s}}
+        want |= {(s, s, 0), *((s, n, 1) for n in one), *((s, n, 2) for n in two)}
+    for split in (10_000, 7):
+        out = neighbourhood(frame, spark.createDataFrame([(s,) for s in asked], "id string"), split=split)
+        rows = [tuple(r) for r in out.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+        assert "hashpartitioning(start_id" not in out._jdf.queryExecution().executedPlan().toString()
