@@ -1,5 +1,8 @@
 """Tables in many files, frequent keys and many copies: whole results without a row per pair."""
 
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -270,3 +273,46 @@ def test_names_that_are_missing_are_dealt_evenly(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
     assert n == 4000 and most < 500
     assert found == {3: ("a3", "a4", "resolved"), 4: ("a4", None, "target_unknown")}
+
+
+def moved_rows(plan) -> int:
+    """Rows written to the shuffles of an executed plan."""
+    name = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else None
+    if inner is not None:
+        return moved_rows(inner)
+    own = plan.metrics().get("shuffleRecordsWritten")
+    children = plan.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(moved_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_tokens_away_from_pairs_are_not_moved(spark):
+    known = ["ka kb", "kb kc", "kc kd", "x", "x y", "bolt"]
+    atoms = spark.createDataFrame([(f"i {k}", k, "confirmed") for k in known], "id string, text_lower string, status string")
+    rng = random.Random(9)
+    texts = ["a b c d a b", "b c d", "a b a b", "", "the, of", "x Y x", "bolting bolt", None, "a, b; c (d)\n\tb c"]
+    texts += [" ".join(rng.choice(["ka", "kb", "kc", "kd", "x", "y", "bolted"]) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts += [" ".join(["plain"] * 200 + ["x", "y"])] * 20
+
+    def resolved(text):
+        words = [w for w in re.split(r"[^\w'-]+", (text or "").lower()) if w and w not in resolve.STOP_WORDS]
+        out, inside = [], False
+        for i, w in enumerate(words):
+            pair = " ".join(words[i : i + 2])
+            take = not inside and i + 1 < len(words) and pair in known
+            stem = next((w[: -len(s)] for s in resolve.STEM_SUFFIXES if w.endswith(s) and w[: -len(s)] in known and len(w) - len(s) > 2), None)
+            hit = f"i {pair}" if take else None if inside else f"i {w}" if w in known else f"i {stem}" if stem else None
+            out.append((i, w, "consumed" if inside else None if hit is None else "exact" if take or w in known else "prefix", hit))
+            inside = take
+        return out or [(None, None, None, None)]
+
+    rows = [(f"p{i}", t) for i, t in enumerate(texts)]
+    out = resolve.resolve_phrases(spark.createDataFrame(rows, "phrase_id string, phrase string"), atoms).select("phrase_id", "pos", "token", "match_type", "atom_id")
+    got = out.collect()
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got)) == sorted(key((p, *r)) for p, t in rows for r in resolved(t))
+    assert moved_rows(out._jdf.queryExecution().executedPlan()) < 600 < len(got)
+    # the rows of one id are looked at together, in the order of their words
+    twice = spark.createDataFrame([("p", "x y z")] * 2 + [(None, "x y"), (None, "z x y")], "phrase_id string, phrase string")
+    got = resolve.resolve_phrases(twice, atoms).where("phrase_id = 'p'")
+    assert sorted((r.pos, r.match_type or "") for r in got.collect()) == [(0, "exact"), (0, "exact"), (1, ""), (1, "consumed"), (2, ""), (2, "")]
