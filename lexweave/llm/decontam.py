@@ -41,6 +41,8 @@ COMMON = 128
 LEVELS = 4
 #: Hashed words, those in the most documents, to which rows are added by a product of matrices.
 OFTEN = 256
+#: Pairs of a window and a passage, about, that are weighed at a time.
+CELLS = 50_000
 #: Hashed words of a matrix that leave a task in one batch.
 SOME = 4096
 
@@ -408,10 +410,19 @@ class SharedWords:
         for k in range(LEVELS):
             more = count[often] - k
             levels[k, self.common[word[often]], col[often]] = np.maximum(more, 0) if k == LEVELS - 1 else more > 0
-        self.levels = levels.reshape(LEVELS * COMMON, self.n)
+        levels = levels.reshape(LEVELS * COMMON, self.n)
+        used = np.flatnonzero(levels.any(axis=1))
+        self.levels, self.above, self.counted = levels[used], (used // COMMON).astype(np.uint8), used % COMMON
         by_word = np.argsort(word[~often], kind="stable")
         self.cols = col[~often][by_word]
         self.first = np.searchsorted(word[~often][by_word], np.arange(len(self.words) + 2))
+        # the words of each passage, a place no window has where there are no more, and their parts of its weight
+        self.held = np.full((self.n, max(size, default=0)), len(self.words))
+        self.part = np.zeros(self.held.shape)
+        for j in own:
+            weight = idf[feature(passages[j])]
+            self.held[j, : size[j]] = np.searchsorted(self.words, passages[j])
+            self.part[j, : size[j]] = weight / weight.sum()
         self.short = {}
         for n in np.unique(size[size < VERBATIM]).tolist():
             own = np.flatnonzero(size == n)
@@ -443,20 +454,45 @@ class SharedWords:
         block, word = block[lo:hi] - base, word[lo:hi]
         common = self.common[word]
 
+        # a window is a few blocks of BLOCK words, each of which counts once for a passage
+        begin, end = begin - base, end - base
+        wide = int((end - begin).max())
+        kind = np.uint8 if wide * BLOCK < 256 else np.int32
+
         def summed(cells: np.ndarray, width: int) -> np.ndarray:
-            total = np.zeros((n + 1, width), np.int32)
-            np.cumsum(np.bincount(cells, minlength=n * width).reshape(n, width), axis=0, out=total[1:])
-            return total[end - base] - total[begin - base]
+            count = np.bincount(cells, minlength=n * width).reshape(n, width).astype(kind)
+            total = count[begin]
+            for k in range(1, wide):
+                more = np.flatnonzero(begin + k < end)
+                total[more] += count[begin[more] + k]
+            return total
 
         often = common >= 0
         count = summed(block[often] * COMMON + common[often], COMMON)
-        share = np.hstack([count > k for k in range(LEVELS)]).astype(np.float32) @ self.levels
+        share = (count[:, self.counted] > self.above).astype(np.float32) @ self.levels
         block, word = block[~often], word[~often]
         times = self.first[word + 1] - self.first[word]
         at = np.repeat(self.first[word] - np.cumsum(times) + times, times) + np.arange(times.sum())
         share += summed(np.repeat(block, times) * self.n + self.cols[at], self.n)
         return share >= self.need
 
+    def weights(self, block: np.ndarray, word: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Part of its weight, but for rounding, that passage ``col`` has in window ``row``, in order, of blocks ``begin`` to ``end``."""
+        out = np.zeros(len(row))
+        lo, hi = np.searchsorted(block, begin), np.searchsorted(block, end)
+        width = len(self.words) + 1
+        for a in range(0, len(row), CELLS):
+            own, at = row[a : a + CELLS], col[a : a + CELLS]
+            for first in range(own[0], own[-1] + 1, max(1, 8_000_000 // width)):
+                last = min(first + max(1, 8_000_000 // width), own[-1] + 1)
+                times = hi[first:last] - lo[first:last]
+                held = np.zeros((last - first, width), bool)
+                places = np.repeat(lo[first:last] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                held[np.repeat(np.arange(last - first), times), word[places]] = True
+                p, q = np.searchsorted(own, [first, last])
+                out[a + p : a + q] = (held[own[p:q, None] - first, self.held[at[p:q]]] * self.part[at[p:q]]).sum(axis=1)
+        return out
+
 
 class Finder:
     """Looks for the passages of ``items`` in slices of texts."""
@@ -503,18 +539,26 @@ class Finder:
             here = (stands >= lo) & (stands < lo + step)
             near[stands[here] - lo, passage[here]] = True
             near |= more
-            for i in np.flatnonzero(near.any(axis=1)):
-                d = doc[lead[lo + i]]
-                begin = first[d] + BLOCK * (lead[lo + i] - head[d])
-                window = words.hash[max(begin - BLOCK, first[d]) : min(begin + 3 * BLOCK, first[d + 1])].tolist()
-                held = set(window)
-                for j in np.flatnonzero(near[i]):
-                    if more[i, j] and self.passages[j].weight_in(held) < self.rules.weight:
-                        continue
-                    share = self.passages[j].found_in(window, self.rules)
-                    if share > 0:
-                        found = (share, float(cosine[i, j]), int(begin - first[d]))
-                        best[(d, j)] = max(best.get((d, j), found), found)
+            row, passed = np.nonzero(near)
+            light = more[row, passed]
+            asked, place = np.unique(row[light], return_inverse=True)
+            held = self.shared.weights(*known, opens[lo + asked], closes[lo + asked], place, passed[light])
+            # rounding is left to ``weight_in``
+            light[light] = held < self.rules.weight - 1e-6
+            row, passed = row[~light], passed[~light]
+            last = -1
+            for i, j in zip(row.tolist(), passed.tolist()):
+                if i != last:
+                    last, d = i, doc[lead[lo + i]]
+                    begin = first[d] + BLOCK * (lead[lo + i] - head[d])
+                    window = words.hash[max(begin - BLOCK, first[d]) : min(begin + 3 * BLOCK, first[d + 1])].tolist()
+                    held = set(window)
+                if more[i, j] and self.passages[j].weight_in(held) < self.rules.weight:
+                    continue
+                share = self.passages[j].found_in(window, self.rules)
+                if share > 0:
+                    found = (share, float(cosine[i, j]), int(begin - first[d]))
+                    best[(d, j)] = max(best.get((d, j), found), found)
         return [(int(d), int(j), *found) for (d, j), found in best.items()]
 
 

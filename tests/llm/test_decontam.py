@@ -238,3 +238,29 @@ def test_only_passages_with_enough_shared_words_are_verified(monkeypatch):
     out = finder(pa.array(["other " * 70 + said[7], "nothing of it " * 20]))
     assert {(d, j, s) for d, j, s, *_ in out} == {(0, 7, 1.0)}
     assert met and all(p is finder.passages[7] for p in met)
+
+
+def test_light_windows_are_weighed_together(monkeypatch):
+    """Windows that share only common words with a passage are told by matrices, not one by one."""
+    asked = []
+    weigh = D.Passage.weight_in
+    monkeypatch.setattr(D.Passage, "weight_in", lambda self, window: asked.append(weigh(self, window)) or asked[-1])
+    monkeypatch.setattr(D, "CELLS", 7)
+    rng = np.random.default_rng(4)
+    passages = [" ".join(["the", "of", "to", "in", "is", "it"] + [f"rare{i}x{k}" for k in range(6)]) for i in range(5)]
+    texts = ["the of to in is it " + " ".join(f"word{k}" for k in rng.integers(0, 90, 200)) for _ in range(20)] + [passages[3] + " plain" * 90, passages[1] + " " + passages[2]]
+    idf = np.full(1 << D.BITS, 5.0)
+    idf[D.feature(D.hashed(pa.array(["the of to in is it"])).hash)] = 0.1
+    hashes = [D.hashed(pa.array([p])).hash for p in passages]
+    items = D.Items(pa.array(range(5)), list(range(5)), hashes, [h[-6:] for h in hashes])
+    finder = D.Finder(np.ones((1 << D.BITS, 1)), idf, items, D.Rules(cosine=2.0))
+    found = finder(pa.array(texts))
+    assert {(d, k) for d, k, *_ in found} == {(20, 3), (21, 1), (21, 2)}
+    assert len(asked) == sum(x >= 0.5 for x in asked) > 0
+    words = D.hashed(pa.array(texts))
+    at, doc, head = D.blocks_of(words)
+    begin = np.arange(len(doc))
+    row, col = np.repeat(begin, 5), np.tile(np.arange(5), len(begin))
+    weights = finder.shared.weights(*finder.shared.known(words, D.block_of(words, head)), begin, begin + 1, row, col)
+    want = [weigh(finder.passages[j], set(words.hash[at[i][at[i] >= 0]].tolist())) for i, j in zip(row, col)]
+    assert np.allclose(weights, want, atol=1e-9)
