@@ -55,3 +55,16 @@ def test_edge_cases(spark):
     empty = vi.build_index(rows.limit(0))
     assert vi.search(empty, rows, 3).count() == 0 and vi.search(index, rows.limit(0), 3).count() == 0
     assert vi.build_index(rows.limit(1)).sizes.tolist() == [1]
+
+
+def test_vectors_move_once_for_a_block_of_queries(spark):
+    """However many cells a query looks into, it is moved once, and a row once for each block; repeated ids as of ``knn``."""
+    rng = np.random.default_rng(7)
+    mat = rng.integers(-2, 3, (900, 4)).astype(float)
+    rows = table(spark, mat).withColumn("id", F.when(F.col("id") < "v00040", F.concat(F.lit("twice"), F.substring("id", 6, 1))).otherwise(F.col("id")))
+    index = vi.build_index(rows, cells=30)
+    got = vi.search(index, rows, 7, probes=30, block_rows=300)
+    want = knn(rows, rows, 7)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and plan.count("MapInArrow") == 1
