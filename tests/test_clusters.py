@@ -73,3 +73,12 @@ def test_paths_are_not_moved_as_rows(spark, monkeypatch):
         rows = [tuple(r) for r in out.collect()]
         assert len(rows) == len(want) and set(rows) == want
         assert "hashpartitioning(start_id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_stay_where_they_are(spark):
+    """Lists of starts go to the edges, which are moved by no hop, and repeated edges change nothing."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("b", "c"), ("c", "d"), ("e", "e")], "atom_a_id string, atom_b_id string")
+    out = neighbourhood(edges, spark.createDataFrame([("a",), ("a",), ("e",), (None,)], "id string"))
+    assert {tuple(r) for r in out.collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("e", "e", 0), (None, None, 0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin [id" in plan
