@@ -316,3 +316,18 @@ def test_tokens_away_from_pairs_are_not_moved(spark):
     twice = spark.createDataFrame([("p", "x y z")] * 2 + [(None, "x y"), (None, "z x y")], "phrase_id string, phrase string")
     got = resolve.resolve_phrases(twice, atoms).where("phrase_id = 'p'")
     assert sorted((r.pos, r.match_type or "") for r in got.collect()) == [(0, "exact"), (0, "exact"), (1, ""), (1, "consumed"), (2, ""), (2, "")]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_a_base_is_sent_in_pieces(spark, monkeypatch, kind):
+    """Queries are not moved to meet a base that can be sent; ids that stand twice and ties as of ``knn``."""
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i % 90:03}", [float(x) for x in rng.integers(-2, 3, 5)]) for i in range(100)]
+    df = spark.createDataFrame(rows, f"id string, vec array<{kind}>")
+    monkeypatch.setattr(vectors, "SENT_BYTES", 400)
+    found = vectors.knn_sent(df, df, 3, min_sim=0.1, base_filter=F.col("id") != "v005")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and plan.count("MapInArrow") >= 2
+    want = vectors.knn(df, df, 3, min_sim=0.1, base_filter=F.col("id") != "v005")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in want.collect())
+    assert vectors.knn_sent(df, df.limit(0), 3).count() == 0
